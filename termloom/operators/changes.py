@@ -24,8 +24,8 @@ def _action(name: str, path: str) -> Column:
     return F.struct(F.lit(name).alias("action"), F.col(path).alias("path"))
 
 
-def expand(changes: DataFrame, extensions: list[str]) -> DataFrame:
-    """Primitive actions ``(seq, action, path)``.
+def expand(changes: DataFrame, extensions: list[str], keep: list[str] = ()) -> DataFrame:
+    """Primitive actions ``(seq, action, path)``, with the ``keep`` columns.
 
     Actions are ``put``, ``delete``, ``delete_prefix`` and ``put_dir``. The
     extension filter decides what is put and which halves of a rename count;
@@ -44,7 +44,7 @@ def expand(changes: DataFrame, extensions: list[str]) -> DataFrame:
         F.when(op == "rename_dir", _action("delete_prefix", "old_path")),
         F.when(op.isin("rename_dir", "create_dir"), _action("put_dir", "path")),
     )
-    return changes.select("seq", F.inline(F.array_compact(actions)))
+    return changes.select("seq", *keep, F.inline(F.array_compact(actions)))
 
 
 def malformed(changes: DataFrame) -> Column:
@@ -142,10 +142,13 @@ def fold(
     )
 
 
-def covered_count(docs: DataFrame, prefix: str, component: bool = False) -> DataFrame:
-    """One-row ``n_docs``: how many documents a prefix delete removes."""
-    hit = P.under(F.col("path"), F.lit(prefix), component)
-    return docs.filter(hit).agg(F.count(F.lit(1)).alias("n_docs"))
+def covered_counts(docs: DataFrame, prefixes: DataFrame, component: bool = False) -> DataFrame:
+    """``(prefix, n_docs)``: how many documents each prefix delete removes."""
+    hits = covered_by(docs.select("path"), prefixes.select("prefix"), component)
+    counts = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_docs"))
+    return prefixes.select("prefix").join(counts, "prefix", "left").select(
+        "prefix", F.coalesce("n_docs", F.lit(0)).alias("n_docs")
+    )
 
 
 def pending(changes: DataFrame, last_applied: int) -> DataFrame:

@@ -7,12 +7,15 @@ document length travels with each posting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.analysis import tokens
 
-DOCUMENT_ROW = F.col("term") == ""
+
+def is_document() -> Column:
+    """Tells document rows from postings; no token is empty."""
+    return F.col("term") == ""
 
 
 def tokenize(corpus: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def build_entries(corpus: DataFrame) -> DataFrame:
 
 def build_postings(corpus: DataFrame) -> DataFrame:
     """``(term, path, tf, positions, dl)``, one row per term and document."""
-    return build_entries(corpus).filter(~DOCUMENT_ROW)
+    return build_entries(corpus).filter(~is_document())
 
 
 def doc_lengths(corpus: DataFrame) -> DataFrame:

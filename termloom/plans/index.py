@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,7 @@ from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
 from termloom.operators.joins import narrow
-from termloom.operators.postings import DOCUMENT_ROW, build_entries, term_stats
-from termloom.session import shared_dir
+from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
 DOCUMENT_BUCKET = -1
@@ -70,42 +70,60 @@ class _Totals:
         return self.n_tokens / self.n_docs if self.n_docs else 0.0
 
 
+def _live(rows: DataFrame, ended: DataFrame | None) -> DataFrame:
+    """Rows whose path has no tombstone of a later segment."""
+    if ended is None:
+        return rows
+    ended = ended.select(F.col("path").alias("_path"), F.col("seg").alias("_seg"))
+    newer = (F.col("path") == F.col("_path")) & (F.col("_seg") > F.col("seg"))
+    return rows.join(ended, newer, "left_anti")
+
+
 class MemoryIndex(_Totals):
-    """An index held as persisted DataFrames for the length of a session."""
+    """An index held as persisted DataFrames for the length of a session.
+
+    An update adds a layer and the paths it ends; earlier layers are shared.
+    """
 
-    def __init__(self, entries: DataFrame):
-        self.spark = entries.sparkSession
-        self._entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
-        self.n_docs, self.n_tokens = _totals(self.docs)
+    def __init__(self, layers: list[DataFrame], ended: list[DataFrame], totals: tuple[int, int]):
+        self.spark = layers[0].sparkSession
+        self._layers, self._ended = layers, ended
+        self.n_docs, self.n_tokens = totals
 
     @classmethod
     def build(cls, corpus: DataFrame, extensions: list[str] | None = None) -> "MemoryIndex":
-        return cls(build_entries(_filtered(corpus, extensions)))
+        entries = build_entries(_filtered(corpus, extensions)).persist(StorageLevel.MEMORY_AND_DISK)
+        return cls([entries], [], _totals(entries.filter(is_document())))
+
+    def _rows(self, condition: Column) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, [
+            layer.filter(condition).withColumn("seg", F.lit(seg))
+            for seg, layer in enumerate(self._layers)
+        ])
+        ended = reduce(DataFrame.unionByName, self._ended) if self._ended else None
+        return _live(rows, ended).drop("seg")
 
     @property
     def docs(self) -> DataFrame:
-        return self._entries.filter(DOCUMENT_ROW).select("path", "dl")
+        return self._rows(is_document()).select("path", "dl")
 
     def postings_for(self, words=None, ranges=None) -> DataFrame:
         wanted = _wanted(words, ranges)
-        postings = self._entries.filter(~DOCUMENT_ROW)
-        return postings if wanted is None else postings.filter(wanted)
+        return self._rows(~is_document() if wanted is None else ~is_document() & wanted)
 
     def terms_for(self, words=None, ranges=None) -> DataFrame:
         return term_stats(self.postings_for(words, ranges))
 
     def apply(self, changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Applied:
         """A new index with ``changes`` folded in; this one stays as it is."""
-        shared_dir(self.spark)
         good, bad = C.split_loadable(changes, corpus, extensions)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
-        ended = C.touched(self.docs.select("path"), resolved)
+        ended = C.touched(self.docs, resolved).withColumn("seg", F.lit(len(self._layers)))
         added = build_entries(corpus.join(resolved.puts, "path", "left_semi"))
-        entries = self._entries.join(ended, "path", "left_anti").unionByName(added)
-        return Applied(MemoryIndex(entries.checkpoint()), bad)
-
-    def release(self) -> None:
-        self._entries.unpersist()
+        ended, added = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ended, added))
+        (gone, gone_tokens), (new, new_tokens) = _totals(ended), _totals(added.filter(is_document()))
+        totals = (self.n_docs - gone + new, self.n_tokens - gone_tokens + new_tokens)
+        return Applied(MemoryIndex([*self._layers, added], [*self._ended, ended], totals), bad)
 
 
 @dataclass(frozen=True)
@@ -144,6 +162,7 @@ class StoredIndex(_Totals):
     def __init__(self, spark: SparkSession, root: str, snapshot: Snapshot):
         self.spark, self.root, self.snapshot = spark, root.rstrip("/"), snapshot
         self.n_docs, self.n_tokens = snapshot.n_docs, snapshot.n_tokens
+        self._scans: dict[tuple[str, int], DataFrame] = {}
 
     # -- opening and building ------------------------------------------------
 
@@ -203,29 +222,34 @@ class StoredIndex(_Totals):
             return rows.select("term", "df")
         return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
+    def _scan(self, table: str, schema: T.StructType, buckets: int) -> DataFrame:
+        """Segments with the same number of buckets, as one listed scan.
+
+        The files of a snapshot never change, so they are listed once.
+        """
+        if (table, buckets) not in self._scans:
+            paths = [
+                self._folder(table, s.seg) for s in self.snapshot.segments if s.buckets == buckets
+            ]
+            self._scans[table, buckets] = self.spark.read.schema(schema).option(
+                "basePath", f"{self.root}/{table}"
+            ).parquet(*paths)
+        return self._scans[table, buckets]
+
     def _read(self, table, schema, condition, words=None, ranges=None) -> DataFrame:
         full = T.StructType([
             *schema.fields, T.StructField("seg", T.LongType()), T.StructField("bucket", T.IntegerType()),
         ])
         parts = []
-        # Segments with the same number of buckets are one scan.
         for buckets in sorted({s.buckets for s in self.snapshot.segments}):
-            paths = [
-                self._folder(table, s.seg) for s in self.snapshot.segments if s.buckets == buckets
-            ]
-            rows = (
-                self.spark.read.schema(full).option("basePath", f"{self.root}/{table}")
-                .parquet(*paths).filter(condition)
-            )
+            rows = self._scan(table, full, buckets).filter(condition)
             if words and ranges is None:
                 homes = [bucket_of(F.lit(w), buckets) for w in words]
                 rows = rows.filter(F.col("bucket").isin(homes))
             parts.append(rows.drop("bucket"))
         if not parts:
             return self.spark.createDataFrame([], full).drop("bucket")
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
+        rows = reduce(DataFrame.unionByName, parts)
         wanted = _wanted(words, ranges)
         return rows if wanted is None else rows.filter(wanted)
 
@@ -236,12 +260,9 @@ class StoredIndex(_Totals):
         if not paths:
             return rows
         schema = T.StructType([*schemas.TOMBSTONES.fields, T.StructField("seg", T.LongType())])
-        ended = (
-            self.spark.read.schema(schema).option("basePath", f"{self.root}/tombstones").parquet(*paths)
-            .select("path", F.col("seg").alias("_ended"))
-        )
-        newer = (rows["path"] == ended["path"]) & (ended["_ended"] > rows["seg"])
-        return rows.join(ended, newer, "left_anti")
+        return _live(rows, self.spark.read.schema(schema).option(
+            "basePath", f"{self.root}/tombstones"
+        ).parquet(*paths))
 
     # -- changing ---------------------------------------------------------------
 
@@ -327,7 +348,7 @@ class StoredIndex(_Totals):
         self, entries: DataFrame, seg: int, buckets: int, splits: int
     ) -> tuple[int, int]:
         """Write postings and terms of one segment; returns its totals."""
-        bucket = F.when(DOCUMENT_ROW, F.lit(DOCUMENT_BUCKET)).otherwise(
+        bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
             bucket_of(F.col("term"), buckets)
         )
         split = F.pmod(F.xxhash64("path"), F.lit(splits)).cast("int")
@@ -362,4 +383,15 @@ def _manifest_name(snapshot: int) -> str:
 
 
 def _filtered(corpus: DataFrame, extensions: list[str] | None) -> DataFrame:
-    return corpus if extensions is None else corpus.filter(is_target(F.col("path"), extensions))
+    kept = corpus if extensions is None else corpus.filter(is_target(F.col("path"), extensions))
+    return _spread(kept)
+
+
+def _spread(corpus: DataFrame) -> DataFrame:
+    """Redistribute a corpus held in fewer files than there are cores.
+
+    Such a corpus is small; a corpus of many files is read as it lies.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    files = len(corpus.inputFiles())
+    return corpus.repartition(3 * cores, "path") if 0 < files < cores else corpus
