@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
 from termloom.operators.joins import covered_by, salted_join
+from termloom.session import shared_dir
 
 FILE_PUTS = ["create", "modify", "rename"]
 RENAMES = ["rename", "rename_dir"]
@@ -82,6 +83,14 @@ def split_loadable(
     return good, bad
 
 
+def reduced(actions: DataFrame) -> DataFrame:
+    """``(action, path, seq)``: the latest of each action per path.
+
+    Combined before the shuffle, so a path changed very often is no hot spot.
+    """
+    return actions.groupBy("action", "path").agg(F.max("seq").alias("seq"))
+
+
 @dataclass(frozen=True)
 class Resolved:
     """What is left of a change log once it is reduced per path."""
@@ -95,30 +104,34 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
     """Reduce primitive actions to their net effect.
 
     A put survives unless a delete or a covering prefix delete has a strictly
-    higher ``seq``; so a rename's put outlives its own delete.
+    higher ``seq``; so a rename's put outlives its own delete. The reduced
+    log and the surviving puts are used several times, so each is written to
+    the checkpoint folder once.
     """
+    shared_dir(actions.sparkSession)
+    net = reduced(actions).checkpoint()
 
     def latest(name: str, key: str = "path") -> DataFrame:
-        picked = actions.filter(F.col("action") == name)
-        return picked.groupBy(F.col("path").alias(key)).agg(F.max("seq").alias("seq"))
+        return net.filter(F.col("action") == name).select(F.col("path").alias(key), "seq")
 
-    prefixes, deletes, folders = latest("delete_prefix", "prefix"), latest("delete"), latest("put_dir", "prefix")
+    prefixes, deletes = latest("delete_prefix", "prefix"), latest("delete")
     candidates = corpus.select("path").filter(P.is_target(F.col("path"), extensions))
-    from_folders = covered_by(candidates, folders, component=True).select("path", "seq")
+    from_folders = covered_by(candidates, latest("put_dir", "prefix"), component=True)
     last_put = (
-        latest("put").unionByName(from_folders).groupBy("path").agg(F.max("seq").alias("seq"))
+        latest("put").unionByName(from_folders.select("path", "seq"))
+        .groupBy("path").agg(F.max("seq").alias("seq"))
     )
     killed = (
-        covered_by(last_put.select("path"), prefixes).select("path", "seq")
-        .unionByName(deletes)
-        .groupBy("path").agg(F.max("seq").alias("_killed"))
+        covered_by(last_put, prefixes.withColumnRenamed("seq", "_ended")).select("path", "_ended")
+        .unionByName(deletes.withColumnRenamed("seq", "_ended"))
+        .groupBy("path").agg(F.max("_ended").alias("_ended"))
     )
     puts = (
         last_put.join(killed, "path", "left")
-        .filter(F.col("_killed").isNull() | (F.col("seq") >= F.col("_killed")))
+        .filter(F.col("_ended").isNull() | (F.col("seq") >= F.col("_ended")))
         .select("path", "seq")
     )
-    return Resolved(puts, deletes, prefixes)
+    return Resolved(puts.checkpoint(), deletes, prefixes)
 
 
 def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:

@@ -25,6 +25,7 @@ from termloom.operators.joins import narrow, salted_join
 
 BROADCAST_ROWS = 200_000
 LITERAL_CLAUSES = 200
+LITERAL_WORDS = 500
 SCORED_KINDS = ["term", "phrase", "phrase_prefix"]
 CONSTANT_KINDS = ["term_set", "prefix", "term_range"]
 PREFIX_KINDS = ["phrase_prefix", "prefix"]
@@ -72,7 +73,7 @@ def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
     local = ready.sparkSession.createDataFrame(
         pa.Table.from_pylist(pinned, schema=to_arrow_schema(schema)), schema
     )
-    words, ranges, lengths = set(), [], set()
+    words, ranges, lengths = set(), [], set()  # what the scans may be narrowed to
     for r in pinned:
         found = [w["term"] for w in r["words"] or []]
         if r["kind"] in PREFIX_KINDS:
@@ -88,7 +89,7 @@ def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
     return Prepared(
         local, frozenset(r["kind"] for r in rows), True,
         any(r["kind"] == "phrase" and r["slop"] > 0 for r in rows), tuple(sorted(lengths)),
-        tuple(sorted(words)), reduce(lambda x, y: x | y, ranges) if ranges else None,
+        tuple(sorted(words)) if len(words) <= LITERAL_WORDS else None, reduce(lambda x, y: x | y, ranges) if ranges else None,
     )
 
 
@@ -186,7 +187,27 @@ def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
     return met.filter(above & below).drop("_low", "_high", "_bounds", "_byte")
 
 
-def _phrase_frequency(matched: DataFrame, sloppy: bool) -> DataFrame:
+def _near_rarest(postings: DataFrame, words: DataFrame, small: bool) -> DataFrame:
+    """Postings of phrase words, kept to documents that hold the rarest one.
+
+    The rarest word of each clause bounds its candidates. When these are few
+    they are broadcast and the long lists of common words are cut down before
+    any shuffle; otherwise all lists go on whole.
+    """
+    found = _join_words(postings, words, small)
+    if not small:
+        return found
+    rarest = words.groupBy("qid", "clause_id").agg(F.min(F.struct("df", "term")).alias("_r")).select(
+        "qid", "clause_id", "_r.df", "_r.term"
+    )
+    candidates = rarest.agg(F.sum("df")).first()[0] or 0
+    if candidates > BROADCAST_ROWS:
+        return found
+    holders = postings.join(F.broadcast(rarest.drop("df")), "term").select("qid", "clause_id", "path")
+    return found.join(F.broadcast(holders), ["qid", "clause_id", "path"], "left_semi")
+
+
+def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False) -> DataFrame:
     """``(…, path, tf, dl, weight)`` for clauses whose words all fall in place.
 
     One row per clause word and document comes in, so a group holds no more
@@ -194,29 +215,31 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool) -> DataFrame:
     """
     keys = [*CARRIED, "slop", "n_terms", "path", "dl"]
     grouped = matched.groupBy(*keys).agg(
+        F.count_distinct("offset").alias("_present") if open_end else F.count(F.lit(1)).alias("_present"),
         F.collect_list(F.struct("offset", "positions")).alias("found"),
         F.sum("weight").alias("weight"),
-    ).withColumn("offsets", F.array_sort(F.array_distinct("found.offset"))).filter(
-        F.size("offsets") == F.col("n_terms")
-    )
-
-    def places(offset: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.filter("found", lambda f: f["offset"] == offset), lambda f: f["positions"]
-            )
+    ).filter("_present = n_terms").drop("_present").withColumn("found", F.array_sort("found"))
+    if open_end:
+        # The open last word may be several index terms; join their positions.
+        last = F.element_at("found.offset", -1)
+        ends = F.filter("found", lambda f: f["offset"] == last)
+        merged = F.struct(
+            last.alias("offset"),
+            F.flatten(F.transform(ends, lambda f: f["positions"])).alias("positions"),
         )
-
+        fixed = F.filter("found", lambda f: f["offset"] < last)
+        grouped = grouped.withColumn("found", F.concat(fixed, F.array(merged)))
     # Shifting every word back by its offset makes a match an equal start.
     starts = F.aggregate(
-        "offsets",
-        places(F.lit(0)),
-        lambda acc, o: F.array_intersect(acc, F.transform(places(o), lambda p: p - o)),
+        F.slice("found", 2, F.size("found")),
+        F.element_at("found", 1)["positions"],
+        lambda acc, f: F.array_intersect(acc, F.transform(f["positions"], lambda p: p - f["offset"])),
     )
-    exact = grouped.withColumn("tf", F.size(starts))
     columns = [*CARRIED, "path", "tf", "dl", "weight"]
+    exact = grouped.withColumn("tf", F.size(starts))
     if not sloppy:
         return exact.filter("tf > 0").select(*columns)
+    grouped = grouped.withColumn("offsets", F.col("found.offset"))
     loose = grouped.filter("slop > 0")
     # A loose match spans at most n_terms + slop positions, so positions are
     # put into windows of that width (own and previous one); each window
@@ -274,7 +297,7 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
         return []
     # An index term is unique, so this join never has more rows than words.
     words = _join_words(index.terms_for(query.words), _words(query.clauses, kinds), query.small)
-    words = words.withColumn("weight", idf(index.n_docs, F.col("df"))).drop("df")
+    words = words.withColumn("weight", idf(index.n_docs, F.col("df")))
     score = (
         F.col("weight") * F.col("boost") * saturation(F.col("tf"), F.col("dl"), index.avg_dl)
     ).alias("score")
@@ -285,17 +308,17 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
         )
         hits.append(found.select(*CARRIED, "path", score))
     if "phrase" in kinds:
-        found = _join_words(
+        found = _near_rarest(
             index.postings_for(query.words), words.filter("kind = 'phrase'"), query.small
         )
         hits.append(_phrase_frequency(found, query.sloppy).select(*CARRIED, "path", score))
     if "phrase_prefix" in kinds:
         ends = _prefix_words(index.terms_for(query.words, query.ranges), query, "phrase_prefix")
-        needed = words.filter("kind = 'phrase_prefix'").unionByName(
+        needed = words.filter("kind = 'phrase_prefix'").drop("df").unionByName(
             ends.withColumn("weight", F.lit(0.0))
         )
         found = _join_words(index.postings_for(query.words, query.ranges), needed, False)
-        hits.append(_phrase_frequency(found, False).select(*CARRIED, "path", score))
+        hits.append(_phrase_frequency(found, False, True).select(*CARRIED, "path", score))
     return hits
 
 

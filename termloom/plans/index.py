@@ -287,16 +287,11 @@ class StoredIndex(_Totals):
         rejected = self.spark.read.schema(bad.schema).parquet(self._folder("quarantine", seg))
 
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
-        puts = resolved.puts.persist(StorageLevel.MEMORY_AND_DISK)
-        resolved = replace(resolved, puts=puts)
-        try:
-            C.touched(self.docs, resolved).select("path", "dl").write.mode("overwrite").parquet(
-                self._folder("tombstones", seg)
-            )
-            content = narrow(corpus, "path", puts).join(puts, "path", "left_semi")
-            added_docs, added_tokens = self._write_segment(build_entries(content), seg, buckets, splits)
-        finally:
-            puts.unpersist()
+        C.touched(self.docs, resolved).select("path", "dl").write.mode("overwrite").parquet(
+            self._folder("tombstones", seg)
+        )
+        content = narrow(corpus, "path", resolved.puts).join(resolved.puts, "path", "left_semi")
+        added_docs, added_tokens = self._write_segment(build_entries(content), seg, buckets, splits)
         ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(self._folder("tombstones", seg))
         ended_docs, ended_tokens = _totals(ended)
         after = self._publish(

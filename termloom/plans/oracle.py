@@ -213,20 +213,20 @@ SLOP_SQL = ctes(*INDEXED, """stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FR
 df AS (SELECT term, count(DISTINCT path) AS df FROM tok GROUP BY term),
 asked AS (SELECT * FROM (VALUES (0, ['of','the'], 2), (1, ['the','of','and'], 5), (2, ['the','the'], 3),
                                 (3, ['of','the'], 0)) v(qid, ws, slop)),
-first AS (SELECT qid, path, pos AS start, pos AS at FROM asked JOIN tok ON term = ws[1]),
+first AS (SELECT qid, path, pos AS start, pos AS spot FROM asked JOIN tok ON term = ws[1]),
 second AS (
-  SELECT f.qid, f.path, f.start, min(t.pos) AS at
-  FROM first f JOIN asked a USING (qid) JOIN tok t ON t.path = f.path AND t.term = a.ws[2] AND t.pos > f.at
+  SELECT f.qid, f.path, f.start, min(t.pos) AS spot
+  FROM first f JOIN asked a USING (qid) JOIN tok t ON t.path = f.path AND t.term = a.ws[2] AND t.pos > f.spot
   GROUP BY ALL),
 third AS (
-  SELECT f.qid, f.path, f.start, min(t.pos) AS at
-  FROM second f JOIN asked a USING (qid) JOIN tok t ON t.path = f.path AND t.term = a.ws[3] AND t.pos > f.at
+  SELECT f.qid, f.path, f.start, min(t.pos) AS spot
+  FROM second f JOIN asked a USING (qid) JOIN tok t ON t.path = f.path AND t.term = a.ws[3] AND t.pos > f.spot
   WHERE len(a.ws) = 3 GROUP BY ALL),
 chains AS (
   SELECT * FROM third UNION ALL SELECT s.* FROM second s JOIN asked a USING (qid) WHERE len(a.ws) = 2),
 freq AS (
   SELECT qid, path, count(*) AS tf FROM chains JOIN asked USING (qid)
-  WHERE at - start <= len(ws) - 1 + slop GROUP BY ALL),
+  WHERE spot - start <= len(ws) - 1 + slop GROUP BY ALL),
 weights AS (
   SELECT qid, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS weight
   FROM (SELECT qid, unnest(ws) AS term FROM asked) JOIN df USING (term), stats GROUP BY qid),
@@ -337,7 +337,7 @@ FROM queries LEFT JOIN answers USING (qid)""",
 regexp_extract(path, '\.([^./]*)$', 1) IN ('txt', 'md') AS is_target
 FROM (SELECT path FROM docs UNION ALL SELECT path FROM page_docs UNION ALL SELECT path FROM turn_docs)""",
     "normalize_path": ctes(*FEED) + """SELECT seq, n, replace(p, '/./', '/') AS path,
-substr(replace(p, '/./', '/'), 1) AS dotted
+substr(replace(p, '/./', '/'), 2) AS dotted
 FROM (SELECT seq, unnest(paths) AS p, (generate_subscripts(paths, 1) - 1)::INT AS n FROM raw_paths)""",
     "filter_path_prefix": ctes(DOCS) + "SELECT path FROM docs WHERE starts_with(path, '/src1')",
     "delete_prefix_count": ctes(*FEED) + """SELECT prefix, count(d.path) AS n_docs
