@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
-from termloom.operators.joins import covered_by, salted_join
+from termloom.operators.joins import covered_by, fits_broadcast, keyed_join, narrow
 from termloom.session import shared_dir
 
 FILE_PUTS = ["create", "modify", "rename"]
@@ -48,16 +48,14 @@ def expand(changes: DataFrame, extensions: list[str], keep: list[str] = ()) -> D
     return changes.select("seq", *keep, F.inline(F.array_compact(actions)))
 
 
-def malformed(changes: DataFrame) -> Column:
+def malformed() -> Column:
     """Reason a change cannot be read, or null."""
     no_old = F.col("op").isin(RENAMES) & F.col("old_path").isNull()
     return F.when(F.col("path").isNull() | no_old, "missing path")
 
 
-def split_loadable(
-    changes: DataFrame, corpus: DataFrame, extensions: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Changes that can be applied, and the rest with a ``reason``.
+def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> DataFrame:
+    """Changes with a ``reason``, null when the change can be applied.
 
     A change that needs content which the corpus does not hold is set aside
     as a whole, so neither half of such a rename is applied.
@@ -66,21 +64,29 @@ def split_loadable(
         F.col("op").isin(FILE_PUTS) & P.is_target(F.col("path"), extensions), F.col("path")
     )
     marked = changes.withColumn("_needed", needed)
-    held = (
-        marked.select(F.col("_needed").alias("path")).distinct()
-        .join(corpus.select("path"), "path", "left_semi")
-        .select(F.col("path").alias("_needed"), F.lit(True).alias("_held"))
+    asked = marked.select(F.col("_needed").alias("path")).filter("path IS NOT NULL").distinct()
+    small = fits_broadcast(changes, "path", "old_path")
+    held = keyed_join(corpus.select("path"), asked, ["path"], F.col("path"), small=small).select(
+        F.col("path").alias("_needed"), F.lit(True).alias("_held")
+    )
+    reason = F.coalesce(
+        malformed(), F.when(F.col("_needed").isNotNull() & F.col("_held").isNull(), "not in corpus")
     )
-    checked = salted_join(marked, held, ["_needed"], F.col("seq"), "left").withColumn(
-        "reason",
-        F.coalesce(
-            malformed(changes),
-            F.when(F.col("_needed").isNotNull() & F.col("_held").isNull(), "not in corpus"),
-        ),
+    return keyed_join(marked, held, ["_needed"], F.col("seq"), "left", small).select(
+        *changes.columns, reason.alias("reason")
     )
-    good = checked.filter(F.col("reason").isNull()).select(*changes.columns)
-    bad = checked.filter(F.col("reason").isNotNull()).select(*changes.columns, "reason")
-    return good, bad
+
+
+def split_loadable(
+    changes: DataFrame, corpus: DataFrame, extensions: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Changes that can be applied, and the rest with a ``reason``.
+
+    The checked changes are written to the checkpoint folder once.
+    """
+    shared_dir(changes.sparkSession)
+    rows = checked(changes, corpus, extensions).checkpoint()
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
 
 
 def reduced(actions: DataFrame) -> DataFrame:
@@ -98,6 +104,7 @@ class Resolved:
     puts: DataFrame  # (path, seq): paths whose last word is a put
     deletes: DataFrame  # (path, seq): latest plain delete
     prefixes: DataFrame  # (prefix, seq): latest prefix delete
+    small: bool  # the paths that are put or deleted may be broadcast
 
 
 def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Resolved:
@@ -115,44 +122,52 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
         return net.filter(F.col("action") == name).select(F.col("path").alias(key), "seq")
 
     prefixes, deletes = latest("delete_prefix", "prefix"), latest("delete")
+    small = fits_broadcast(net, "path")
     candidates = corpus.select("path").filter(P.is_target(F.col("path"), extensions))
-    from_folders = covered_by(candidates, latest("put_dir", "prefix"), component=True)
+    from_folders = covered_by(candidates, latest("put_dir", "prefix"), component=True, small=small)
     last_put = (
         latest("put").unionByName(from_folders.select("path", "seq"))
         .groupBy("path").agg(F.max("seq").alias("seq"))
     )
     killed = (
-        covered_by(last_put, prefixes.withColumnRenamed("seq", "_ended")).select("path", "_ended")
-        .unionByName(deletes.withColumnRenamed("seq", "_ended"))
+        covered_by(last_put, prefixes.withColumnRenamed("seq", "_ended"), small=small)
+        .select("path", "_ended").unionByName(deletes.withColumnRenamed("seq", "_ended"))
         .groupBy("path").agg(F.max("_ended").alias("_ended"))
     )
     puts = (
         last_put.join(killed, "path", "left")
         .filter(F.col("_ended").isNull() | (F.col("seq") >= F.col("_ended")))
-        .select("path", "seq")
+        .select("path", "seq").checkpoint()
     )
-    return Resolved(puts.checkpoint(), deletes, prefixes)
+    return Resolved(puts, deletes, prefixes, small and fits_broadcast(puts, "path"))
 
 
 def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:
     """Rows of ``docs`` that the changes replace or delete."""
     named = resolved.puts.select("path").unionByName(resolved.deletes.select("path")).distinct()
-    by_name = docs.join(named, "path", "left_semi")
-    by_prefix = covered_by(docs, resolved.prefixes).select(*docs.columns)
+    by_name = keyed_join(docs, named, ["path"], F.col("path"), "left_semi", resolved.small)
+    by_prefix = covered_by(docs, resolved.prefixes, small=resolved.small).select(*docs.columns)
     return by_name.unionByName(by_prefix).dropDuplicates(["path"])
 
 
+def content_of(corpus: DataFrame, resolved: Resolved) -> DataFrame:
+    """Current content of the paths to put; few of them narrow the scan."""
+    if resolved.small:
+        corpus = narrow(corpus, "path", resolved.puts)
+    return keyed_join(
+        corpus.select("path", "content"), resolved.puts, ["path"], F.col("path"), "left_semi",
+        resolved.small,
+    )
+
+
 def fold(
     base: DataFrame, changes: DataFrame, corpus: DataFrame, extensions: list[str]
 ) -> DataFrame:
     """The documents left after applying ``changes`` to ``base``, in order."""
     resolved = resolve(expand(changes, extensions), corpus, extensions)
-    kept = base.select("path", "content").join(
-        touched(base.select("path"), resolved), "path", "left_anti"
-    )
-    return kept.unionByName(
-        corpus.select("path", "content").join(resolved.puts, "path", "left_semi")
-    )
+    gone = touched(base.select("path"), resolved)
+    kept = base.select("path", "content").join(gone, "path", "left_anti")
+    return kept.unionByName(content_of(corpus, resolved))
 
 
 def covered_counts(docs: DataFrame, prefixes: DataFrame, component: bool = False) -> DataFrame:

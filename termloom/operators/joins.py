@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 PUSHDOWN_LIMIT = 1000
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 100  # a row's fixed part, generously
 
 
 def salted_join(
@@ -23,34 +25,50 @@ def salted_join(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(df: DataFrame, *strings: str) -> bool:
+    """Whether ``df``, known by its longest ``strings``, is safe to broadcast."""
+    longest = [F.coalesce(F.max(F.octet_length(c)), F.lit(0)) for c in strings]
+    row = df.agg(F.count(F.lit(1)), *longest).first()
+    return row[0] * (ROW_BYTES + sum(row[1:])) <= BROADCAST_BYTES
+
+
+def keyed_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner",
+    small: bool = False,
+) -> DataFrame:
+    """Broadcast ``right`` when it was found ``small``, else join with salting."""
+    if small:
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, spread, how)
+
+
 def covered_by(
-    paths: DataFrame, prefixes: DataFrame, component: bool = False, salts: int = SALTS
+    paths: DataFrame, prefixes: DataFrame, component: bool = False, small: bool | None = None
 ) -> DataFrame:
     """Rows of ``paths`` joined with each ``prefixes`` row their path starts with.
 
     Each path is cut at the distinct prefix lengths, which turns the prefix
-    test into an equality. With ``component`` a prefix must end at a slash.
-    ``prefixes`` has a unique ``prefix`` column next to any others.
+    test into an equality. With ``component`` a prefix covers itself and what
+    lies below it. ``prefixes`` has a unique ``prefix`` column, without a
+    slash at the end, next to any others.
     """
-    if component:
-        trimmed = F.regexp_replace("prefix", r"(?<=.)/+$", "")
-        others = [F.max(c).alias(c) for c in prefixes.columns if c != "prefix"]
-        prefixes = prefixes.groupBy(trimmed.alias("prefix")).agg(
-            *(others or [F.count(F.lit(1)).alias("_n")])
-        ).drop("_n")
     # At most one entry per possible path length, whatever the data size.
-    lengths = prefixes.agg(F.collect_set(F.length("prefix"))).scalar()
-    cut = paths.select("*", F.explode(lengths).alias("_len")).filter(
-        F.length("path") >= F.col("_len")
-    )
+    lengths = prefixes.agg(F.collect_set(F.length("prefix"))).first()[0]
+    if not lengths:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in prefixes.schema]
+        return paths.select("*", *empty).limit(0)
+    if small is None:
+        small = fits_broadcast(prefixes, "prefix")
+    cut_at = F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_len")
+    cut = paths.select("*", cut_at).filter(F.length("path") >= F.col("_len"))
     if component:
         following = F.substr(F.col("path"), F.col("_len") + 1, F.lit(1))
         cut = cut.filter(
             (F.length("path") == F.col("_len")) | (following == "/")
-            | F.substr(F.col("path"), F.col("_len"), F.lit(1)).eqNullSafe(F.lit("/"))
+            | (F.substr(F.col("path"), F.col("_len"), F.lit(1)) == "/")
         )
     cut = cut.withColumn("prefix", F.substr(F.col("path"), F.lit(1), F.col("_len"))).drop("_len")
-    return salted_join(cut, prefixes, ["prefix"], F.col("path"), salts=salts)
+    return keyed_join(cut, prefixes, ["prefix"], F.col("path"), small=small)
 
 
 def narrow(table: DataFrame, column: str, keys: DataFrame, limit: int = PUSHDOWN_LIMIT) -> DataFrame:

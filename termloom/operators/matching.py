@@ -214,21 +214,17 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
     than the words of one clause, with positions of one document.
     """
     keys = [*CARRIED, "slop", "n_terms", "path", "dl"]
-    grouped = matched.groupBy(*keys).agg(
-        F.count_distinct("offset").alias("_present") if open_end else F.count(F.lit(1)).alias("_present"),
-        F.collect_list(F.struct("offset", "positions")).alias("found"),
-        F.sum("weight").alias("weight"),
-    ).filter("_present = n_terms").drop("_present").withColumn("found", F.array_sort("found"))
     if open_end:
-        # The open last word may be several index terms; join their positions.
-        last = F.element_at("found.offset", -1)
-        ends = F.filter("found", lambda f: f["offset"] == last)
-        merged = F.struct(
-            last.alias("offset"),
-            F.flatten(F.transform(ends, lambda f: f["positions"])).alias("positions"),
+        # The open last word may be several index terms: join their positions.
+        # Both aggregations use this one partitioning.
+        matched = matched.repartition("qid", "clause_id", "path").groupBy(*keys, "offset").agg(
+            F.flatten(F.collect_list("positions")).alias("positions"), F.sum("weight").alias("weight")
         )
-        fixed = F.filter("found", lambda f: f["offset"] < last)
-        grouped = grouped.withColumn("found", F.concat(fixed, F.array(merged)))
+    grouped = matched.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_present"),
+        F.array_sort(F.collect_list(F.struct("offset", "positions"))).alias("found"),
+        F.sum("weight").alias("weight"),
+    ).filter("_present = n_terms").drop("_present")
     # Shifting every word back by its offset makes a match an equal start.
     starts = F.aggregate(
         F.slice("found", 2, F.size("found")),

@@ -29,7 +29,6 @@ from pyspark.storagelevel import StorageLevel
 from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
-from termloom.operators.joins import narrow
 from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
@@ -119,7 +118,7 @@ class MemoryIndex(_Totals):
         good, bad = C.split_loadable(changes, corpus, extensions)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
         ended = C.touched(self.docs, resolved).withColumn("seg", F.lit(len(self._layers)))
-        added = build_entries(corpus.join(resolved.puts, "path", "left_semi"))
+        added = build_entries(C.content_of(corpus, resolved))
         ended, added = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ended, added))
         (gone, gone_tokens), (new, new_tokens) = _totals(ended), _totals(added.filter(is_document()))
         totals = (self.n_docs - gone + new, self.n_tokens - gone_tokens + new_tokens)
@@ -290,8 +289,9 @@ class StoredIndex(_Totals):
         C.touched(self.docs, resolved).select("path", "dl").write.mode("overwrite").parquet(
             self._folder("tombstones", seg)
         )
-        content = narrow(corpus, "path", resolved.puts).join(resolved.puts, "path", "left_semi")
-        added_docs, added_tokens = self._write_segment(build_entries(content), seg, buckets, splits)
+        added_docs, added_tokens = self._write_segment(
+            build_entries(C.content_of(corpus, resolved)), seg, buckets, splits
+        )
         ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(self._folder("tombstones", seg))
         ended_docs, ended_tokens = _totals(ended)
         after = self._publish(
