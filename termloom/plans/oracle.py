@@ -78,7 +78,7 @@ def ranked(k: int = 10, source: str = "matched") -> str:
     FROM {source}) WHERE rank <= {k})"""
 
 
-RESULT = "SELECT qid, rank, path, score FROM ranked"
+RESULT = "SELECT qid::BIGINT AS qid, rank::INT AS rank, path, score FROM ranked"
 PLAIN_HITS = "hits AS (SELECT qid, occur, path, score FROM scored)"
 NONE_NEEDED = "needed AS (SELECT 0 AS qid, 0 AS n_must WHERE false)"
 
@@ -206,7 +206,7 @@ def folded(ops: tuple[str, ...] | None = None) -> list[str]:
 
 def final_lengths(*ops: str) -> str:
     parts = folded(ops or None)
-    return ctes(*FEED, *parts, tokens("final"), lengths("final")) + "SELECT path, dl FROM dl"
+    return ctes(*FEED, *parts, tokens("final"), lengths("final")) + "SELECT path, dl::INT AS dl FROM dl"
 
 
 SLOP_SQL = ctes(*INDEXED, """stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
