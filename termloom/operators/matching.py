@@ -41,6 +41,7 @@ class Prepared:
     clauses: DataFrame
     kinds: frozenset[str]
     small: bool  # clause words may be broadcast
+    any_match: bool  # every clause of every query is optional
     sloppy: bool
     prefix_lengths: tuple[int, ...]
     words: tuple[str, ...] | None  # the words to look up, when few
@@ -87,7 +88,7 @@ def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
             ranges.append(reduce(lambda x, y: x & y, ends))
         words.update(found)
     return Prepared(
-        local, frozenset(r["kind"] for r in rows), True,
+        local, frozenset(r["kind"] for r in rows), True, {r["occur"] for r in rows} == {"should"},
         any(r["kind"] == "phrase" and r["slop"] > 0 for r in rows), tuple(sorted(lengths)),
         tuple(sorted(words)) if len(words) <= LITERAL_WORDS else None, reduce(lambda x, y: x | y, ranges) if ranges else None,
     )
@@ -101,7 +102,7 @@ def _prepare_many(ready: DataFrame) -> Prepared:
     _refuse(not per_query.filter("_positive = 0").isEmpty())
     last = F.element_at(F.col("words.term"), -1)
     facts = ready.agg(
-        F.collect_set("kind").alias("kinds"),
+        F.collect_set("kind").alias("kinds"), F.collect_set("occur").alias("occurs"),
         F.sum(F.greatest(F.size("words"), F.lit(1))).alias("n_words"),
         F.max((F.col("kind") == "phrase") & (F.col("slop") > 0)).alias("sloppy"),
         # A term has fewer than 40 characters, so this set is bounded.
@@ -109,7 +110,7 @@ def _prepare_many(ready: DataFrame) -> Prepared:
     ).first()
     return Prepared(
         ready.join(per_query.drop("_positive"), "qid"), frozenset(facts["kinds"]),
-        facts["n_words"] <= BROADCAST_ROWS, bool(facts["sloppy"]),
+        facts["n_words"] <= BROADCAST_ROWS, set(facts["occurs"]) == {"should"}, bool(facts["sloppy"]),
         tuple(sorted(facts["lengths"])), None, None,
     )
 
@@ -190,21 +191,24 @@ def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
 def _near_rarest(postings: DataFrame, words: DataFrame, small: bool) -> DataFrame:
     """Postings of phrase words, kept to documents that hold the rarest one.
 
-    The rarest word of each clause bounds its candidates. When these are few
-    they are broadcast and the long lists of common words are cut down before
-    any shuffle; otherwise all lists go on whole.
+    The rarest word of each clause bounds its candidates. When candidates
+    times words are few, exactly those (term, document) pairs are looked up
+    and the long lists of common words are cut before any shuffle; otherwise
+    all lists go on whole.
     """
-    found = _join_words(postings, words, small)
     if not small:
-        return found
-    rarest = words.groupBy("qid", "clause_id").agg(F.min(F.struct("df", "term")).alias("_r")).select(
-        "qid", "clause_id", "_r.df", "_r.term"
+        return _join_words(postings, words, small)
+    rarest = words.groupBy("qid", "clause_id", "n_terms").agg(
+        F.min(F.struct("df", "term")).alias("_r")
+    ).select("qid", "clause_id", "n_terms", "_r.df", "_r.term")
+    lookups = rarest.agg(F.sum(F.col("df") * F.col("n_terms"))).first()[0] or 0
+    if lookups > BROADCAST_ROWS:
+        return _join_words(postings, words, small)
+    holders = postings.join(F.broadcast(rarest.select("qid", "clause_id", "term")), "term").select(
+        "qid", "clause_id", "path"
     )
-    candidates = rarest.agg(F.sum("df")).first()[0] or 0
-    if candidates > BROADCAST_ROWS:
-        return found
-    holders = postings.join(F.broadcast(rarest.drop("df")), "term").select("qid", "clause_id", "path")
-    return found.join(F.broadcast(holders), ["qid", "clause_id", "path"], "left_semi")
+    wanted = holders.join(F.broadcast(words), ["qid", "clause_id"])
+    return postings.join(F.broadcast(wanted), ["term", "path"])
 
 
 def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False) -> DataFrame:
@@ -370,9 +374,12 @@ def match(index, clauses: DataFrame) -> DataFrame:
     if not parts:
         return clauses.select("qid", F.lit("").alias("path"), F.lit(0.0).alias("score")).limit(0)
     hits = reduce(DataFrame.unionByName, [p.select(*HIT_COLUMNS) for p in parts])
+    by_document = hits.groupBy("qid", "path")
+    if query.any_match:
+        return by_document.agg(F.sum("score").alias("score"))
     excluded = F.col("occur") == "must_not"
     return (
-        hits.groupBy("qid", "path").agg(
+        by_document.agg(
             F.sum(F.when(~excluded, F.col("score"))).alias("score"),
             F.count(F.when(F.col("occur") == "must", 1)).alias("_must"),
             F.max("n_must").alias("n_must"),

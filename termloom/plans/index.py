@@ -352,7 +352,7 @@ class StoredIndex(_Totals):
             entries.withColumn("bucket", bucket)
             .repartitionById((buckets + 1) * splits, (F.col("bucket") + 1) * splits + split)
             .sortWithinPartitions("bucket", "term", "path")
-            .write.mode("overwrite").partitionBy("bucket").parquet(home)
+            .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(home)
         )
         full = T.StructType([*schemas.POSTINGS.fields, T.StructField("bucket", T.IntegerType())])
         written = self.spark.read.schema(full).parquet(home)
@@ -361,7 +361,7 @@ class StoredIndex(_Totals):
             .withColumn("bucket", bucket_of(F.col("term"), buckets))
             .repartitionById(buckets, F.col("bucket"))
             .sortWithinPartitions("bucket", "term")
-            .write.mode("overwrite").partitionBy("bucket").parquet(self._folder("terms", seg))
+            .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(self._folder("terms", seg))
         )
         return _totals(written.filter(F.col("bucket") == DOCUMENT_BUCKET))
 
