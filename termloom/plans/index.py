@@ -2,12 +2,14 @@
 
 Stored layout, below one root folder::
 
-    postings/seg=N/bucket=B/   term, path, tf, positions, dl
-    terms/seg=N/bucket=B/      term, df
-    tombstones/seg=N/          path, dl of documents ended by segment N
-    quarantine/seg=N/          changes that could not be applied, and why
-    manifest/<snapshot>.json   segments, totals, last applied batch
-
+    postings/seg=N/attempt=A/bucket=B/   term, path, tf, positions, dl
+    terms/seg=N/attempt=A/bucket=B/      term, df
+    tombstones/seg=N/attempt=A/          path, dl of documents segment N ends
+    quarantine/seg=N/attempt=A/          changes set aside, and why
+    manifest/<snapshot>.json             segments, totals, last applied batch
+
+Every attempt to write a segment has its own folder, so an attempt that fails
+or loses to another writer cannot harm what a manifest already names.
 Bucket -1 of ``postings`` holds the document rows. A document is live when no
 tombstone of its path is newer than its segment. Files are never changed once
 a manifest names them, so an open index keeps reading the snapshot it opened.
@@ -18,6 +20,7 @@ overwriting it.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -128,9 +131,14 @@ class MemoryIndex(_Totals):
 @dataclass(frozen=True)
 class Segment:
     seg: int
+    attempt: str
     buckets: int
     tombstones: bool = False
 
+    @property
+    def folder(self) -> str:
+        return f"seg={self.seg:09d}/attempt={self.attempt}"
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -191,12 +199,12 @@ class StoredIndex(_Totals):
         bucket, so one very common term is spread over ``splits`` files.
         ``feed_start`` is the last change the corpus already contains.
         """
-        seg = self._next_seg()
+        segment = self._new_segment(buckets)
         n_docs, n_tokens = self._write_segment(
-            build_entries(_filtered(corpus, extensions)), seg, buckets, splits
+            build_entries(_filtered(corpus, extensions)), segment, splits
         )
         return self._publish(
-            segments=(Segment(seg, buckets),), n_docs=n_docs, n_tokens=n_tokens, last_seq=feed_start
+            segments=(segment,), n_docs=n_docs, n_tokens=n_tokens, last_seq=feed_start
         )
 
     # -- reading ----------------------------------------------------------------
@@ -228,7 +236,8 @@ class StoredIndex(_Totals):
         """
         if (table, buckets) not in self._scans:
             paths = [
-                self._folder(table, s.seg) for s in self.snapshot.segments if s.buckets == buckets
+                f"{self.root}/{table}/{s.folder}"
+                for s in self.snapshot.segments if s.buckets == buckets
             ]
             self._scans[table, buckets] = self.spark.read.schema(schema).option(
                 "basePath", f"{self.root}/{table}"
@@ -245,7 +254,7 @@ class StoredIndex(_Totals):
             if words and ranges is None:
                 homes = [bucket_of(F.lit(w), buckets) for w in words]
                 rows = rows.filter(F.col("bucket").isin(homes))
-            parts.append(rows.drop("bucket"))
+            parts.append(rows.drop("bucket", "attempt"))
         if not parts:
             return self.spark.createDataFrame([], full).drop("bucket")
         rows = reduce(DataFrame.unionByName, parts)
@@ -254,7 +263,7 @@ class StoredIndex(_Totals):
 
     def _live(self, rows: DataFrame) -> DataFrame:
         paths = [
-            self._folder("tombstones", s.seg) for s in self.snapshot.segments if s.tombstones
+            f"{self.root}/tombstones/{s.folder}" for s in self.snapshot.segments if s.tombstones
         ]
         if not paths:
             return rows
@@ -272,87 +281,99 @@ class StoredIndex(_Totals):
         """Fold ``changes`` in and publish the result as one snapshot.
 
         A batch id that was applied already changes nothing, and neither does
-        an empty batch. Segment files are overwritten by a repeated attempt
-        and count only once the manifest names them.
+        an empty batch.
         """
         if batch_id is not None and batch_id <= self.snapshot.last_batch:
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
         last_seq = changes.agg(F.max("seq")).first()[0]
         if last_seq is None:
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
-        seg = self._next_seg()
+        segment = self._new_segment(buckets)
         good, bad = C.split_loadable(changes, corpus, extensions)
-        bad.write.mode("overwrite").parquet(self._folder("quarantine", seg))
-        rejected = self.spark.read.schema(bad.schema).parquet(self._folder("quarantine", seg))
-
+        quarantine = f"{self.root}/quarantine/{segment.folder}"
+        bad.write.parquet(quarantine)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
-        C.touched(self.docs, resolved).select("path", "dl").write.mode("overwrite").parquet(
-            self._folder("tombstones", seg)
-        )
+        tombstones = f"{self.root}/tombstones/{segment.folder}"
+        C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
         added_docs, added_tokens = self._write_segment(
-            build_entries(C.content_of(corpus, resolved)), seg, buckets, splits
+            build_entries(C.content_of(corpus, resolved)), segment, splits
+        )
+        ended_docs, ended_tokens = _totals(
+            self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
         )
-        ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(self._folder("tombstones", seg))
-        ended_docs, ended_tokens = _totals(ended)
         after = self._publish(
-            segments=(*self.snapshot.segments, Segment(seg, buckets, ended_docs > 0)),
+            segments=(*self.snapshot.segments, replace(segment, tombstones=ended_docs > 0)),
             n_docs=self.n_docs + added_docs - ended_docs,
             n_tokens=self.n_tokens + added_tokens - ended_tokens,
             last_batch=self.snapshot.last_batch if batch_id is None else batch_id,
             last_seq=max(self.snapshot.last_seq, int(last_seq)),
         )
-        return Applied(after, rejected)
+        return Applied(after, self.spark.read.schema(bad.schema).parquet(quarantine))
 
     def compact(self, buckets: int = 16, splits: int = 1) -> "StoredIndex":
         """Rewrite the live rows as one segment without tombstones."""
-        seg = self._next_seg()
+        segment = self._new_segment(buckets)
         documents = self.docs.select(
             F.lit("").alias("term"), "path", F.lit(0).alias("tf"),
             F.array().cast("array<int>").alias("positions"), "dl",
         )
         n_docs, n_tokens = self._write_segment(
-            self.postings_for().unionByName(documents), seg, buckets, splits
+            self.postings_for().unionByName(documents), segment, splits
         )
-        return self._publish(segments=(Segment(seg, buckets),), n_docs=n_docs, n_tokens=n_tokens)
+        return self._publish(segments=(segment,), n_docs=n_docs, n_tokens=n_tokens)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete what the latest ``keep`` snapshots do not need.
+
+        Not while a writer is active or readers are on older snapshots.
+        """
+        manifest = f"{self.root}/manifest"
+        names = [n for n in storage.list_names(self.spark, manifest) if n.endswith(".json")]
+        kept = names[-max(keep, 1):]
+        texts = [storage.read_text(self.spark, f"{manifest}/{n}") for n in kept]
+        used = {s.folder for text in texts for s in Snapshot.from_json(text).segments}
+        for name in names[: len(names) - len(kept)]:
+            storage.delete(self.spark, f"{manifest}/{name}")
+        for table in ("postings", "terms", "tombstones", "quarantine"):
+            for seg in storage.list_names(self.spark, f"{self.root}/{table}"):
+                for attempt in storage.list_names(self.spark, f"{self.root}/{table}/{seg}"):
+                    if f"{seg}/{attempt}" not in used:
+                        storage.delete(self.spark, f"{self.root}/{table}/{seg}/{attempt}")
 
     def quarantine(self) -> DataFrame:
-        """All changes set aside so far, with the segment that met them."""
+        """Changes set aside by the segments of this snapshot."""
         schema = T.StructType([
             *schemas.CHANGES.fields, T.StructField("reason", T.StringType()),
             T.StructField("seg", T.LongType()),
         ])
-        folders = [
-            f for s in self.snapshot.segments
-            if storage.exists(self.spark, f := self._folder("quarantine", s.seg))
-        ]
+        folders = [f"{self.root}/quarantine/{s.folder}" for s in self.snapshot.segments]
+        folders = [f for f in folders if storage.exists(self.spark, f)]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option(
             "basePath", f"{self.root}/quarantine"
-        ).parquet(*folders)
+        ).parquet(*folders).drop("attempt")
 
     # -- writing ------------------------------------------------------------------
 
-    def _folder(self, table: str, seg: int) -> str:
-        return f"{self.root}/{table}/seg={seg:09d}"
-
-    def _next_seg(self) -> int:
-        return self.snapshot.snapshot + 1
+    def _new_segment(self, buckets: int) -> Segment:
+        if storage.exists(self.spark, self._manifest(self.snapshot.snapshot + 1)):
+            raise CommitConflict("the index has moved on: open it again and repeat")
+        return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets)
 
-    def _write_segment(
-        self, entries: DataFrame, seg: int, buckets: int, splits: int
-    ) -> tuple[int, int]:
+    def _write_segment(self, entries: DataFrame, segment: Segment, splits: int) -> tuple[int, int]:
         """Write postings and terms of one segment; returns its totals."""
+        buckets = segment.buckets
         bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
             bucket_of(F.col("term"), buckets)
         )
         split = F.pmod(F.xxhash64("path"), F.lit(splits)).cast("int")
-        home = self._folder("postings", seg)
+        home = f"{self.root}/postings/{segment.folder}"
         (
             entries.withColumn("bucket", bucket)
             .repartitionById((buckets + 1) * splits, (F.col("bucket") + 1) * splits + split)
             .sortWithinPartitions("bucket", "term", "path")
-            .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(home)
+            .write.option("compression", "zstd").partitionBy("bucket").parquet(home)
         )
         full = T.StructType([*schemas.POSTINGS.fields, T.StructField("bucket", T.IntegerType())])
         written = self.spark.read.schema(full).parquet(home)
@@ -361,17 +382,20 @@ class StoredIndex(_Totals):
             .withColumn("bucket", bucket_of(F.col("term"), buckets))
             .repartitionById(buckets, F.col("bucket"))
             .sortWithinPartitions("bucket", "term")
-            .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(self._folder("terms", seg))
+            .write.option("compression", "zstd").partitionBy("bucket")
+            .parquet(f"{self.root}/terms/{segment.folder}")
         )
         return _totals(written.filter(F.col("bucket") == DOCUMENT_BUCKET))
 
     def _publish(self, **changed) -> "StoredIndex":
         after = replace(self.snapshot, snapshot=self.snapshot.snapshot + 1, **changed)
-        target = f"{self.root}/manifest/{_manifest_name(after.snapshot)}"
-        if not storage.publish_text(self.spark, target, after.to_json()):
-            raise CommitConflict(f"{target} exists: open the index again and repeat")
+        if not storage.publish_text(self.spark, self._manifest(after.snapshot), after.to_json()):
+            raise CommitConflict("the index has moved on: open it again and repeat")
         return StoredIndex(self.spark, self.root, after)
 
+    def _manifest(self, snapshot: int) -> str:
+        return f"{self.root}/manifest/{_manifest_name(snapshot)}"
+
 
 def _manifest_name(snapshot: int) -> str:
     return f"{snapshot:012d}.json"
