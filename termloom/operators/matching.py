@@ -100,7 +100,7 @@ def _prepare_many(ready: DataFrame) -> Prepared:
         F.count(F.when(F.col("occur") != "must_not", 1)).alias("_positive"),
     )
     _refuse(not per_query.filter("_positive = 0").isEmpty())
-    last = F.element_at(F.col("words.term"), -1)
+    last = F.try_element_at(F.col("words.term"), F.lit(-1))
     facts = ready.agg(
         F.collect_set("kind").alias("kinds"), F.collect_set("occur").alias("occurs"),
         F.sum(F.greatest(F.size("words"), F.lit(1))).alias("n_words"),
@@ -120,7 +120,7 @@ def _words(clauses: DataFrame, kinds: list[str]) -> DataFrame:
 
     The last word of a phrase prefix is open, so it is not among them.
     """
-    first = F.element_at(F.col("words.pos"), 1)
+    first = F.try_element_at(F.col("words.pos"), F.lit(1))
     whole = F.when(
         F.col("kind") == "phrase_prefix", F.slice("words", 1, F.size("words") - 1)
     ).otherwise(F.col("words"))
@@ -138,6 +138,19 @@ def _join_words(postings: DataFrame, words: DataFrame, small: bool) -> DataFrame
     return salted_join(postings, words, ["term"], F.col("path"))
 
 
+def _with_frequency(terms: DataFrame, words: DataFrame, small: bool) -> DataFrame:
+    """Words that occur in the index, with their document frequency.
+
+    An index term is unique, so there are never more rows than words. Without
+    a broadcast only the terms asked for are repeated to spread a word that
+    very many clauses share.
+    """
+    if small:
+        return terms.join(F.broadcast(words), "term")
+    asked = terms.join(words.select("term").distinct(), "term")
+    return salted_join(words, asked, ["term"], F.struct("qid", "clause_id"))
+
+
 def _prefix_words(terms: DataFrame, query: Prepared, kind: str) -> DataFrame:
     """Every index term that completes the last word of a ``kind`` clause.
 
@@ -145,8 +158,8 @@ def _prefix_words(terms: DataFrame, query: Prepared, kind: str) -> DataFrame:
     """
     wanted = query.clauses.filter(F.col("kind") == kind).select(
         *CARRIED, "kind", "slop", F.size("words").alias("n_terms"),
-        (F.element_at(F.col("words.pos"), -1) - F.element_at(F.col("words.pos"), 1)).alias("offset"),
-        F.element_at(F.col("words.term"), -1).alias("_prefix"),
+        (F.try_element_at(F.col("words.pos"), F.lit(-1)) - F.try_element_at(F.col("words.pos"), F.lit(1))).alias("offset"),
+        F.try_element_at(F.col("words.term"), F.lit(-1)).alias("_prefix"),
     )
     lengths = F.array(*[F.lit(n) for n in query.prefix_lengths])
     cut = terms.select("term", F.explode(lengths).alias("_len")).filter(
@@ -232,7 +245,7 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
     # Shifting every word back by its offset makes a match an equal start.
     starts = F.aggregate(
         F.slice("found", 2, F.size("found")),
-        F.element_at("found", 1)["positions"],
+        F.get("found", F.lit(0))["positions"],
         lambda acc, f: F.array_intersect(acc, F.transform(f["positions"], lambda p: p - f["offset"])),
     )
     columns = [*CARRIED, "path", "tf", "dl", "weight"]
@@ -244,7 +257,7 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
     # A loose match spans at most n_terms + slop positions, so positions are
     # put into windows of that width (own and previous one); each window
     # is then small whatever the document length.
-    width = F.element_at("offsets", -1) + 1 + F.col("slop")
+    width = F.try_element_at(F.col("offsets"), F.lit(-1)) + 1 + F.col("slop")
     spots = loose.select(
         *keys, "offsets", "weight", width.alias("width"),
         F.inline(F.flatten(F.transform(
@@ -295,8 +308,9 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
     kinds = [k for k in SCORED_KINDS if k in query.kinds]
     if not kinds:
         return []
-    # An index term is unique, so this join never has more rows than words.
-    words = _join_words(index.terms_for(query.words), _words(query.clauses, kinds), query.small)
+    words = _with_frequency(
+        index.terms_for(query.words), _words(query.clauses, kinds), query.small
+    )
     words = words.withColumn("weight", idf(index.n_docs, F.col("df")))
     score = (
         F.col("weight") * F.col("boost") * saturation(F.col("tf"), F.col("dl"), index.avg_dl)
@@ -347,7 +361,7 @@ def _path_hits(index, query: Prepared) -> list[DataFrame]:
     if "path" not in query.kinds:
         return []
     asked = query.clauses.filter("kind = 'path'").select(
-        *CARRIED, F.element_at("terms", 1).alias("path")
+        *CARRIED, F.get("terms", F.lit(0)).alias("path")
     )
     docs = narrow(index.docs, "path", asked).select("path")
     score = idf(index.n_docs, F.lit(1.0)) * F.col("boost")
