@@ -19,6 +19,7 @@ from termloom.session import shared_dir
 
 FILE_PUTS = ["create", "modify", "rename"]
 RENAMES = ["rename", "rename_dir"]
+FEW_PREFIXES = 50
 
 
 def _action(name: str, path: str) -> Column:
@@ -66,13 +67,13 @@ def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Dat
     marked = changes.withColumn("_needed", needed)
     asked = marked.select(F.col("_needed").alias("path")).filter("path IS NOT NULL").distinct()
     small = fits_broadcast(changes, "path", "old_path")
-    held = keyed_join(corpus.select("path"), asked, ["path"], F.col("path"), small=small).select(
+    held = keyed_join(corpus.select("path"), asked, ["path"], small=small).select(
         F.col("path").alias("_needed"), F.lit(True).alias("_held")
     )
     reason = F.coalesce(
         malformed(), F.when(F.col("_needed").isNotNull() & F.col("_held").isNull(), "not in corpus")
     )
-    return keyed_join(marked, held, ["_needed"], F.col("seq"), "left", small).select(
+    return keyed_join(marked, held, ["_needed"], "left", small, F.col("seq")).select(
         *changes.columns, reason.alias("reason")
     )
 
@@ -145,18 +146,22 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
 def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:
     """Rows of ``docs`` that the changes replace or delete."""
     named = resolved.puts.select("path").unionByName(resolved.deletes.select("path")).distinct()
-    by_name = keyed_join(docs, named, ["path"], F.col("path"), "left_semi", resolved.small)
-    by_prefix = covered_by(docs, resolved.prefixes, small=resolved.small).select(*docs.columns)
+    prefixes = resolved.prefixes
+    by_name, by_prefix = docs, docs
+    if resolved.small:
+        by_name = narrow(docs, "path", named)
+        by_prefix = narrow(docs, "path", prefixes.select("prefix"), True, FEW_PREFIXES)
+    by_name = keyed_join(by_name, named, ["path"], "left_semi", resolved.small)
+    by_prefix = covered_by(by_prefix, prefixes, small=resolved.small).select(*docs.columns)
     return by_name.unionByName(by_prefix).dropDuplicates(["path"])
 
 
 def content_of(corpus: DataFrame, resolved: Resolved) -> DataFrame:
     """Current content of the paths to put; few of them narrow the scan."""
     if resolved.small:
-        corpus = narrow(corpus, "path", resolved.puts)
+        corpus = narrow(corpus, "path", resolved.puts.select("path"))
     return keyed_join(
-        corpus.select("path", "content"), resolved.puts, ["path"], F.col("path"), "left_semi",
-        resolved.small,
+        corpus.select("path", "content"), resolved.puts, ["path"], "left_semi", resolved.small
     )
 
 

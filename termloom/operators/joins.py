@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,16 @@ def fits_broadcast(df: DataFrame, *strings: str) -> bool:
 
 
 def keyed_join(
-    left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner",
-    small: bool = False,
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", small: bool = False,
+    spread: Column | None = None,
 ) -> DataFrame:
-    """Broadcast ``right`` when it was found ``small``, else join with salting."""
+    """Broadcast ``right`` when it was found ``small``, else join by shuffle.
+
+    With ``spread`` the left keys may be hot, so the shuffle is salted.
+    """
     if small:
         return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, spread, how)
+    return left.join(right, on, how) if spread is None else salted_join(left, right, on, spread, how)
 
 
 def covered_by(
@@ -68,16 +73,21 @@ def covered_by(
             | (F.substr(F.col("path"), F.col("_len"), F.lit(1)) == "/")
         )
     cut = cut.withColumn("prefix", F.substr(F.col("path"), F.lit(1), F.col("_len"))).drop("_len")
-    return keyed_join(cut, prefixes, ["prefix"], F.col("path"), small=small)
+    return keyed_join(cut, prefixes, ["prefix"], small=small, spread=F.col("path"))
 
 
-def narrow(table: DataFrame, column: str, keys: DataFrame, limit: int = PUSHDOWN_LIMIT) -> DataFrame:
-    """Push ``column IN (keys)`` into the scan when there are few keys.
+def narrow(
+    table: DataFrame, column: str, keys: DataFrame, prefix: bool = False, limit: int = PUSHDOWN_LIMIT
+) -> DataFrame:
+    """Push the ``keys`` (or prefixes) into the scan of ``column`` when few.
 
     Only a hint to the scan: the caller still joins, so a longer key list
     simply leaves ``table`` as it is.
     """
-    found = keys.select(column).distinct().limit(limit + 1).collect()
+    found = [row[0] for row in keys.distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         return table
-    return table.filter(F.col(column).isin([row[0] for row in found]))
+    if not prefix:
+        return table.filter(F.col(column).isin(found))
+    tests = [F.col(column).startswith(key) for key in found]
+    return table.filter(reduce(lambda x, y: x | y, tests, F.lit(False)))

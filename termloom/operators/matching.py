@@ -363,7 +363,7 @@ def _path_hits(index, query: Prepared) -> list[DataFrame]:
     asked = query.clauses.filter("kind = 'path'").select(
         *CARRIED, F.get("terms", F.lit(0)).alias("path")
     )
-    docs = narrow(index.docs, "path", asked).select("path")
+    docs = narrow(index.docs, "path", asked.select("path")).select("path")
     score = idf(index.n_docs, F.lit(1.0)) * F.col("boost")
     return [docs.join(asked, "path").withColumn("score", score)]
 

@@ -407,10 +407,15 @@ def _filtered(corpus: DataFrame, extensions: list[str] | None) -> DataFrame:
 
 
 def _spread(corpus: DataFrame) -> DataFrame:
-    """Redistribute a corpus held in fewer files than there are cores.
+    """Redistribute a small corpus held in fewer files than there are cores.
 
-    Such a corpus is small; a corpus of many files is read as it lies.
+    Small is what fits one read task per core; anything larger is split by
+    the reader itself and never moved before it is tokenised.
     """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    files = len(corpus.inputFiles())
-    return corpus.repartition(3 * cores, "path") if 0 < files < cores else corpus
+    spark = corpus.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if not 0 < len(corpus._jdf.inputFiles()) < cores:
+        return corpus
+    size = corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return corpus.repartition(3 * cores, "path") if int(size) <= cores * per_task else corpus

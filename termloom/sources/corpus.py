@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
+from termloom.operators.joins import fits_broadcast, keyed_join, narrow
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
@@ -56,9 +57,17 @@ def table_corpus(table: DataFrame, path: Column, content: Column) -> DataFrame:
 
 
 def load_by_path(requests: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Content for each requested path, for one path or for millions."""
-    held = corpus.select("path", "content", F.lit(True).alias("held"))
-    return requests.join(held, "path", "left").select(
+    """Content for each requested path, for one path or for millions.
+
+    The corpus is first cut down to the paths asked for, so content nobody
+    asked for is not moved.
+    """
+    asked = requests.select("path").distinct()
+    small = fits_broadcast(asked, "path")
+    if small:
+        corpus = narrow(corpus, "path", asked)
+    held = keyed_join(corpus.select("path", "content"), asked, ["path"], small=small)
+    return requests.join(held.withColumn("held", F.lit(True)), "path", "left").select(
         *requests.columns, "content", F.coalesce("held", F.lit(False)).alias("found")
     )
 
