@@ -36,6 +36,8 @@ from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
 DOCUMENT_BUCKET = -1
+FILE_BYTES = 256 << 20
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 
 
 class CommitConflict(RuntimeError):
@@ -133,6 +135,7 @@ class Segment:
     seg: int
     attempt: str
     buckets: int
+    splits: int
     tombstones: bool = False
 
     @property
@@ -190,18 +193,20 @@ class StoredIndex(_Totals):
         return StoredIndex.open(self.spark, self.root)
 
     def build(
-        self, corpus: DataFrame, extensions: list[str] | None = None, buckets: int = 16,
-        splits: int = 1, feed_start: int = -1,
+        self, corpus: DataFrame, extensions: list[str] | None = None, buckets: int | None = None,
+        splits: int | None = None, feed_start: int = -1,
     ) -> "StoredIndex":
         """Index the whole corpus and publish it in place of what is there.
 
         ``buckets`` divides terms, ``splits`` divides documents inside each
-        bucket, so one very common term is spread over ``splits`` files.
-        ``feed_start`` is the last change the corpus already contains.
+        bucket, so one very common term is spread over ``splits`` files; both
+        follow the corpus size unless given. ``feed_start`` is the last
+        change the corpus already contains.
         """
-        segment = self._new_segment(buckets)
+        auto_buckets, auto_splits = _layout(corpus)
+        segment = self._new_segment(buckets or auto_buckets, splits or auto_splits)
         n_docs, n_tokens = self._write_segment(
-            build_entries(_filtered(corpus, extensions)), segment, splits
+            build_entries(_filtered(corpus, extensions)), segment
         )
         return self._publish(
             segments=(segment,), n_docs=n_docs, n_tokens=n_tokens, last_seq=feed_start
@@ -288,7 +293,7 @@ class StoredIndex(_Totals):
         last_seq = changes.agg(F.max("seq")).first()[0]
         if last_seq is None:
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
-        segment = self._new_segment(buckets)
+        segment = self._new_segment(buckets, splits)
         good, bad = C.split_loadable(changes, corpus, extensions)
         quarantine = f"{self.root}/quarantine/{segment.folder}"
         bad.write.parquet(quarantine)
@@ -296,7 +301,7 @@ class StoredIndex(_Totals):
         tombstones = f"{self.root}/tombstones/{segment.folder}"
         C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
         added_docs, added_tokens = self._write_segment(
-            build_entries(C.content_of(corpus, resolved)), segment, splits
+            build_entries(C.content_of(corpus, resolved)), segment
         )
         ended_docs, ended_tokens = _totals(
             self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
@@ -310,15 +315,21 @@ class StoredIndex(_Totals):
         )
         return Applied(after, self.spark.read.schema(bad.schema).parquet(quarantine))
 
-    def compact(self, buckets: int = 16, splits: int = 1) -> "StoredIndex":
-        """Rewrite the live rows as one segment without tombstones."""
-        segment = self._new_segment(buckets)
+    def compact(self, buckets: int | None = None, splits: int | None = None) -> "StoredIndex":
+        """Rewrite the live rows as one segment without tombstones.
+
+        The layout is that of the largest segment unless given.
+        """
+        segment = self._new_segment(
+            buckets or max((s.buckets for s in self.snapshot.segments), default=1),
+            splits or max((s.splits for s in self.snapshot.segments), default=1),
+        )
         documents = self.docs.select(
             F.lit("").alias("term"), "path", F.lit(0).alias("tf"),
             F.array().cast("array<int>").alias("positions"), "dl",
         )
         n_docs, n_tokens = self._write_segment(
-            self.postings_for().unionByName(documents), segment, splits
+            self.postings_for().unionByName(documents), segment
         )
         return self._publish(segments=(segment,), n_docs=n_docs, n_tokens=n_tokens)
 
@@ -356,14 +367,14 @@ class StoredIndex(_Totals):
 
     # -- writing ------------------------------------------------------------------
 
-    def _new_segment(self, buckets: int) -> Segment:
+    def _new_segment(self, buckets: int, splits: int) -> Segment:
         if storage.exists(self.spark, self._manifest(self.snapshot.snapshot + 1)):
             raise CommitConflict("the index has moved on: open it again and repeat")
-        return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets)
+        return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets, splits)
 
-    def _write_segment(self, entries: DataFrame, segment: Segment, splits: int) -> tuple[int, int]:
+    def _write_segment(self, entries: DataFrame, segment: Segment) -> tuple[int, int]:
         """Write postings and terms of one segment; returns its totals."""
-        buckets = segment.buckets
+        buckets, splits = segment.buckets, segment.splits
         bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
             bucket_of(F.col("term"), buckets)
         )
@@ -406,6 +417,20 @@ def _filtered(corpus: DataFrame, extensions: list[str] | None) -> DataFrame:
     return _spread(kept)
 
 
+def _file_bytes(corpus: DataFrame) -> int | None:
+    """Estimated bytes of a corpus read from files; None for any other."""
+    if len(corpus._jdf.inputFiles()) == 0:
+        return None
+    return int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _layout(corpus: DataFrame) -> tuple[int, int]:
+    """Buckets and splits that put about ``FILE_BYTES`` of text behind each file."""
+    files = max((_file_bytes(corpus) or 0) // FILE_BYTES, MIN_BUCKETS)
+    buckets = min(files, MAX_BUCKETS)
+    return buckets, -(-files // buckets)
+
+
 def _spread(corpus: DataFrame) -> DataFrame:
     """Redistribute a small corpus held in fewer files than there are cores.
 
@@ -415,7 +440,7 @@ def _spread(corpus: DataFrame) -> DataFrame:
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
     per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if not 0 < len(corpus._jdf.inputFiles()) < cores:
+    size = _file_bytes(corpus)
+    if size is None or size > cores * per_task or len(corpus._jdf.inputFiles()) >= cores:
         return corpus
-    size = corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return corpus.repartition(3 * cores, "path") if int(size) <= cores * per_task else corpus
+    return corpus.repartition(3 * cores, "path")

@@ -122,3 +122,11 @@ def test_vacuum_keeps_the_latest_snapshot(spark, root, corpus_of, changes_of):
     assert found(StoredIndex.open(spark, root), "two") == {"a.txt"}
     with pytest.raises(ValueError):
         StoredIndex.open(spark, root, snapshot=1)
+
+
+def test_layout_follows_the_corpus_size(monkeypatch):
+    from termloom.plans import index as I
+
+    for size, expected in [(None, (16, 1)), (1 << 20, (16, 1)), (1 << 40, (4096, 1)), (100 << 40, (4096, 100))]:
+        monkeypatch.setattr(I, "_file_bytes", lambda corpus: size)
+        assert I._layout(None) == expected
