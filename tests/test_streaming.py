@@ -2,8 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from termloom import schemas
 from termloom.operators.events import classify
 from termloom.plans.index import StoredIndex
