@@ -6,19 +6,19 @@ minima of a tree form a region; the neighbour with the longest common prefix
 stands next to a set in the order, so neighbours are the first candidates. They
 are confirmed on the full sets, and what is linked becomes one component.
 
-Regions that still hold several components are then searched deeper, as far as
-each needs: the members outside a region's largest component meet all members of
-other components, a bounded number of leaders per region and round at first,
-four times as many in each next round, until no untested pair is left. So every
-pair that shares a region in any tree is either in one component or was tested,
-and no region is cut off, while a region that is one component costs nothing
-more. A pair of similarity 0.8 shares a region with probability
-``1 - (1 - 0.8 ** root) ** trees``, 0.9999994 with the defaults.
+Regions that still hold several components are searched to the end: they form
+families, whose members outside the largest component meet all its members in
+blocks of bounded size. So every pair that shares a region in any tree is either
+in one component or was compared on the full sets; no region is cut off, and one
+that is a single component costs nothing more. A pair of similarity 0.8 shares a
+region with probability ``1 - (1 - 0.8 ** root) ** trees``, 0.9999994 with the
+defaults. A family of ``s`` sets with ``o`` outside its largest component moves
+about ``2 * s * o / chunk`` texts.
 
 Equal sets are collapsed before (their links need no test) and share the
 component of their smallest id. Hot regions and hot sets are spread: orders are
-range-partitioned by the whole key, counts are pre-aggregated, candidate pairs
-are dealt by both ids, and only texts of candidates are moved.
+range-partitioned by the whole key, counts are pre-aggregated, blocks are dealt
+one by one, and only texts of candidates are moved.
 
 Defined results: null and empty texts and texts without words have an empty set
 and link with nothing. A document without an id takes no part: its component is
@@ -46,7 +46,8 @@ WORDS = 5
 PERCENT = 80
 TREES, DEPTH, ROOT = 20, 6, 3
 SEED = 20240501
-LEADERS = 8
+# Sets in one side of a block.
+CHUNK = 128
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary"
 _BLOCK = 4096
 
@@ -126,42 +127,15 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def open_pairs(rows: DataFrame, labels: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, int]:
-    """Pairs of different components in one region, and the largest number of leaders a region still wants."""
-    own = F.coalesce("component", "doc_id")
-    members = stored(
-        rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "region", "doc_id", "n_shingles", own.alias("component")
-        ), "members",
-    )
-    parts = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    state = stored(
-        parts.groupBy("region").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
-            (F.sum("n") - F.max("n")).alias("others"),
-        ).filter("parts > 1").select("region", "main", "others"), "open-regions",
-    )
-    wanted = state.agg(F.max("others")).first()[0] or 0
-    if not wanted:
-        return members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), 0
-    still = stored(members.join(sized(state, 24), "region"), "open-members")
-    share = F.ceil(F.col("others") / leaders)
-    lead = still.filter((F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("doc_id"), share) == 0)).select(
-        "region", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx")
-    )
-    near = 100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles")
-    met = still.join(lead, "region").filter((F.col("component") != F.col("cx")) & near)
-    pairs = met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    return pairs, wanted
+def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole texts of ``ids``, each once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(rows.join(sized(stored(ids, "candidates"), 8), "doc_id", "left_semi").distinct(), "candidate-texts")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The ``pairs`` whose full shingle sets are similar enough."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(sized(ids, 8), "doc_id", "left_semi").distinct(), "candidate-texts",
-    )
+    texts = candidate_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -186,9 +160,83 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return stored(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def families(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sets to compare further: ``family, doc_id, component, lead``.
+
+    A family joins regions that hold several components and share sets. Its
+    leaders are the members outside its largest component.
+    """
+    own = F.coalesce("component", "doc_id").alias("component")
+    members = stored(
+        rows.select("region", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("region", "doc_id", own), "members",
+    )
+    mixed = members.groupBy("region").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")
+    ).filter("low < high").select("region", "first")
+    mixed = stored(members.join(sized(stored(mixed, "open-regions"), 16), "region"), "open-members")
+    family = components(mixed.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
+    placed = stored(
+        mixed.select("doc_id", "component").distinct().join(
+            family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"
+        ), "families",
+    )
+    main = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"),
+        (F.sum("n") - F.max("n")).alias("leaders"),
+    )
+    return placed.join(sized(stored(main, "main-components"), 32), "family").withColumn(
+        "lead", F.col("component") != F.col("main")
+    )
+
+
+def block_links(docs: DataFrame, members: DataFrame, words: int, percent: int, chunk: int) -> DataFrame:
+    """Links between components of a family, found block by block.
+
+    Leaders and members are cut into chunks by a hash; a block is a chunk of each
+    and compares its sets through one inverted index, so no pair is emitted that
+    is not a link.
+    """
+    columns, rows = F.ceil(F.col("members") / chunk), F.ceil(F.col("leaders") / chunk)
+
+    def chunk_of(count: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64("doc_id"), count)
+
+    def every(count: F.Column) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+    name = ["family", "doc_id", "component"]
+    as_member = members.select(*name, F.lit(False).alias("lead"), every(rows).alias("i"), chunk_of(columns).alias("j"))
+    as_leader = members.filter("lead").select(*name, F.lit(True).alias("lead"), chunk_of(rows).alias("i"), every(columns).alias("j"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        shingler = Shingler(words)
+        sets = [shingler(t) for t in block.column("text").to_pylist()]
+        ids, parts, lead = (block.column(c).to_numpy() for c in ("doc_id", "component", "lead"))
+        leaders = np.flatnonzero(lead)
+        found: list[tuple[int, int]] = []
+        if len(leaders):
+            owner = np.repeat(np.arange(len(leaders)), [len(sets[i]) for i in leaders])
+            index = np.concatenate([sets[i] for i in leaders])
+            order = np.argsort(index, kind="stable")
+            index, owner = index[order], owner[order]
+            sizes = np.array([len(sets[i]) for i in leaders])
+            for m in np.flatnonzero(~lead):
+                low, high = np.searchsorted(index, sets[m]), np.searchsorted(index, sets[m], side="right")
+                runs = high - low
+                places = np.repeat(low - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
+                both = np.bincount(owner[places], minlength=len(leaders))
+                hit = (100 * both >= percent * (sizes + len(sets[m]) - both)) & (parts[leaders] != parts[m])
+                found += [(min(ids[m], ids[x]), max(ids[m], ids[x])) for x in leaders[hit]]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    blocks = as_member.unionByName(as_leader).join(candidate_texts(docs, members.select("doc_id").distinct()), "doc_id")
+    return stored(blocks.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
-    root: int = ROOT, leaders: int = LEADERS,
+    root: int = ROOT, chunk: int = CHUNK,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
     sketch = stored(sketches(docs, words, trees, depth), "sketches")
@@ -196,22 +244,11 @@ def near_duplicates(
     sets = stored(known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
     firsts = known.join(sets, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id", "doc_id"])
     rows = shared_regions(forest(firsts, trees, depth, root))
-    tested = stored(neighbours(rows, percent), "pairs")
-    links = confirmed(docs, tested, words, percent)
+    links = confirmed(docs, stored(neighbours(rows, percent), "pairs"), words, percent)
     labels = components(links)
-    while True:
-        pairs, wanted = open_pairs(rows, labels, leaders, percent)
-        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if wanted <= leaders:
-                break
-        else:
-            tested = stored(tested.unionByName(fresh), "tested")
-            found = confirmed(docs, fresh, words, percent)
-            if not found.isEmpty():
-                links = stored(links.unionByName(found), "links")
-                labels = components(links)
-        leaders *= 4
+    more = block_links(docs, families(rows, labels), words, percent, chunk)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "set_id", F.coalesce("component", "doc_id").alias("component")
     )
