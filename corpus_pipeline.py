@@ -1,26 +1,59 @@
-"""The corpus pipeline: each stage reads what its predecessor wrote."""
+"""The corpus pipeline: each stage reads what its predecessor wrote.
+
+Documents of low quality go, then exact copies, then near copies but one of each
+group; secrets in the texts that stay are masked, and the texts are packed into
+token windows. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from termloom.llm import exact_dedup, near_dedup, packing, quality, secrets
 from termloom.llm.common import stored, table
-from termloom.llm.exact_dedup import drop_copies
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the co-trained classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keep the row with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: five words, similarity 0.8."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret in the texts; ``n_chars`` follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of at most 1,024 ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
-    ("exact_dedup", exact_dedup),
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("secret_scan", secrets_stage),
+    ("packing", packing_stage),
 ]
 
-# Trained models and sketches take no SQL form.
+# Trained models and sketches take no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
