@@ -201,6 +201,8 @@ def train(
     )
     table = stored(rows, "training-rows").orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow()
     label = table.column("label").to_numpy()
+    if not len(label):
+        return None
     views = [
         np.array(table.column(c).to_pylist(), dtype=float).reshape(len(label), -1) for c in ("content", "metadata")
     ]

@@ -45,7 +45,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567890|abcdefgh|0{8}", re.IGNORECASE)
-URL_TAIL = re.compile(r"https?://[^\s\"'<>]*$")
+URL_TAIL = re.compile(r"https?:(//[^\s\"'<>]*)?$")
 N_LOG_N = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 

@@ -84,7 +84,7 @@ class Queries:
             for i in range(0, len(ids), STEP):
                 scores = matrix[i:i + STEP] @ seeds.T
                 scores[ids[i:i + STEP, None] == seed_ids[None, :]] = -np.inf
-                best = np.partition(scores, -k, axis=1)[:, -k]
+                best = np.clip(np.partition(scores, -k, axis=1)[:, -k], LONG_MIN, LONG_MAX)
                 # Two units lower: far above 2**52 a product here is rounded.
                 self.floor[i:i + STEP] = best - np.abs(best) * 1e-9 - 1
 
@@ -118,6 +118,7 @@ class Walk:
             return
         lead = matrix @ q.basis
         bound = q.lead[alive] @ lead.T + np.outer(q.rest[alive], q.residual(lead, norm))
+        bound = np.maximum(bound, LONG_MIN)
         keep = ~(bound < (self.floor - margin)[alive, None]) & (q.ids[alive, None] != ids[None, :])
         rows, columns = np.nonzero(keep)
         found = []
