@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import termloom
 from termloom.session import shared_dir
 
 # Largest table that may be broadcast, in bytes of its rows; checked each time.
@@ -32,10 +35,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of long texts must stay small; a chosen setting is kept."""
+_shipped: set[str] = set()
+
+
+def ready_workers(spark: SparkSession) -> None:
+    """Prepare a session for this package's Python code on executors.
+
+    The code travels with the application, once, so that workers need no copy
+    of it; Spark's own file server hands it out. Arrow batches of long texts must
+    stay small; a setting that was chosen is kept.
+    """
     if spark.conf.get(BATCH_KEY) == SPARK_BATCH:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        home = Path(termloom.__file__).parent
+        # In the driver's folder of this application, from which Spark serves it.
+        package = Path(spark.sparkContext._temp_dir, "termloom_code.zip")
+        with zipfile.ZipFile(package, "w") as archive:
+            for source in sorted(home.rglob("*.py")):
+                archive.write(source, Path(home.name, source.relative_to(home)))
+        spark.sparkContext.addPyFile(str(package))
+        _shipped.add(application)
 
 
 def fits(df: DataFrame, row_bytes: int) -> bool:

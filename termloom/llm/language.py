@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import small_batches, stored
+from termloom.llm.common import ready_workers, stored
 
 BINS = 1 << 14
 ORDERS = (2, 3)
@@ -150,7 +150,7 @@ def train(
 ) -> LanguageModel | None:
     """Fit on rows with a language that are not held out; None if there is none."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready_workers(spark)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
@@ -188,7 +188,7 @@ def train(
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The language of every row's whole text."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

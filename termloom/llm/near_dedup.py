@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import sized, small_batches, stored
+from termloom.llm.common import sized, ready_workers, stored
 from termloom.llm.components import components
 from termloom.llm.shingles import Shingler, similar
 
@@ -67,7 +67,7 @@ def minima(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     """Set size, set identity and signature of every row; no signature for an empty set."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     odd = multipliers(trees * depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

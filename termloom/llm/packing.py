@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import small_batches, text_of
+from termloom.llm.common import ready_workers, text_of
 
 CAPACITY = 1024
 GROUP = 256
@@ -140,7 +140,7 @@ def pack_documents(
     docs: DataFrame, ranks_file: str, pattern: str, capacity: int = CAPACITY, group: int = GROUP, part: int = PART
 ) -> DataFrame:
     """One row per piece; ``ids`` are little-endian unsigned 32-bit numbers."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(ranks_file, pattern).encode_ordinary

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from termloom.llm.common import small_batches, text_of
+from termloom.llm.common import ready_workers, text_of
 
 START = "▁"
 WORDS = re.compile(f"{START}*[^{START}]+|{START}+")
@@ -165,7 +165,7 @@ def encoder(model_file: str) -> PieceEncoder:
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id``, the ``ids`` of the whole text, and the text ``decoded`` from them."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(model_file)

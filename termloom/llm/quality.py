@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import sized, small_batches, stored
+from termloom.llm.common import sized, ready_workers, stored
 
 LABELLED, UNLABELLED = 10_000, 10_000
 ROUNDS = 5
@@ -185,7 +185,7 @@ def train(
     docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS
 ) -> CoTrained | None:
     """Fit on the labelled rows of ``docs`` and a sample of the others; None without both classes."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
     ).agg(F.avg("quality").alias("mean")).filter("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label"))
@@ -214,7 +214,7 @@ def train(
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of every row, and whether it is kept."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import small_batches, text_of
+from termloom.llm.common import ready_workers, text_of
 
 KINDS = ("assign", "access", "hex", "entropy")
 RANK = {kind: i for i, kind in enumerate(KINDS)}
@@ -130,7 +130,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the ``spans`` of every row."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a text replaced by ``mask``; null texts stay null."""
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

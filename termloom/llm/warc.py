@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import scratch, sized, small_batches, stored, text_of
+from termloom.llm.common import scratch, sized, ready_workers, stored, text_of
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
@@ -118,7 +118,7 @@ def _writer(folder: str, archive_bytes: int):
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` below ``folder``; the index, a stored table."""
-    small_batches(pages.sparkSession)
+    ready_workers(pages.sparkSession)
     return stored(deduplicated(pages).mapInArrow(_writer(folder, archive_bytes), INDEX), "warc-index")
 
 
@@ -182,7 +182,7 @@ def _reader(folder: str, gap: int, longest: int):
 
 def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, longest: int = RANGE_BYTES) -> DataFrame:
     """The records of the selected ``index`` rows, read in order of their place."""
-    small_batches(index.sparkSession)
+    ready_workers(index.sparkSession)
     places = index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
     return places.sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder, gap, longest), RECORDS)
 

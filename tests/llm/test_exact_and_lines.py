@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from termloom.llm import exact_dedup, line_dedup
-from termloom.llm.common import small_batches
+from termloom.llm.common import ready_workers
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -99,12 +99,12 @@ def test_line_plan_has_no_python(spark, docs_of):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_small_batches_keeps_a_chosen_size(spark):
+def test_ready_workers_keeps_a_chosen_size(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, "77")
-        small_batches(spark)
+        ready_workers(spark)
         assert spark.conf.get(key) == "77"
     finally:
         spark.conf.set(key, before)
