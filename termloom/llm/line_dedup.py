@@ -29,7 +29,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
+    stripped = F.btrim(line, F.lit(SPACE))
+    # ``lower`` changes the same letters where all are ASCII, and is much faster.
+    ascii_only = F.octet_length(stripped) == F.length(stripped)
+    return F.when(ascii_only, F.lower(stripped)).otherwise(
+        F.translate(stripped, string.ascii_uppercase, string.ascii_lowercase)
+    )
 
 
 def _rows(docs: DataFrame) -> DataFrame:
