@@ -33,6 +33,7 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long"
@@ -180,10 +181,15 @@ def _reader(folder: str, gap: int, longest: int):
     return run
 
 
-def read_records(index: DataFrame, folder: str, gap: int = GAP_BYTES, longest: int = RANGE_BYTES) -> DataFrame:
+def read_records(
+    index: DataFrame, folder: str, gap: int = GAP_BYTES, longest: int = RANGE_BYTES, task_bytes: int = TASK_BYTES
+) -> DataFrame:
     """The records of the selected ``index`` rows, read in order of their place."""
     ready_workers(index.sparkSession)
-    places = index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # By bytes to read, not by bytes of the index rows.
+    tasks = max(1, -(-total // task_bytes))
+    places = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
     return places.sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder, gap, longest), RECORDS)
 
 
