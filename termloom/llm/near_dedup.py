@@ -47,7 +47,7 @@ PERCENT = 80
 TREES, DEPTH, ROOT = 20, 6, 3
 SEED = 20240501
 # Sets in one side of a block.
-CHUNK = 128
+CHUNK = 512
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary"
 _BLOCK = 4096
 
