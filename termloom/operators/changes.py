@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
-from termloom.operators.joins import covered_by, fits_broadcast, keyed_join, narrow
+from termloom.operators.joins import covered_by, fits_broadcast, holding, keyed_join, narrow, without
 from termloom.session import shared_dir
 
 FILE_PUTS = ["create", "modify", "rename"]
 RENAMES = ["rename", "rename_dir"]
+OPERATIONS = [*FILE_PUTS, "delete", "delete_dir", "rename_dir", "create_dir"]
 FEW_PREFIXES = 50
 
 
@@ -52,7 +53,8 @@ def expand(changes: DataFrame, extensions: list[str], keep: list[str] = ()) -> D
 def malformed() -> Column:
     """Reason a change cannot be read, or null."""
     no_old = F.col("op").isin(RENAMES) & F.col("old_path").isNull()
-    return F.when(F.col("path").isNull() | no_old, "missing path")
+    unknown = F.col("op").isNull() | ~F.col("op").isin(OPERATIONS)
+    return F.when(unknown, "unknown operation").when(F.col("path").isNull() | no_old, "missing path")
 
 
 def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> DataFrame:
@@ -65,17 +67,20 @@ def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Dat
         F.col("op").isin(FILE_PUTS) & P.is_target(F.col("path"), extensions), F.col("path")
     )
     marked = changes.withColumn("_needed", needed)
-    asked = marked.select(F.col("_needed").alias("path")).filter("path IS NOT NULL").distinct()
+    wants = F.col("_needed").isNotNull()
+    asked = marked.filter(wants).select(F.col("_needed").alias("path")).distinct()
     small = fits_broadcast(changes, "path", "old_path")
-    held = keyed_join(corpus.select("path"), asked, ["path"], small=small).select(
+    paths = narrow(corpus.select("path"), "path", asked) if small else corpus.select("path")
+    held = keyed_join(paths, asked, ["path"], small=small).select(
         F.col("path").alias("_needed"), F.lit(True).alias("_held")
     )
     reason = F.coalesce(
         malformed(), F.when(F.col("_needed").isNotNull() & F.col("_held").isNull(), "not in corpus")
     )
-    return keyed_join(marked, held, ["_needed"], "left", small, F.col("seq")).select(
-        *changes.columns, reason.alias("reason")
-    )
+    # Changes that need no content stay out of the join.
+    looked_up = keyed_join(marked.filter(wants), held, ["_needed"], "left", small, F.col("seq"))
+    rest = marked.filter(~wants).withColumn("_held", F.lit(None).cast("boolean"))
+    return looked_up.unionByName(rest).select(*changes.columns, reason.alias("reason"))
 
 
 def split_loadable(
@@ -160,9 +165,7 @@ def content_of(corpus: DataFrame, resolved: Resolved) -> DataFrame:
     """Current content of the paths to put; few of them narrow the scan."""
     if resolved.small:
         corpus = narrow(corpus, "path", resolved.puts.select("path"))
-    return keyed_join(
-        corpus.select("path", "content"), resolved.puts, ["path"], "left_semi", resolved.small
-    )
+    return holding(corpus.select("path", "content"), resolved.puts, "path", resolved.small)
 
 
 def fold(
@@ -170,8 +173,8 @@ def fold(
 ) -> DataFrame:
     """The documents left after applying ``changes`` to ``base``, in order."""
     resolved = resolve(expand(changes, extensions), corpus, extensions)
-    gone = touched(base.select("path"), resolved)
-    kept = base.select("path", "content").join(gone, "path", "left_anti")
+    gone = touched(base.select("path"), resolved).select("path").checkpoint()
+    kept = without(base.select("path", "content"), gone, "path", fits_broadcast(gone, "path"))
     return kept.unionByName(content_of(corpus, resolved))
 
 

@@ -47,6 +47,37 @@ def keyed_join(
     return left.join(right, on, how) if spread is None else salted_join(left, right, on, spread, how)
 
 
+def _by_hash(table: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame] | None:
+    """``table`` split by a broadcast set of key hashes: rows to look up, and all others.
+
+    None when even the hashes are too many to broadcast.
+    """
+    hashes = keys.select(F.xxhash64(column).alias("_hash")).distinct()
+    if hashes.count() * 16 > BROADCAST_BYTES:
+        return None
+    hashed = table.withColumn("_hash", F.xxhash64(column))
+    small = F.broadcast(hashes)
+    return hashed.join(small, "_hash", "left_semi").drop("_hash"), hashed.join(small, "_hash", "left_anti").drop("_hash")
+
+
+def holding(table: DataFrame, keys: DataFrame, column: str, small: bool) -> DataFrame:
+    """Rows of a wide ``table`` whose ``column`` is among ``keys``; only candidates are shuffled."""
+    if small:
+        return table.join(F.broadcast(keys), column, "left_semi")
+    split = _by_hash(table, keys, column)
+    return (table if split is None else split[0]).join(keys, column, "left_semi")
+
+
+def without(table: DataFrame, keys: DataFrame, column: str, small: bool) -> DataFrame:
+    """Rows of a wide ``table`` whose ``column`` is not among ``keys``; only candidates are shuffled."""
+    if small:
+        return table.join(F.broadcast(keys), column, "left_anti")
+    split = _by_hash(table, keys, column)
+    if split is None:
+        return table.join(keys, column, "left_anti")
+    return split[0].join(keys, column, "left_anti").unionByName(split[1])
+
+
 def covered_by(
     paths: DataFrame, prefixes: DataFrame, component: bool = False, small: bool | None = None
 ) -> DataFrame:

@@ -38,6 +38,11 @@ def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     return _indexes[key]
 
 
+def own_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """An index of ``documents`` of the caller's own, to be changed."""
+    return StoredIndex.open(spark, new_root(spark, "index")).build(S.documents(spark, sf_dir))
+
+
 def memory_index(spark: SparkSession, sf_dir: str) -> MemoryIndex:
     key = (spark.sparkContext.applicationId, sf_dir, MemoryIndex)
     if key not in _indexes:

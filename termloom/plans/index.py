@@ -6,21 +6,22 @@ Stored layout, below one root folder::
     terms/seg=N/attempt=A/bucket=B/      term, df
     tombstones/seg=N/attempt=A/          path, dl of documents segment N ends
     quarantine/seg=N/attempt=A/          changes set aside, and why
-    manifest/<snapshot>.json             segments, totals, last applied batch
+    manifest/<snapshot>.json             segments, totals, applied batches
 
 Every attempt to write a segment has its own folder, so an attempt that fails
 or loses to another writer cannot harm what a manifest already names.
 Bucket -1 of ``postings`` holds the document rows. A document is live when no
 tombstone of its path is newer than its segment. Files are never changed once
 a manifest names them, so an open index keeps reading the snapshot it opened.
-One writer at a time; a second one fails at the manifest instead of
-overwriting it.
+One writer at a time; where renaming onto an existing file fails (HDFS, local
+disks) a second one fails at the manifest instead of overwriting it.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -36,8 +37,12 @@ from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
 DOCUMENT_BUCKET = -1
-FILE_BYTES = 256 << 20
+TASK_BYTES = 1 << 30  # text behind one reduce partition
 MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+MAX_TASKS = 20_000  # reduce partitions of one shuffle
+SEGMENT_BYTES = MAX_TASKS * TASK_BYTES  # text behind one segment of a build
+UNKNOWN_BYTES = 1 << 60  # Spark's estimates from here on say that it does not know
+TOKEN_BYTES = 8  # text behind one token, for layouts of what is indexed already
 
 
 class CommitConflict(RuntimeError):
@@ -56,10 +61,15 @@ def _wanted(words: tuple[str, ...] | None, ranges: Column | None) -> Column | No
     """Scan condition on ``term``; None when the whole table is wanted."""
     if words is None:
         return None
-    listed = F.col("term").isin(list(words))
+    # As one SQL text, since thousands of literals made one by one take seconds.
+    listed = F.expr("term IN (%s)" % ",".join(map(_quoted, words))) if words else F.lit(False)
     return listed if ranges is None else listed | ranges
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _totals(docs: DataFrame) -> tuple[int, int]:
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return int(row[0]), int(row[1])
@@ -135,7 +145,6 @@ class Segment:
     seg: int
     attempt: str
     buckets: int
-    splits: int
     tombstones: bool = False
 
     @property
@@ -149,8 +158,9 @@ class Snapshot:
     segments: tuple[Segment, ...] = field(default_factory=tuple)
     n_docs: int = 0
     n_tokens: int = 0
-    last_batch: int = -1
+    batches: dict[str, int] = field(default_factory=dict)  # last applied batch of each stream
     last_seq: int = -1
+    quarantined: tuple[str, ...] = ()  # folders of changes set aside, kept over rewrites
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
@@ -159,6 +169,7 @@ class Snapshot:
     def from_json(cls, text: str) -> "Snapshot":
         raw = json.loads(text)
         raw["segments"] = tuple(Segment(**s) for s in raw["segments"])
+        raw["quarantined"] = tuple(raw["quarantined"])
         return cls(**raw)
 
 
@@ -194,22 +205,29 @@ class StoredIndex(_Totals):
 
     def build(
         self, corpus: DataFrame, extensions: list[str] | None = None, buckets: int | None = None,
-        splits: int | None = None, feed_start: int = -1,
+        feed_start: int = -1,
     ) -> "StoredIndex":
         """Index the whole corpus and publish it in place of what is there.
 
-        ``buckets`` divides terms, ``splits`` divides documents inside each
-        bucket, so one very common term is spread over ``splits`` files; both
-        follow the corpus size unless given. ``feed_start`` is the last
-        change the corpus already contains.
+        ``buckets`` divides terms and follows the corpus size unless given; a
+        corpus above ``SEGMENT_BYTES`` is built as several segments, by a hash
+        of the path, so that no shuffle has too many partitions. ``feed_start``
+        is the last change the corpus already contains. Streams start anew:
+        whatever batch they bring next is applied.
         """
-        auto_buckets, auto_splits = _layout(corpus)
-        segment = self._new_segment(buckets or auto_buckets, splits or auto_splits)
-        n_docs, n_tokens = self._write_segment(
-            build_entries(_filtered(corpus, extensions)), segment
-        )
+        layout = layout_for(input_bytes(corpus))
+        kept = _filtered(corpus, extensions)
+        segments, n_docs, n_tokens = [], 0, 0
+        for part in range(layout.parts):
+            mine = kept if layout.parts == 1 else kept.filter(
+                F.pmod(F.xxhash64("path"), F.lit(layout.parts)) == part
+            )
+            segment = self._new_segment(buckets or layout.buckets)
+            docs, tokens = self._write_segment(build_entries(mine), segment, layout.tasks)
+            segments.append(segment)
+            n_docs, n_tokens = n_docs + docs, n_tokens + tokens
         return self._publish(
-            segments=(segment,), n_docs=n_docs, n_tokens=n_tokens, last_seq=feed_start
+            segments=tuple(segments), n_docs=n_docs, n_tokens=n_tokens, batches={}, last_seq=feed_start
         )
 
     # -- reading ----------------------------------------------------------------
@@ -257,8 +275,8 @@ class StoredIndex(_Totals):
         for buckets in sorted({s.buckets for s in self.snapshot.segments}):
             rows = self._scan(table, full, buckets).filter(condition)
             if words and ranges is None:
-                homes = [bucket_of(F.lit(w), buckets) for w in words]
-                rows = rows.filter(F.col("bucket").isin(homes))
+                homes = {zlib.crc32(w.encode()) % buckets for w in words}
+                rows = rows.filter(F.col("bucket").isin(sorted(homes)))
             parts.append(rows.drop("bucket", "attempt"))
         if not parts:
             return self.spark.createDataFrame([], full).drop("bucket")
@@ -281,55 +299,57 @@ class StoredIndex(_Totals):
 
     def apply(
         self, changes: DataFrame, corpus: DataFrame, extensions: list[str],
-        batch_id: int | None = None, buckets: int = 1, splits: int = 1,
+        batch_id: int | None = None, stream: str = "", buckets: int | None = None,
     ) -> Applied:
         """Fold ``changes`` in and publish the result as one snapshot.
 
-        A batch id that was applied already changes nothing, and neither does
-        an empty batch.
+        A batch that ``stream`` brought already changes nothing, and neither
+        does an empty batch. The segment is laid out like a build, from the
+        text it takes in.
         """
-        if batch_id is not None and batch_id <= self.snapshot.last_batch:
+        if batch_id is not None and batch_id <= self.snapshot.batches.get(stream, -1):
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
         last_seq = changes.agg(F.max("seq")).first()[0]
         if last_seq is None:
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
-        segment = self._new_segment(buckets, splits)
         good, bad = C.split_loadable(changes, corpus, extensions)
-        quarantine = f"{self.root}/quarantine/{segment.folder}"
-        bad.write.parquet(quarantine)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
+        added = C.content_of(corpus, resolved)
+        layout = layout_for(_text_bytes(added))
+        segment = self._new_segment(buckets or layout.buckets)
+        quarantine = f"quarantine/{segment.folder}"
+        bad.write.parquet(f"{self.root}/{quarantine}")
         tombstones = f"{self.root}/tombstones/{segment.folder}"
         C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
-        added_docs, added_tokens = self._write_segment(
-            build_entries(C.content_of(corpus, resolved)), segment
-        )
+        added_docs, added_tokens = self._write_segment(build_entries(added), segment, layout.tasks)
         ended_docs, ended_tokens = _totals(
             self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
         )
+        seen = {} if batch_id is None else {stream: batch_id}
+        rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         after = self._publish(
             segments=(*self.snapshot.segments, replace(segment, tombstones=ended_docs > 0)),
             n_docs=self.n_docs + added_docs - ended_docs,
             n_tokens=self.n_tokens + added_tokens - ended_tokens,
-            last_batch=self.snapshot.last_batch if batch_id is None else batch_id,
+            batches={**self.snapshot.batches, **seen},
             last_seq=max(self.snapshot.last_seq, int(last_seq)),
+            quarantined=self.snapshot.quarantined if rejected.isEmpty() else (*self.snapshot.quarantined, quarantine),
         )
-        return Applied(after, self.spark.read.schema(bad.schema).parquet(quarantine))
+        return Applied(after, rejected)
 
-    def compact(self, buckets: int | None = None, splits: int | None = None) -> "StoredIndex":
+    def compact(self, buckets: int | None = None) -> "StoredIndex":
         """Rewrite the live rows as one segment without tombstones.
 
-        The layout is that of the largest segment unless given.
+        The layout is that of a build over as many tokens, unless given.
         """
-        segment = self._new_segment(
-            buckets or max((s.buckets for s in self.snapshot.segments), default=1),
-            splits or max((s.splits for s in self.snapshot.segments), default=1),
-        )
+        layout = layout_for(self.n_tokens * TOKEN_BYTES)
+        segment = self._new_segment(buckets or layout.buckets)
         documents = self.docs.select(
             F.lit("").alias("term"), "path", F.lit(0).alias("tf"),
             F.array().cast("array<int>").alias("positions"), "dl",
         )
         n_docs, n_tokens = self._write_segment(
-            self.postings_for().unionByName(documents), segment
+            self.postings_for().unionByName(documents), segment, layout.tasks
         )
         return self._publish(segments=(segment,), n_docs=n_docs, n_tokens=n_tokens)
 
@@ -342,23 +362,24 @@ class StoredIndex(_Totals):
         names = [n for n in storage.list_names(self.spark, manifest) if n.endswith(".json")]
         kept = names[-max(keep, 1):]
         texts = [storage.read_text(self.spark, f"{manifest}/{n}") for n in kept]
-        used = {s.folder for text in texts for s in Snapshot.from_json(text).segments}
+        snapshots = [Snapshot.from_json(text) for text in texts]
+        used = {f"{t}/{s.folder}" for x in snapshots for s in x.segments for t in ("postings", "terms", "tombstones")}
+        used |= {folder for x in snapshots for folder in x.quarantined}
         for name in names[: len(names) - len(kept)]:
             storage.delete(self.spark, f"{manifest}/{name}")
         for table in ("postings", "terms", "tombstones", "quarantine"):
             for seg in storage.list_names(self.spark, f"{self.root}/{table}"):
                 for attempt in storage.list_names(self.spark, f"{self.root}/{table}/{seg}"):
-                    if f"{seg}/{attempt}" not in used:
+                    if f"{table}/{seg}/{attempt}" not in used:
                         storage.delete(self.spark, f"{self.root}/{table}/{seg}/{attempt}")
 
     def quarantine(self) -> DataFrame:
-        """Changes set aside by the segments of this snapshot."""
+        """Changes set aside so far, also before a rebuild or a rewrite."""
         schema = T.StructType([
             *schemas.CHANGES.fields, T.StructField("reason", T.StringType()),
             T.StructField("seg", T.LongType()),
         ])
-        folders = [f"{self.root}/quarantine/{s.folder}" for s in self.snapshot.segments]
-        folders = [f for f in folders if storage.exists(self.spark, f)]
+        folders = [f"{self.root}/{folder}" for folder in self.snapshot.quarantined]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option(
@@ -367,22 +388,26 @@ class StoredIndex(_Totals):
 
     # -- writing ------------------------------------------------------------------
 
-    def _new_segment(self, buckets: int, splits: int) -> Segment:
+    def _new_segment(self, buckets: int) -> Segment:
         if storage.exists(self.spark, self._manifest(self.snapshot.snapshot + 1)):
             raise CommitConflict("the index has moved on: open it again and repeat")
-        return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets, splits)
+        return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets)
+
+    def _write_segment(self, entries: DataFrame, segment: Segment, tasks: int) -> tuple[int, int]:
+        """Write postings and terms of one segment; returns its totals.
 
-    def _write_segment(self, entries: DataFrame, segment: Segment) -> tuple[int, int]:
-        """Write postings and terms of one segment; returns its totals."""
-        buckets, splits = segment.buckets, segment.splits
+        Rebalanced by bucket: adaptive execution measures every reduce
+        partition, splits the large ones (hot terms, document rows) over several
+        tasks and files, and joins small ones.
+        """
+        buckets = segment.buckets
         bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
             bucket_of(F.col("term"), buckets)
         )
-        split = F.pmod(F.xxhash64("path"), F.lit(splits)).cast("int")
         home = f"{self.root}/postings/{segment.folder}"
         (
             entries.withColumn("bucket", bucket)
-            .repartitionById((buckets + 1) * splits, (F.col("bucket") + 1) * splits + split)
+            .hint("rebalance", tasks, F.col("bucket"))
             .sortWithinPartitions("bucket", "term", "path")
             .write.option("compression", "zstd").partitionBy("bucket").parquet(home)
         )
@@ -391,7 +416,7 @@ class StoredIndex(_Totals):
         (
             term_stats(written.filter("bucket >= 0"))
             .withColumn("bucket", bucket_of(F.col("term"), buckets))
-            .repartitionById(buckets, F.col("bucket"))
+            .hint("rebalance", min(tasks, buckets), F.col("bucket"))
             .sortWithinPartitions("bucket", "term")
             .write.option("compression", "zstd").partitionBy("bucket")
             .parquet(f"{self.root}/terms/{segment.folder}")
@@ -417,18 +442,34 @@ def _filtered(corpus: DataFrame, extensions: list[str] | None) -> DataFrame:
     return _spread(kept)
 
 
-def _file_bytes(corpus: DataFrame) -> int | None:
-    """Estimated bytes of a corpus read from files; None for any other."""
-    if len(corpus._jdf.inputFiles()) == 0:
-        return None
-    return int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+@dataclass(frozen=True)
+class Layout:
+    """How a corpus is divided: segments, term buckets, reduce partitions."""
+
+    parts: int
+    buckets: int
+    tasks: int
+
+
+def layout_for(text_bytes: int) -> Layout:
+    """About ``TASK_BYTES`` of text behind each reduce partition, within the bounds."""
+    parts = max(1, -(-text_bytes // SEGMENT_BYTES))
+    tasks = min(max(-(-text_bytes // (parts * TASK_BYTES)), MIN_BUCKETS), MAX_TASKS)
+    return Layout(parts, min(tasks, MAX_BUCKETS), tasks)
 
 
-def _layout(corpus: DataFrame) -> tuple[int, int]:
-    """Buckets and splits that put about ``FILE_BYTES`` of text behind each file."""
-    files = max((_file_bytes(corpus) or 0) // FILE_BYTES, MIN_BUCKETS)
-    buckets = min(files, MAX_BUCKETS)
-    return buckets, -(-files // buckets)
+def _text_bytes(corpus: DataFrame) -> int:
+    return int(corpus.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0])
+
+
+def input_bytes(corpus: DataFrame) -> int:
+    """Bytes of the tables a corpus reads; never the estimate of a join.
+
+    Where Spark does not know them the text is measured.
+    """
+    leaves = corpus._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < UNKNOWN_BYTES else _text_bytes(corpus)
 
 
 def _spread(corpus: DataFrame) -> DataFrame:
@@ -440,7 +481,7 @@ def _spread(corpus: DataFrame) -> DataFrame:
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
     per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = _file_bytes(corpus)
-    if size is None or size > cores * per_task or len(corpus._jdf.inputFiles()) >= cores:
+    # The list of files comes to the driver only for a corpus known to be small.
+    if input_bytes(corpus) > cores * per_task or not 0 < len(corpus._jdf.inputFiles()) < cores:
         return corpus
     return corpus.repartition(3 * cores, "path")

@@ -321,8 +321,9 @@ FROM docs, (SELECT count(*) AS n FROM docs) WHERE doc_id IN (SELECT doc_id FROM
 ORACLE_SQL: dict[str, str] = {
     "corpus_scan": ctes(*INDEXED) + """SELECT source, lang, sum(dl)::BIGINT AS n_tokens
 FROM dl JOIN docs USING (path) GROUP BY ALL""",
-    "corpus_rejects": ctes(DOCS) + """SELECT path, strlen(content) + 2 AS n_bytes, 'invalid UTF-8' AS reason
-FROM docs WHERE ext = 'rs'""",
+    "corpus_rejects": """SELECT doc_id, n_bytes, CASE WHEN n_bytes > 20000 THEN 'too long' ELSE 'invalid UTF-8' END AS reason
+FROM (SELECT doc_id, strlen(text) + 1 + CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 0 END AS n_bytes FROM documents)
+WHERE n_bytes > 20000 OR doc_id % 3 = 2""",
     "load_by_path": ctes(*FEED) + """SELECT c.path, t.content, t.path IS NOT NULL AS found
 FROM (SELECT DISTINCT path FROM changes WHERE path IS NOT NULL) c LEFT JOIN tree t ON c.path = t.path""",
     "index_roundtrip": ctes(*INDEXED) + """SELECT term, count(DISTINCT path) AS df, count(*) AS n_tokens
@@ -369,7 +370,7 @@ WHERE ext IN ('txt', 'md')""",
 UNION ALL {AFTER_DF}""",
     "compacted_index": ctes(*FEED, *folded(), tokens("final"))
     + """SELECT path, count(DISTINCT term) AS n_terms, count(*)::INT AS dl FROM tok GROUP BY path""",
-    "pending_changes": ctes(*FEED) + "SELECT op, count(*) AS n FROM changes GROUP BY op",
+    "pending_changes": ctes(*FEED) + "SELECT op, count(*) AS n FROM changes WHERE seq > (SELECT max(seq) // 2 FROM changes) GROUP BY op",
     "search_term": search_sql(SINGLE),
     "search_any": keyword_search(BENCH_QUERIES, 10) + RESULT,
     "search_topk": keyword_search(BENCH_QUERIES, 100) + RESULT,

@@ -56,16 +56,23 @@ def corpus_scan(spark, sf_dir):
     ).agg(F.sum("dl").alias("n_tokens"))
 
 
+LONGEST_FILE = 20_000  # so that some documents are set aside as too long
+
+
 @query
 def corpus_rejects(spark, sf_dir):
-    """Documents as bytes; those named ``.rs`` end in bytes that are no text."""
-    raw = F.encode("content", "utf-8")
-    files = S.documents(spark, sf_dir).select(
-        "path",
-        F.when(P.extension(F.col("path")) == "rs", F.concat(raw, F.lit(b"\xff\xfe")))
-        .otherwise(raw).alias("content"),
+    """One file per document; every third ends in bytes that are no text, long ones stay unread."""
+    root = B.new_root(spark, "rejects")
+    raw = F.encode("text", "utf-8")
+    spoilt = F.concat(raw, F.lit(b"\xff\xfe"))
+    (
+        spark.read.parquet(f"{sf_dir}/documents.parquet")
+        .select("doc_id", F.when(F.col("doc_id") % 3 == 2, spoilt).otherwise(raw).cast("string").alias("value"))
+        .write.partitionBy("doc_id").text(root)
     )
-    return S.unreadable(files)
+    rejected = S.rejected_files(spark, root, ["txt"], LONGEST_FILE)
+    doc_id = F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    return rejected.select(doc_id, "n_bytes", "reason")
 
 
 @query
@@ -201,10 +208,10 @@ def build_index(spark, sf_dir):
 
 
 def _after(spark, sf_dir, *ops: str) -> DataFrame:
-    """Documents of the in-memory index once all changes of some kinds are in."""
+    """Documents of a stored index once all changes of some kinds are in."""
     changes = B.changes(spark, sf_dir).filter(F.col("op").isin(*ops))
     corpus = B.current_corpus(spark, sf_dir)
-    return B.memory_index(spark, sf_dir).apply(changes, corpus, B.ALL_EXTENSIONS).index.docs
+    return B.own_index(spark, sf_dir).apply(changes, corpus, B.ALL_EXTENSIONS).index.docs
 
 
 @query
@@ -273,9 +280,11 @@ def compacted_index(spark, sf_dir):
 
 @query
 def pending_changes(spark, sf_dir):
-    """Changes by kind that an index built from the tree has yet to see."""
-    last_seq = B.stored_index(spark, sf_dir).snapshot.last_seq
-    return C.pending(B.changes(spark, sf_dir), last_seq)
+    """Changes by kind that an index has yet to see; its build saw the older half."""
+    changes = B.changes(spark, sf_dir)
+    seen = changes.agg(F.max("seq")).first()[0] // 2
+    index = StoredIndex.open(spark, B.new_root(spark, "pending")).build(S.documents(spark, sf_dir), feed_start=seen)
+    return C.pending(changes, StoredIndex.open(spark, index.root).snapshot.last_seq)
 
 
 # -- search ----------------------------------------------------------------------

@@ -6,27 +6,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
-from termloom.operators.joins import fits_broadcast, keyed_join, narrow
+from termloom.operators.joins import fits_broadcast, holding, narrow
 
 
-def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """Every file below ``root`` as ``(path, content BINARY)``.
+# Longer files are set aside unread: a file is one value, which cannot exceed 2 GB.
+MAX_FILE_BYTES = 512 << 20
 
-    With ``extensions`` the listing is narrowed first, so other files are
-    never opened, and then tested exactly. Files that vanish between listing
-    and reading are skipped. Spark leaves out names starting ``.`` or ``_``.
-    """
+
+def _files(spark: SparkSession, root: str, extensions: list[str] | None) -> DataFrame:
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True)
+        .option("ignoreCorruptFiles", True)
     )
     if extensions and not any(set("{}[]*?,\\") & set(e) for e in extensions):
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    files = reader.load(root).select(P.normalize(F.col("path")).alias("path"), "content")
+    files = reader.load(root).withColumn("path", P.normalize(F.col("path")))
     return files if not extensions else files.filter(P.is_target(F.col("path"), extensions))
 
 
+def scan_files(
+    spark: SparkSession, root: str, extensions: list[str] | None = None, longest: int = MAX_FILE_BYTES
+) -> DataFrame:
+    """Every file below ``root`` as ``(path, content BINARY)``.
+
+    With ``extensions`` the listing is narrowed first, so other files are
+    never opened, and then tested exactly. Files that vanish between listing
+    and reading, cannot be read, or are longer than ``longest`` are skipped.
+    Spark leaves out names starting ``.`` or ``_``.
+    """
+    return _files(spark, root, extensions).filter(F.col("length") <= longest).select("path", "content")
+
+
+def rejected_files(
+    spark: SparkSession, root: str, extensions: list[str] | None = None, longest: int = MAX_FILE_BYTES
+) -> DataFrame:
+    """``(path, n_bytes, reason)`` of every file that ``load_directory`` leaves out.
+
+    Long files are known from the listing; content is never kept.
+    """
+    listed = _files(spark, root, extensions).select("path", F.col("length").alias("n_bytes"))
+    long = listed.filter(F.col("n_bytes") > longest).select("*", F.lit("too long").alias("reason"))
+    state = scan_files(spark, root, extensions, longest).select(
+        "path", _utf8("content").isNotNull().alias("valid")
+    )
+    rest = listed.filter(F.col("n_bytes") <= longest).join(state, "path", "left").filter("valid IS NULL OR NOT valid")
+    reason = F.when(F.col("valid").isNull(), "unreadable").otherwise("invalid UTF-8")
+    return long.unionByName(rest.select("path", "n_bytes", reason.alias("reason")))
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Rows of ``(path, content BINARY)`` whose bytes are valid UTF-8."""
     text = files.select("path", _utf8("content").alias("content"))
@@ -66,7 +95,7 @@ def load_by_path(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     small = fits_broadcast(asked, "path")
     if small:
         corpus = narrow(corpus, "path", asked)
-    held = keyed_join(corpus.select("path", "content"), asked, ["path"], small=small)
+    held = holding(corpus.select("path", "content"), asked, "path", small)
     return requests.join(held.withColumn("held", F.lit(True)), "path", "left").select(
         *requests.columns, "content", F.coalesce("held", F.lit(False)).alias("found")
     )

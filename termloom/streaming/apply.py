@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.plans.index import StoredIndex
+from termloom.sources import storage
+from termloom.streaming.feed import debounced
 
 # Fixed value: how often a live stream forms a batch.
 TRIGGER = "500 milliseconds"
@@ -15,23 +18,30 @@ TRIGGER = "500 milliseconds"
 
 def apply_stream(
     changes: DataFrame, root: str, corpus: Callable[[], DataFrame], extensions: list[str],
-    checkpoint: str, available_now: bool = False,
+    checkpoint: str, available_now: bool = False, trigger: str = TRIGGER, quiet_seconds: float | None = None,
 ) -> StreamingQuery:
     """Start folding streaming ``changes`` into the index at ``root``.
 
     ``corpus`` is called per batch, so each batch sees current content. The
-    batch number goes into the manifest with the data, so a batch replayed
-    after a failure changes nothing. Readers keep the snapshot they opened.
+    stream's identity (kept in its checkpoint) and batch number go into the
+    manifest with the data, so a batch replayed after a failure changes nothing,
+    while a new stream or a rebuilt index starts from its first batch. Readers
+    keep the snapshot they opened. With ``quiet_seconds`` bursts of changes to
+    a path are reduced to their last one first; ``trigger`` sets how often a
+    live stream forms a batch.
     """
     spark = changes.sparkSession
+    if quiet_seconds is not None:
+        changes = debounced(changes, extensions, quiet_seconds)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
+        stream = json.loads(storage.read_text(spark, f"{checkpoint}/metadata"))["id"]
         batch.persist()
         try:
-            StoredIndex.open(spark, root).apply(batch, corpus(), extensions, batch_id=batch_id)
+            StoredIndex.open(spark, root).apply(batch, corpus(), extensions, batch_id=batch_id, stream=stream)
         finally:
             batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if available_now else {"processingTime": TRIGGER}
-    return writer.trigger(**trigger).start()
+    timing = {"availableNow": True} if available_now else {"processingTime": trigger}
+    return writer.trigger(**timing).start()

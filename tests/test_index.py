@@ -3,11 +3,11 @@ import uuid
 import pytest
 
 from termloom.operators.clauses import Clause
+from termloom.plans import index as I
 from termloom.plans.index import CommitConflict, MemoryIndex, StoredIndex
 from termloom.plans.search import search
 
 EXTENSIONS = ["txt"]
-TEXT = "This is a test file for indexing."
 
 
 @pytest.fixture
@@ -20,7 +20,7 @@ def build(request, spark, root):
     def make(corpus, extensions=None):
         if request.param == "memory":
             return MemoryIndex.build(corpus, extensions)
-        return StoredIndex.open(spark, root).build(corpus, extensions, buckets=3, splits=2)
+        return StoredIndex.open(spark, root).build(corpus, extensions, buckets=3)
 
     return make
 
@@ -30,57 +30,51 @@ def found(index, word):
 
 
 def test_search_finds_the_file(build, corpus_of):
-    assert found(build(corpus_of({"test.txt": TEXT})), "test") == {"test.txt"}
+    assert found(build(corpus_of({"/sea/tide.txt": "low tide at noon"})), "tide") == {"/sea/tide.txt"}
 
 
 def test_replace_and_delete(build, corpus_of, changes_of):
-    index = build(corpus_of({"test.txt": TEXT, "other.txt": "else"}))
-    newer = corpus_of({"test.txt": "This is an updated test file for indexing.", "other.txt": "else"})
-    index = index.apply(changes_of([(1, "modify", "test.txt")]), newer, EXTENSIONS).index
-    assert found(index, "updated") == {"test.txt"} == found(index, "test")
-    assert (index.n_docs, index.n_tokens) == (2, 9)
-    assert {r.term: r.df for r in index.terms_for().collect()}["test"] == 1
-    index = index.apply(changes_of([(2, "delete", "test.txt"), (3, "delete", "x.bin")]), newer, EXTENSIONS).index
-    assert found(index, "test") == set()
+    index = build(corpus_of({"tide.txt": "low tide", "wind.txt": "calm"}))
+    newer = corpus_of({"tide.txt": "high tide rising at the old pier", "wind.txt": "calm"})
+    index = index.apply(changes_of([(1, "modify", "tide.txt")]), newer, EXTENSIONS).index
+    assert found(index, "rising") == {"tide.txt"} == found(index, "tide") and found(index, "low") == set()
+    assert (index.n_docs, index.n_tokens) == (2, 8)
+    assert {r.term: r.df for r in index.terms_for().collect()}["tide"] == 1
+    index = index.apply(changes_of([(2, "delete", "tide.txt"), (3, "delete", "x.bin")]), newer, EXTENSIONS).index
+    assert found(index, "tide") == set()
     assert (index.n_docs, index.n_tokens) == (1, 1)
 
 
 def test_prefix_delete(build, corpus_of, changes_of):
     index = build(corpus_of({
-        "/foo/test1.txt": "test file 1", "/foo/test2.txt": "test file 2", "/foobar/b.txt": "test", "/z.txt": "test",
+        "/bay/a.txt": "gull one", "/bay/b.txt": "gull two", "/bayside/c.txt": "gull", "/hill.txt": "gull",
     }))
-    after = index.apply(changes_of([(1, "delete_dir", "/foo")]), corpus_of({"/z.txt": "test"}), EXTENSIONS).index
-    assert found(after, "test") == {"/z.txt"}
-    assert found(index, "test") == {"/foo/test1.txt", "/foo/test2.txt", "/foobar/b.txt", "/z.txt"}
+    after = index.apply(changes_of([(1, "delete_dir", "/bay")]), corpus_of({"/hill.txt": "gull"}), EXTENSIONS).index
+    assert found(after, "gull") == {"/hill.txt"}
+    assert found(index, "gull") == {"/bay/a.txt", "/bay/b.txt", "/bayside/c.txt", "/hill.txt"}
 
 
 FILES = {
-    "add_at_initialize1.txt": "Must find content 1", "add_at_initialize2.txt": "Must find content 2",
-    "ignore_at_initialize1.md": "Must not find content 3",
-    "/indir/add_at_initialize3.txt": "Must find content 4",
-    "/indir/add_at_initialize4.txt": "Must find content 5",
-    "/indir/ignore_at_initialize2.md": "Must not find content 6",
+    "gull.txt": "white gull", "tern.txt": "grey gull", "crow.md": "black gull",
+    "/cliff/auk.txt": "small gull", "/cliff/skua.txt": "brown gull", "/cliff/raven.md": "loud gull",
 }
 KEPT = {p for p in FILES if p.endswith(".txt")}
+NESTS = {"/rock/auk.txt": "small gull", "/rock/skua.txt": "brown gull", "/rock/new.md": "gull"}
 
 
 @pytest.mark.parametrize("change,now,word,expected", [
-    (None, {}, "content", KEPT),
-    ((1, "create", "added.txt"), {"added.txt": "Loaded content."}, "Loaded", {"added.txt"}),
-    ((1, "modify", "modified.txt"), {"modified.txt": "Loaded content."}, "Loaded", {"modified.txt"}),
-    ((1, "delete", "add_at_initialize1.txt"), {}, "content", KEPT - {"add_at_initialize1.txt"}),
-    ((1, "rename", "renamed.txt", "add_at_initialize1.txt"), {"renamed.txt": "Loaded content."}, "content",
-     KEPT - {"add_at_initialize1.txt"} | {"renamed.txt"}),
-    ((1, "delete_dir", "/indir"), {}, "content", {"add_at_initialize1.txt", "add_at_initialize2.txt"}),
-    ((1, "rename_dir", "/renamed_dir", "/indir"),
-     {"/renamed_dir/add_at_initialize3.txt": "Must find content 4",
-      "/renamed_dir/add_at_initialize4.txt": "Must find content 5", "/renamed_dir/c.md": "content"},
-     "content",
-     {"add_at_initialize1.txt", "add_at_initialize2.txt", "/renamed_dir/add_at_initialize3.txt",
-      "/renamed_dir/add_at_initialize4.txt"}),
+    (None, {}, "gull", KEPT),
+    ((1, "create", "swan.txt"), {"swan.txt": "mute swan"}, "swan", {"swan.txt"}),
+    ((1, "modify", "tern.txt"), {"tern.txt": "arctic tern"}, "gull", KEPT - {"tern.txt"}),
+    ((1, "delete", "gull.txt"), {}, "gull", KEPT - {"gull.txt"}),
+    ((1, "rename", "kittiwake.txt", "gull.txt"), {"kittiwake.txt": "white gull"}, "gull",
+     KEPT - {"gull.txt"} | {"kittiwake.txt"}),
+    ((1, "delete_dir", "/cliff"), {}, "gull", {"gull.txt", "tern.txt"}),
+    ((1, "rename_dir", "/rock", "/cliff"), NESTS, "gull",
+     {"gull.txt", "tern.txt", "/rock/auk.txt", "/rock/skua.txt"}),
 ])
-def test_changes_reach_the_index(spark, corpus_of, changes_of, change, now, word, expected):
-    index = MemoryIndex.build(corpus_of(FILES), EXTENSIONS)
+def test_changes_reach_the_index(build, corpus_of, changes_of, change, now, word, expected):
+    index = build(corpus_of(FILES), EXTENSIONS)
     if change:
         index = index.apply(changes_of([change]), corpus_of(now or {"-": ""}), EXTENSIONS).index
     assert found(index, word) == expected
@@ -95,12 +89,13 @@ def test_documents_without_tokens_count(build, corpus_of):
 def test_snapshots_replay_and_conflict(spark, root, corpus_of, changes_of):
     first = StoredIndex.open(spark, root).build(corpus_of({"a.txt": "one"}), buckets=2)
     now = corpus_of({"a.txt": "two", "b.txt": "one"})
-    changes = changes_of([(1, "modify", "a.txt"), (2, "create", "b.txt"), (3, "create", "gone.txt")])
-    second = first.apply(changes, now, EXTENSIONS, batch_id=0).index
+    changes = changes_of([(1, "modify", "a.txt"), (2, "create", "b.txt"), (3, "create", "gone.txt"), (4, "chmod", "a.txt")])
+    second = first.apply(changes, now, EXTENSIONS, batch_id=0, stream="s").index
     assert found(first, "one") == {"a.txt"}  # pinned
     assert found(second, "one") == {"b.txt"} and found(first.refresh(), "two") == {"a.txt"}
-    assert [(r.path, r.reason) for r in second.quarantine().collect()] == [("gone.txt", "not in corpus")]
-    again = second.apply(changes, now, EXTENSIONS, batch_id=0).index
+    aside = {("gone.txt", "not in corpus"), ("a.txt", "unknown operation")}
+    assert {(r.path, r.reason) for r in second.quarantine().collect()} == aside
+    again = second.apply(changes, now, EXTENSIONS, batch_id=0, stream="s").index
     assert again.snapshot == second.snapshot
     assert second.apply(changes.limit(0), now, EXTENSIONS).index.snapshot == second.snapshot
     with pytest.raises(CommitConflict):
@@ -109,11 +104,30 @@ def test_snapshots_replay_and_conflict(spark, root, corpus_of, changes_of):
     assert found(small, "one") == {"b.txt"} and found(small, "two") == {"a.txt"}
     assert (small.n_docs, small.n_tokens) == (second.n_docs, second.n_tokens) == (2, 2)
     assert len(small.snapshot.segments) == 1
-    assert found(StoredIndex.open(spark, root, snapshot=1), "one") == {"a.txt"}
+    small.vacuum()
+    rebuilt = small.build(now)
+    for index in (small, rebuilt):  # what was set aside outlives a rewrite and a rebuild
+        assert {(r.path, r.reason) for r in index.quarantine().collect()} == aside
     with pytest.raises(ValueError):
         StoredIndex.open(spark, root, snapshot=99)
 
 
+def test_no_batch_is_lost(spark, root, corpus_of, changes_of):
+    now = corpus_of({"a.txt": "one", "b.txt": "two", "c.txt": "three", "d.txt": "four"})
+    index = StoredIndex.open(spark, root).build(corpus_of({"a.txt": "one"}))
+    index = index.apply(changes_of([(7, "create", "b.txt")]), now, EXTENSIONS, batch_id=7, stream="first").index
+    # A second stream counts its own batches.
+    index = index.apply(changes_of([(8, "create", "c.txt")]), now, EXTENSIONS, batch_id=0, stream="second").index
+    assert {r.path for r in index.docs.collect()} == {"a.txt", "b.txt", "c.txt"}
+    # After a rebuild every stream starts anew, also one with a new checkpoint.
+    index = index.build(corpus_of({"a.txt": "one"}))
+    index = index.apply(changes_of([(9, "create", "d.txt")]), now, EXTENSIONS, batch_id=0, stream="first").index
+    assert {r.path for r in index.docs.collect()} == {"a.txt", "d.txt"}
+    # A true replay changes nothing.
+    again = index.apply(changes_of([(9, "delete", "d.txt")]), now, EXTENSIONS, batch_id=0, stream="first").index
+    assert again.snapshot == index.snapshot
+
+
 def test_vacuum_keeps_the_latest_snapshot(spark, root, corpus_of, changes_of):
     index = StoredIndex.open(spark, root).build(corpus_of({"a.txt": "one"}), buckets=2)
     index = index.apply(changes_of([(1, "modify", "a.txt")]), corpus_of({"a.txt": "two"}), EXTENSIONS).index
@@ -124,9 +138,58 @@ def test_vacuum_keeps_the_latest_snapshot(spark, root, corpus_of, changes_of):
         StoredIndex.open(spark, root, snapshot=1)
 
 
-def test_layout_follows_the_corpus_size(monkeypatch):
-    from termloom.plans import index as I
-
-    for size, expected in [(None, (16, 1)), (1 << 20, (16, 1)), (1 << 40, (4096, 1)), (100 << 40, (4096, 100))]:
-        monkeypatch.setattr(I, "_file_bytes", lambda corpus: size)
-        assert I._layout(None) == expected
+@pytest.mark.parametrize("size,expected", [
+    (0, (1, 16, 16)), (1 << 20, (1, 16, 16)), (1 << 40, (1, 1024, 1024)), (20 << 40, (2, 4096, 10240)), (100 << 40, (6, 4096, 17067)),
+])
+def test_layout_follows_the_text(size, expected):
+    layout = I.layout_for(size)
+    assert (layout.parts, layout.buckets, layout.tasks) == expected and layout.tasks <= 20_000
+
+
+def test_layout_is_not_taken_from_a_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    joined = docs.join(labels, "doc_id", "left")
+    assert I.layout_for(I.input_bytes(joined)) == I.layout_for(I.input_bytes(docs))
+    assert I.input_bytes(joined) < 2 * I.input_bytes(docs)
+    rows = spark.sparkContext.parallelize([("a", "x" * 1000)] * 50).toDF(["path", "content"])
+    assert I.input_bytes(rows) == 50_000  # measured, since Spark does not know
+
+
+def test_a_large_build_makes_several_segments(spark, root, corpus_of, monkeypatch):
+    monkeypatch.setattr(I, "SEGMENT_BYTES", 100)
+    files = {f"{i}.txt": f"word{i % 7} gull" for i in range(40)}
+    index = StoredIndex.open(spark, root).build(corpus_of(files))
+    assert len(index.snapshot.segments) > 1 and (index.n_docs, index.n_tokens) == (40, 80)
+    assert {r.term: r.df for r in index.terms_for().collect()}["gull"] == 40
+    assert found(index, "word3") == {f"{i}.txt" for i in range(40) if i % 7 == 3}
+
+
+def test_a_hot_term_is_split_and_changes_use_many_tasks(spark, root, corpus_of, changes_of):
+    """Every document holds one word; its postings must not all be in one file."""
+    keys = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.files.openCostInBytes": "1k", "spark.sql.files.maxPartitionBytes": "64k",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    files = {f"/{i}.txt": " ".join(f"rare{(i * 31 + j) % 3000}" for j in range(20)) + " common" * 3 for i in range(3000)}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        corpus = corpus_of(files).repartition(12).cache()
+        index = StoredIndex.open(spark, root).build(corpus)
+        home = f"{root}/postings/{index.snapshot.segments[0].folder}"
+        from pyspark.sql import functions as F
+
+        written = spark.read.parquet(home)
+        spread = written.filter("term = 'common'").select(F.input_file_name()).distinct().count()
+        assert spread >= 4
+        sizes = sorted(r.n for r in written.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).agg(
+            F.sum(F.octet_length("path") + F.octet_length("term") + 4 * F.size("positions")).alias("n")).collect())
+        assert sizes[-1] <= 3 * max(sizes[len(sizes) // 2], 16_000)
+        changed = index.apply(changes_of([(i, "modify", p) for i, p in enumerate(files)]), corpus, EXTENSIONS).index
+        added = spark.read.parquet(f"{root}/postings/{changed.snapshot.segments[-1].folder}")
+        assert len(added.inputFiles()) >= 0.5 * len(written.inputFiles())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -18,6 +18,30 @@ def test_scan_skips_other_and_unreadable_files(spark, tmp_path):
     assert [(os.path.basename(r.path), r.n_bytes) for r in bad] == [("bad.txt", 2)]
 
 
+def test_failed_reads_are_rejects(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("fine")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "long.txt").write_text("x" * 500)
+    (tmp_path / "other.bin").write_bytes(b"\xff")
+    kept = S.readable(S.scan_files(spark, str(tmp_path), ["txt"], longest=100))
+    assert [os.path.basename(r.path) for r in kept.collect()] == ["good.txt"]
+    rejected = S.rejected_files(spark, str(tmp_path), ["txt"], longest=100).collect()
+    assert {(os.path.basename(r.path), r.n_bytes, r.reason) for r in rejected} == {
+        ("bad.txt", 2, "invalid UTF-8"), ("long.txt", 500, "too long"),
+    }
+
+
+def test_large_requests_filter_before_the_shuffle(spark, corpus_of, monkeypatch):
+    corpus = corpus_of({f"/{i}.txt": f"text {i}" for i in range(200)})
+    requests = spark.createDataFrame([(f"/{i}.txt",) for i in range(0, 220, 2)], "path string")
+    want = sorted((r.path, r.content or "", r.found) for r in S.load_by_path(requests, corpus).collect())
+    monkeypatch.setattr(S, "fits_broadcast", lambda *a: False)
+    found = S.load_by_path(requests, corpus)
+    assert sorted((r.path, r.content or "", r.found) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "_hash" in plan and "BroadcastHashJoin [_hash" in plan
+
+
 def test_paths_are_plain(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     assert S.load_directory(spark, str(tmp_path)).first().path == f"{tmp_path}/a.txt"

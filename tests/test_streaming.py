@@ -33,7 +33,7 @@ def test_stream_keeps_an_index_current(spark, tmp_path, corpus_of):
     land(spark, landing, [(3, 10, "rename_both", ["/a/2.txt", "/d/2.txt"], False), (4, 11, "create", ["/gone.txt"], False)])
     run()
     index = StoredIndex.open(spark, root)
-    assert index.snapshot.last_batch == 1 and index.snapshot.last_seq == 4
+    assert list(index.snapshot.batches.values()) == [1] and index.snapshot.last_seq == 4
     assert {r.path for r in index.docs.collect()} == {"/a/1.txt", "/b/3.txt", "/c/4.txt", "/d/2.txt"}
     assert [(r.path, r.reason) for r in index.quarantine().collect()] == [("/gone.txt", "not in corpus")]
     assert {r.path for r in reader.docs.collect()} == {"/a/1.txt", "/a/2.txt", "/b/3.txt"}  # pinned
@@ -62,5 +62,34 @@ def test_streamed_debounce(spark, tmp_path):
     assert got <= {(3, "delete", "a.txt"), (3, "modify", "b.txt"), (4, "modify", "b.txt"), (5, "modify", "late.txt")}
 
 
+def test_a_new_stream_after_a_rebuild_loses_nothing(spark, tmp_path, corpus_of):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "index")
+    now = {"/a/1.txt": "one", "/b/2.txt": "two"}
+    land(spark, landing, [(1, 0, "create", ["/b/2.txt"], False)])
+    for attempt in ("first", "second"):
+        StoredIndex.open(spark, root).build(corpus_of({"/a/1.txt": "one"}))
+        changes = classify(read_feed(spark, landing, schemas.RAW_EVENTS))
+        apply_stream(
+            changes, root, lambda: corpus_of(now), EXTENSIONS, str(tmp_path / attempt), available_now=True
+        ).awaitTermination()
+        assert {r.path for r in StoredIndex.open(spark, root).docs.collect()} == set(now)
+
+
+def test_debounced_stream_into_an_index(spark, tmp_path, corpus_of):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "index")
+    StoredIndex.open(spark, root).build(corpus_of({"/a/1.txt": "one"}))
+    land(spark, landing, [(n, 10 * n, "modify_data", ["/a/1.txt"], False) for n in range(1, 6)])
+    land(spark, landing, [(9, 60_000, "create", ["/late.txt"], False)])
+    land(spark, landing, [(10, 120_000, "create", ["/later.txt"], False)])
+    changes = classify(read_feed(spark, landing, schemas.RAW_EVENTS, files_per_batch=1))
+    apply_stream(
+        changes, root, lambda: corpus_of({"/a/1.txt": "uno", "/late.txt": "x", "/later.txt": "y"}), EXTENSIONS,
+        str(tmp_path / "progress"), available_now=True, quiet_seconds=1.0,
+    ).awaitTermination()
+    index = StoredIndex.open(spark, root)
+    assert {r.term for r in index.terms_for().collect()} >= {"uno"}
+    assert index.snapshot.last_seq >= 5
+
+
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
