@@ -21,11 +21,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from termloom.functions.scoring import idf, saturation
 from termloom.operators.clauses import analysed
-from termloom.operators.joins import narrow, salted_join
+from termloom.operators.joins import BROADCAST_BYTES, narrow, salted_join
+from termloom.session import shared_dir
 
 BROADCAST_ROWS = 200_000
-LITERAL_CLAUSES = 200
-LITERAL_WORDS = 500
+LITERAL_CLAUSES = 10_000
+LITERAL_WORDS = 10_000
 SCORED_KINDS = ["term", "phrase", "phrase_prefix"]
 CONSTANT_KINDS = ["term_set", "prefix", "term_range"]
 PREFIX_KINDS = ["phrase_prefix", "prefix"]
@@ -49,9 +50,9 @@ class Prepared:
 
 
 def prepare(clauses: DataFrame) -> Prepared:
-    """Analyse a clause table, look at it once, refuse exclusion-only queries.
+    """Analyse a clause table and look at it once.
 
-    A table of few clauses is pinned as a local relation and its words go to
+    A query of exclusions only matches nothing, so it is left out here. A table of few clauses is pinned as a local relation and its words go to
     the scans as literals; a larger one stays distributed and only its
     counts come to the driver.
     """
@@ -60,14 +61,9 @@ def prepare(clauses: DataFrame) -> Prepared:
     return _prepare_few(ready, head) if len(head) <= LITERAL_CLAUSES else _prepare_many(ready)
 
 
-def _refuse(exclusions_only: bool) -> None:
-    if exclusions_only:
-        raise ValueError("a query needs at least one clause that is not must_not")
-
-
 def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
-    queries = {r["qid"] for r in rows}
-    _refuse(queries != {r["qid"] for r in rows if r["occur"] != "must_not"})
+    positive = {r["qid"] for r in rows if r["occur"] != "must_not"}
+    rows = [r for r in rows if r["qid"] in positive]
     n_must = Counter(r["qid"] for r in rows if r["occur"] == "must")
     pinned = [{**r.asDict(recursive=True), "n_must": n_must[r["qid"]]} for r in rows]
     schema = T.StructType([*ready.schema.fields, T.StructField("n_must", T.LongType(), False)])
@@ -88,18 +84,19 @@ def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
             ranges.append(reduce(lambda x, y: x & y, ends))
         words.update(found)
     return Prepared(
-        local, frozenset(r["kind"] for r in rows), True, {r["occur"] for r in rows} == {"should"},
+        local, frozenset(r["kind"] for r in rows), sum(len(r["words"] or [1]) for r in rows) <= BROADCAST_ROWS, {r["occur"] for r in rows} == {"should"},
         any(r["kind"] == "phrase" and r["slop"] > 0 for r in rows), tuple(sorted(lengths)),
         tuple(sorted(words)) if len(words) <= LITERAL_WORDS else None, reduce(lambda x, y: x | y, ranges) if ranges else None,
     )
 
 
 def _prepare_many(ready: DataFrame) -> Prepared:
+    shared_dir(ready.sparkSession)
     per_query = ready.groupBy("qid").agg(
         F.count(F.when(F.col("occur") == "must", 1)).alias("n_must"),
         F.count(F.when(F.col("occur") != "must_not", 1)).alias("_positive"),
     )
-    _refuse(not per_query.filter("_positive = 0").isEmpty())
+    ready = ready.join(per_query.filter("_positive > 0").drop("_positive"), "qid").checkpoint()
     last = F.try_element_at(F.col("words.term"), F.lit(-1))
     facts = ready.agg(
         F.collect_set("kind").alias("kinds"), F.collect_set("occur").alias("occurs"),
@@ -109,8 +106,8 @@ def _prepare_many(ready: DataFrame) -> Prepared:
         F.collect_set(F.when(F.col("kind").isin(PREFIX_KINDS), F.length(last))).alias("lengths"),
     ).first()
     return Prepared(
-        ready.join(per_query.drop("_positive"), "qid"), frozenset(facts["kinds"]),
-        facts["n_words"] <= BROADCAST_ROWS, set(facts["occurs"]) == {"should"}, bool(facts["sloppy"]),
+        ready, frozenset(facts["kinds"]),
+        (facts["n_words"] or 0) <= BROADCAST_ROWS, set(facts["occurs"]) == {"should"}, bool(facts["sloppy"]),
         tuple(sorted(facts["lengths"])), None, None,
     )
 
@@ -220,6 +217,10 @@ def _near_rarest(postings: DataFrame, words: DataFrame, small: bool) -> DataFram
     holders = postings.join(F.broadcast(rarest.select("qid", "clause_id", "term")), "term").select(
         "qid", "clause_id", "path"
     )
+    # Bounded in rows above; paths have no bound, so bytes are checked as well.
+    longest = holders.agg(F.max(F.octet_length("path"))).first()[0] or 0
+    if lookups * (longest + 200) > BROADCAST_BYTES:
+        return _join_words(postings, words, small)
     wanted = holders.join(F.broadcast(words), ["qid", "clause_id"])
     return postings.join(F.broadcast(wanted), ["term", "path"])
 

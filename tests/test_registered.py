@@ -4,11 +4,15 @@ The quick ones run here; ``python tests/check_oracle.py sf0.01`` runs all.
 """
 
 import os
+import sys
+from pathlib import Path
 
 import check_oracle
 import pytest
 
 import __spark_entry__ as entry
+from termloom.plans.oracle import ORACLE_SQL
+from termloom.plans.registered import registered
 
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = [
@@ -18,7 +22,7 @@ QUICK = [
     "search_match_all", "search_by_path", "search_nested", "search_status", "hits_as_json", "classify_events",
     "debounce", "batch_changes", "snapshot_diff", "fold_change_log", "quarantine", "stream_changes",
 ]
-KEYS = list(entry.queries()) if os.environ.get("ALL_QUERIES") else QUICK
+KEYS = list(registered()) if os.environ.get("ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +31,18 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered()) == set(ORACLE_SQL) <= set(entry.queries())
+
+
+def test_entry_does_without_the_optional_parts(monkeypatch):
+    """Only the absence of the optional modules themselves is accepted."""
+    source = Path(entry.__file__).read_text()
+    for gone in ("termloom.llm", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, gone, None)
+        scope = {"__name__": "entry_copy"}
+        exec(compile(source, entry.__file__, "exec"), scope)
+        assert set(scope["queries"]()) == set(registered())
+        monkeypatch.undo()
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -166,13 +166,15 @@ def test_salted_joins_give_the_same(index, files, monkeypatch):
     same(collected(matches(index, CLAUSES)), expected(files))
 
 
-def test_exclusions_only_are_refused(index, monkeypatch):
+def test_exclusions_only_match_nothing(index, files, monkeypatch):
     only = [Clause(0, 0, terms=["x"]), Clause(1, 0, "must_not", terms=["x"])]
-    with pytest.raises(ValueError):
-        matches(index, only)
-    monkeypatch.setattr(M, "LITERAL_CLAUSES", 0)
-    with pytest.raises(ValueError):
-        matches(index, only)
+    for limit in (M.LITERAL_CLAUSES, 0):
+        monkeypatch.setattr(M, "LITERAL_CLAUSES", limit)
+        assert collected(matches(index, only)) == collected(matches(index, only[:1]))
+        assert matches(index, only[1:]).isEmpty()
+
+
+def test_wrong_clauses_are_refused(index):
     with pytest.raises(ValueError):
         combine(must_not=[index.docs])
     with pytest.raises(ValueError):
