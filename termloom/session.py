@@ -7,13 +7,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
     Only a local master may run without that setting; it then gets a new
-    temporary folder, once per application.
+    temporary folder, once per application, which goes when Python ends.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
@@ -24,5 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by the cluster")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+        _own.append(tempfile.TemporaryDirectory(prefix="termloom-", ignore_cleanup_errors=True))
+        context.setCheckpointDir(_own[-1].name)
     return context.getCheckpointDir().rstrip("/")
