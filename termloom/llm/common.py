@@ -24,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder of the cluster."""
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder of the cluster, deleted when the application ends."""
+    home = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    # Files of a context that ends early stay until the folder is cleared.
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
