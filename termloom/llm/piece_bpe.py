@@ -43,7 +43,7 @@ OTHER = rf"(?:(?!{LETTER})[^{START}])"
 RUNS = re.compile(f"{START}*{LETTER}+|{START}*{OTHER}+|{START}+")
 MIXED = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-WORD_CACHE = 400_000
+WORD_CACHE = 300_000
 PAIR_CACHE = 2_000_000
 LONGEST_CACHED = 64
 ENCODED = "doc_id long, ids array<int>, decoded string"

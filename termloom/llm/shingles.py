@@ -7,7 +7,7 @@ import xxhash
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 
 
 class Shingler:
