@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
-from termloom.operators.joins import covered_by, fits_broadcast, holding, keyed_join, narrow, without
+from termloom.operators.joins import (
+    ROW_BYTES, BROADCAST_BYTES, among, below, covered_by, few, fits_broadcast, holding, keyed_join, without,
+)
 from termloom.session import shared_dir
 
 FILE_PUTS = ["create", "modify", "rename"]
@@ -69,8 +71,11 @@ def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Dat
     marked = changes.withColumn("_needed", needed)
     wants = F.col("_needed").isNotNull()
     asked = marked.filter(wants).select(F.col("_needed").alias("path")).distinct()
-    small = fits_broadcast(changes, "path", "old_path")
-    paths = narrow(corpus.select("path"), "path", asked) if small else corpus.select("path")
+    listed = few(asked)
+    small = listed is not None or fits_broadcast(asked, "path")
+    paths = corpus.select("path")
+    if listed is not None:
+        paths = paths.filter(among("path", [row["path"] for row in listed]))
     held = keyed_join(paths, asked, ["path"], small=small).select(
         F.col("path").alias("_needed"), F.lit(True).alias("_held")
     )
@@ -105,12 +110,46 @@ def reduced(actions: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Resolved:
-    """What is left of a change log once it is reduced per path."""
+    """What is left of a change log once it is reduced per path.
+
+    The lists are the same as the tables, for scans, when they are few.
+    """
 
     puts: DataFrame  # (path, seq): paths whose last word is a put
     deletes: DataFrame  # (path, seq): latest plain delete
     prefixes: DataFrame  # (prefix, seq): latest prefix delete
     small: bool  # the paths that are put or deleted may be broadcast
+    put_list: list[str] | None
+    delete_list: list[str] | None
+    prefix_list: list[str] | None
+    prefix_lengths: set[int]
+
+
+@dataclass(frozen=True)
+class _Facts:
+    """What one look at the reduced log tells."""
+
+    small: bool
+    lengths: dict[str, set[int]]  # lengths of the paths of the folder actions
+    listed: dict[str, list[str]] | None  # paths per action, when few
+
+
+def _look(net: DataFrame) -> _Facts:
+    rows = few(net.select("action", "path"))
+    if rows is not None:
+        listed: dict[str, list[str]] = {a: [] for a in ("put", "delete", "delete_prefix", "put_dir")}
+        for action, path in rows:
+            listed[action].append(path)
+        size = len(rows) * (ROW_BYTES + max((len(path.encode()) for _, path in rows), default=0))
+        return _Facts(size <= BROADCAST_BYTES, {a: {len(p) for p in ps} for a, ps in listed.items()}, listed)
+    length = F.length("path")
+    facts = net.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.octet_length("path")).alias("longest"),
+        # At most one entry per possible path length, whatever the data size.
+        *[F.collect_set(F.when(F.col("action") == a, length)).alias(a) for a in ("delete_prefix", "put_dir")],
+    ).first()
+    small = facts["n"] * (ROW_BYTES + facts["longest"]) <= BROADCAST_BYTES
+    return _Facts(small, {a: set(facts[a]) for a in ("delete_prefix", "put_dir")}, None)
 
 
 def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Resolved:
@@ -123,20 +162,26 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
     """
     shared_dir(actions.sparkSession)
     net = reduced(actions).checkpoint()
+    facts = _look(net)
 
     def latest(name: str, key: str = "path") -> DataFrame:
         return net.filter(F.col("action") == name).select(F.col("path").alias(key), "seq")
 
     prefixes, deletes = latest("delete_prefix", "prefix"), latest("delete")
-    small = fits_broadcast(net, "path")
-    candidates = corpus.select("path").filter(P.is_target(F.col("path"), extensions))
-    from_folders = covered_by(candidates, latest("put_dir", "prefix"), component=True, small=small)
-    last_put = (
-        latest("put").unionByName(from_folders.select("path", "seq"))
-        .groupBy("path").agg(F.max("seq").alias("seq"))
-    )
+    last_put = latest("put")
+    if facts.lengths["put_dir"]:
+        candidates = corpus.select("path").filter(P.is_target(F.col("path"), extensions))
+        from_folders = covered_by(
+            candidates, latest("put_dir", "prefix"), True, facts.small, facts.lengths["put_dir"]
+        )
+        last_put = last_put.unionByName(from_folders.select("path", "seq")).groupBy("path").agg(
+            F.max("seq").alias("seq")
+        )
     killed = (
-        covered_by(last_put, prefixes.withColumnRenamed("seq", "_ended"), small=small)
+        covered_by(
+            last_put, prefixes.withColumnRenamed("seq", "_ended"), small=facts.small,
+            lengths=facts.lengths["delete_prefix"],
+        )
         .select("path", "_ended").unionByName(deletes.withColumnRenamed("seq", "_ended"))
         .groupBy("path").agg(F.max("_ended").alias("_ended"))
     )
@@ -145,26 +190,34 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
         .filter(F.col("_ended").isNull() | (F.col("seq") >= F.col("_ended")))
         .select("path", "seq").checkpoint()
     )
-    return Resolved(puts, deletes, prefixes, small and fits_broadcast(puts, "path"))
+    listed = few(puts.select("path"))
+    return Resolved(
+        puts, deletes, prefixes, facts.small and (listed is not None or fits_broadcast(puts, "path")),
+        None if listed is None else [row["path"] for row in listed],
+        facts.listed and facts.listed["delete"], facts.listed and facts.listed["delete_prefix"],
+        facts.lengths["delete_prefix"],
+    )
 
 
 def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:
     """Rows of ``docs`` that the changes replace or delete."""
     named = resolved.puts.select("path").unionByName(resolved.deletes.select("path")).distinct()
-    prefixes = resolved.prefixes
     by_name, by_prefix = docs, docs
-    if resolved.small:
-        by_name = narrow(docs, "path", named)
-        by_prefix = narrow(docs, "path", prefixes.select("prefix"), True, FEW_PREFIXES)
+    if resolved.put_list is not None and resolved.delete_list is not None:
+        by_name = docs.filter(among("path", [*resolved.put_list, *resolved.delete_list]))
+    if resolved.prefix_list is not None and len(resolved.prefix_list) <= FEW_PREFIXES:
+        by_prefix = docs.filter(below("path", resolved.prefix_list))
     by_name = keyed_join(by_name, named, ["path"], "left_semi", resolved.small)
-    by_prefix = covered_by(by_prefix, prefixes, small=resolved.small).select(*docs.columns)
+    by_prefix = covered_by(
+        by_prefix, resolved.prefixes, small=resolved.small, lengths=resolved.prefix_lengths
+    ).select(*docs.columns)
     return by_name.unionByName(by_prefix).dropDuplicates(["path"])
 
 
 def content_of(corpus: DataFrame, resolved: Resolved) -> DataFrame:
     """Current content of the paths to put; few of them narrow the scan."""
-    if resolved.small:
-        corpus = narrow(corpus, "path", resolved.puts.select("path"))
+    if resolved.put_list is not None:
+        corpus = corpus.filter(among("path", resolved.put_list))
     return holding(corpus.select("path", "content"), resolved.puts, "path", resolved.small)
 
 

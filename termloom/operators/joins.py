@@ -79,20 +79,22 @@ def without(table: DataFrame, keys: DataFrame, column: str, small: bool) -> Data
 
 
 def covered_by(
-    paths: DataFrame, prefixes: DataFrame, component: bool = False, small: bool | None = None
+    paths: DataFrame, prefixes: DataFrame, component: bool = False, small: bool | None = None,
+    lengths: set[int] | None = None,
 ) -> DataFrame:
     """Rows of ``paths`` joined with each ``prefixes`` row their path starts with.
 
-    Each path is cut at the distinct prefix lengths, which turns the prefix
-    test into an equality. With ``component`` a prefix covers itself and what
-    lies below it. ``prefixes`` has a unique ``prefix`` column, without a
-    slash at the end, next to any others.
+    Each path is cut at the distinct prefix lengths (found by a job unless
+    given), which turns the prefix test into an equality. With ``component`` a
+    prefix covers itself and what lies below it. ``prefixes`` has a unique
+    ``prefix`` column, without a slash at the end, next to any others.
     """
-    # At most one entry per possible path length, whatever the data size.
-    lengths = prefixes.agg(F.collect_set(F.length("prefix"))).first()[0]
+    if lengths is None:
+        # At most one entry per possible path length, whatever the data size.
+        lengths = prefixes.agg(F.collect_set(F.length("prefix"))).first()[0]
     if not lengths:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in prefixes.schema]
-        return paths.select("*", *empty).limit(0)
+        return paths.select("*", *empty).filter(F.lit(False))
     if small is None:
         small = fits_broadcast(prefixes, "prefix")
     cut_at = F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_len")
@@ -107,18 +109,27 @@ def covered_by(
     return keyed_join(cut, prefixes, ["prefix"], small=small, spread=F.col("path"))
 
 
-def narrow(
-    table: DataFrame, column: str, keys: DataFrame, prefix: bool = False, limit: int = PUSHDOWN_LIMIT
-) -> DataFrame:
-    """Push the ``keys`` (or prefixes) into the scan of ``column`` when few.
+def few(keys: DataFrame, limit: int = PUSHDOWN_LIMIT) -> list | None:
+    """The rows of ``keys`` when there are at most ``limit``, else None."""
+    found = keys.limit(limit + 1).collect()
+    return found if len(found) <= limit else None
+
+
+def among(column: str, keys: list[str]) -> Column:
+    """Scan condition for a list of keys."""
+    return F.col(column).isin(keys)
+
+
+def below(column: str, prefixes: list[str]) -> Column:
+    """Scan condition for a list of prefixes."""
+    return reduce(lambda x, y: x | y, [F.col(column).startswith(p) for p in prefixes], F.lit(False))
+
+
+def narrow(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Push the ``keys`` into the scan of ``column`` when few.
 
     Only a hint to the scan: the caller still joins, so a longer key list
     simply leaves ``table`` as it is.
     """
-    found = [row[0] for row in keys.distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        return table
-    if not prefix:
-        return table.filter(F.col(column).isin(found))
-    tests = [F.col(column).startswith(key) for key in found]
-    return table.filter(reduce(lambda x, y: x | y, tests, F.lit(False)))
+    found = few(keys.distinct())
+    return table if found is None else table.filter(among(column, [row[0] for row in found]))

@@ -309,10 +309,11 @@ class StoredIndex(_Totals):
         """
         if batch_id is not None and batch_id <= self.snapshot.batches.get(stream, -1):
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
-        last_seq = changes.agg(F.max("seq")).first()[0]
-        if last_seq is None:
-            return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
         good, bad = C.split_loadable(changes, corpus, extensions)
+        seen = good.select("seq", F.lit(0).alias("bad")).unionByName(bad.select("seq", F.lit(1).alias("bad")))
+        last_seq, n_bad = seen.agg(F.max("seq"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+        if last_seq is None:
+            return Applied(self, bad)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
         added = C.content_of(corpus, resolved)
         layout = layout_for(_text_bytes(added))
@@ -325,15 +326,15 @@ class StoredIndex(_Totals):
         ended_docs, ended_tokens = _totals(
             self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
         )
-        seen = {} if batch_id is None else {stream: batch_id}
+        applied = {} if batch_id is None else {stream: batch_id}
         rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         after = self._publish(
             segments=(*self.snapshot.segments, replace(segment, tombstones=ended_docs > 0)),
             n_docs=self.n_docs + added_docs - ended_docs,
             n_tokens=self.n_tokens + added_tokens - ended_tokens,
-            batches={**self.snapshot.batches, **seen},
+            batches={**self.snapshot.batches, **applied},
             last_seq=max(self.snapshot.last_seq, int(last_seq)),
-            quarantined=self.snapshot.quarantined if rejected.isEmpty() else (*self.snapshot.quarantined, quarantine),
+            quarantined=(*self.snapshot.quarantined, quarantine) if n_bad else self.snapshot.quarantined,
         )
         return Applied(after, rejected)
 
