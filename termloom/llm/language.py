@@ -154,7 +154,7 @@ def train(
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("lang").cast("string").alias("lang"),
-    ).filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
+    ).filter("doc_id is not null and lang is not null").filter(~held_out())
     sizes = {
         r["lang"]: r["count"]
         for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
@@ -163,10 +163,15 @@ def train(
         return None
     languages = sorted(sizes)
 
-    def sample(bound: int, seed: int) -> DataFrame:
-        return rows.filter(_share({x: min(1.0, bound / len(sizes) / n) for x, n in sizes.items()}, seed))
+    def share(bound: int, seed: int) -> Column:
+        return _share({x: min(1.0, bound / len(sizes) / n) for x, n in sizes.items()}, seed)
 
-    summed = sample(train_rows, 1).select("lang", "text").mapInArrow(_counted, "lang string, bin int, n double")
+    # The corpus is read once for both samples.
+    sample = stored(
+        rows.select("lang", "text", share(train_rows, 1).alias("fit"), share(calibration_rows, 2).alias("check"))
+        .filter("(fit or check) and text is not null"), "language-sample",
+    )
+    summed = sample.filter("fit").select("lang", "text").mapInArrow(_counted, "lang string, bin int, n double")
     table = stored(summed.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "grams").toArrow().to_pydict()
     counts = np.zeros((len(languages), BINS))
     number = {x: i for i, x in enumerate(languages)}
@@ -181,7 +186,7 @@ def train(
                 [batch.column("lang"), pa.array(found, pa.list_(pa.float64()))], ["lang", "margins"]
             )
 
-    checks = sample(calibration_rows, 2).select("lang", "text").mapInArrow(measured, "lang string, margins array<double>").collect()
+    checks = sample.filter("check").select("lang", "text").mapInArrow(measured, "lang string, margins array<double>").collect()
     model.calibrate(np.array([r["margins"] for r in checks]), np.array([number[r["lang"]] for r in checks], dtype=int))
     return model
 
