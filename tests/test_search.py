@@ -174,6 +174,17 @@ def test_exclusions_only_match_nothing(index, files, monkeypatch):
         assert matches(index, only[1:]).isEmpty()
 
 
+def test_match_all_ranks_once_for_all_queries(index, files):
+    every = [Clause(q, 0, "must" if q % 2 else "should", kind="match_all", boost=1.0 + q) for q in range(4)]
+    mixed = [Clause(9, 0, kind="match_all"), Clause(9, 1, "must_not", terms=["x"])]
+    got = search(index, every + mixed, k=3).collect()
+    paths = sorted(files)[:3]
+    for q in range(4):
+        assert [(r.path, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == q] == [(p, 1.0 + q) for p in paths]
+    alone = search(index, mixed, k=3).collect()
+    assert [r for r in got if r.qid == 9] == alone or {tuple(r) for r in got if r.qid == 9} == {tuple(r) for r in alone}
+
+
 def test_wrong_clauses_are_refused(index):
     with pytest.raises(ValueError):
         combine(must_not=[index.docs])
