@@ -135,6 +135,11 @@ def _join_words(postings: DataFrame, words: DataFrame, small: bool) -> DataFrame
     return salted_join(postings, words, ["term"], F.col("path"))
 
 
+def _counted(words: DataFrame) -> bool:
+    """Whether expanded words, whose number only the index tells, may be broadcast."""
+    return words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _with_frequency(terms: DataFrame, words: DataFrame, small: bool) -> DataFrame:
     """Words that occur in the index, with their document frequency.
 
@@ -332,7 +337,7 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
         needed = words.filter("kind = 'phrase_prefix'").drop("df").unionByName(
             ends.withColumn("weight", F.lit(0.0))
         )
-        found = _join_words(index.postings_for(query.words, query.ranges), needed, False)
+        found = _join_words(index.postings_for(query.words, query.ranges), needed, _counted(needed))
         hits.append(_phrase_frequency(found, False, True).select(*CARRIED, "path", score))
     return hits
 
@@ -353,7 +358,8 @@ def _constant_hits(index, query: Prepared) -> list[DataFrame]:
         DataFrame.unionByName, [w.select(*CARRIED, "term") for w in words]
     ).distinct()
     postings = index.postings_for(query.words, query.ranges).select("term", "path")
-    found = _join_words(postings, wanted, query.small and kinds == ["term_set"])
+    small = query.small if kinds == ["term_set"] else _counted(wanted)
+    found = _join_words(postings, wanted, small)
     return [found.select(*CARRIED, "path").distinct().withColumn("score", F.col("boost"))]
 
 
