@@ -1,3 +1,4 @@
+import re
 import uuid
 
 import pytest
@@ -193,3 +194,12 @@ def test_a_hot_term_is_split_and_changes_use_many_tasks(spark, root, corpus_of,
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_many_clauses_are_pruned_like_few(spark, root, corpus_of):
+    index = StoredIndex.open(spark, root).build(corpus_of({"a.txt": "gull tern", "b.txt": "gull auk"}), buckets=64)
+    for n in (2, 300):
+        plan = search(index, [Clause(q, 0, terms=["gull"]) for q in range(n)])._jdf.queryExecution().toString()
+        scans = [line for line in plan.split("\n") if "FileScan" in line and "tf:int" in line]
+        assert scans and all(re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = ", s) for s in scans), n
+        assert all(re.search(r"PushedFilters: \[[^]]*EqualTo\(term,gull\)", s) for s in scans), n
