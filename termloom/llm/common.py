@@ -42,15 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def ready_workers(spark: SparkSession) -> None:
-    """Prepare a session for this package's Python code on executors.
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
 
-    The code travels with the application, once, so that workers need no copy
-    of it; Spark's own file server hands it out. Arrow batches of long texts must
-    stay small; a setting that was chosen is kept.
+    Workers then need no copy of it; Spark's own file server hands it out.
     """
-    if spark.conf.get(BATCH_KEY) == SPARK_BATCH:
-        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         home = Path(termloom.__file__).parent
@@ -63,6 +59,13 @@ def ready_workers(spark: SparkSession) -> None:
         _shipped.add(application)
 
 
+def ready_workers(spark: SparkSession) -> None:
+    """Send the code, and keep Arrow batches of long texts small unless a size was chosen."""
+    ship_code(spark)
+    if spark.conf.get(BATCH_KEY) == SPARK_BATCH:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def fits(df: DataFrame, row_bytes: int) -> bool:
     """Whether all rows of a stored table, ``row_bytes`` each, may be broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.common import sized, stored, text_of
+from termloom.llm.common import ship_code, sized, stored, text_of
 
 COUNTERS = 1024
 SUMMARY = "digest binary, seen long"
@@ -57,6 +57,7 @@ def summarise(counters: int):
 
 def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Exact size and keeper of the frequent digests; at most ``counters + 1`` rows."""
+    ship_code(rows.sparkSession)
     top = (
         rows.select("digest").mapInArrow(summarise(counters), SUMMARY)
         .groupBy("digest").agg(F.sum("seen").alias("seen"))

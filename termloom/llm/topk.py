@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import stored
+from termloom.llm.common import ship_code, stored
 
 SCALE = 256
 K = 5
@@ -185,6 +185,7 @@ def search(
     Queries are the vectors whose id is divisible by ``every``.
     """
     spark = table.sparkSession
+    ship_code(spark)
     index = vectors(table, scale)
     wanted = index.filter(F.col("vec_id") % every == 0)
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
