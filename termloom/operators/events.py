@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from termloom.functions import paths as P
 from termloom.operators.ordinals import gap_groups, rank_in_group
@@ -98,12 +97,14 @@ def debounce(changes: DataFrame, key: str = "path", seconds: float = DEBOUNCE_SE
         F.min("ts").alias("_min"), F.max("ts").alias("_max"),
         F.count(F.lit(1)).alias("_n"), F.max(F.struct("seq", "op")).alias("_last"),
     )
-    in_key = W.partitionBy(key).orderBy("_slot")
-    gap = F.unix_micros("_min") - F.unix_micros(F.lag("_max").over(in_key))
-    bursts = slots.withColumn("_new", F.when(gap <= width, 0).otherwise(1)).withColumn(
-        "_burst", F.sum("_new").over(in_key)
-    )
-    return bursts.groupBy(key, "_burst").agg(
+    # Slots are numbered over range-partitioned blocks, so a busy key is many tasks.
+    placed = slots.withColumn("_at", F.struct(F.col(key).alias("key"), "_min", "_max"))
+
+    def opens(previous: Column, current: Column) -> Column:
+        quiet = F.unix_micros(current["_min"]) - F.unix_micros(previous["_max"])
+        return ~previous["key"].eqNullSafe(current["key"]) | (quiet > width)
+
+    return gap_groups(placed, "_at", "_slot", opens).groupBy(key, "group_no").agg(
         F.min("_min").alias("first_ts"), F.max("_max").alias("last_ts"),
         F.sum("_n").alias("n"), F.max("_last").alias("_last"),
     ).select(key, "first_ts", "last_ts", "n", "_last.seq", "_last.op")

@@ -182,3 +182,19 @@ def test_ranks_cross_blocks(spark):
     for r in sorted(got, key=lambda r: r.id):
         by_group.setdefault(r.g, []).append(r.n)
     assert all(ns == list(range(1, len(ns) + 1)) for ns in by_group.values()) and len(got) == 200
+
+
+def test_debounce_splits_a_busy_path(spark):
+    """Bursts over block borders are the same as in one task."""
+    rows = [(i * 400 + (5000 if i >= 300 else 0) + (9000 if i >= 500 else 0), "/busy") for i in range(700)]
+    rows += [(i * 3000, f"/p{i % 3}") for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r.path, r.first_ts, r.n, r.seq) for r in E.debounce(timed(spark, rows)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    assert [n for p, _, n, _ in got[0] if p == "/busy"] == [300, 200, 200]
