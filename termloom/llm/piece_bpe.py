@@ -43,7 +43,8 @@ OTHER = rf"(?:(?!{LETTER})[^{START}])"
 RUNS = re.compile(f"{START}*{LETTER}+|{START}*{OTHER}+|{START}+")
 MIXED = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-WORD_CACHE = 300_000
+# Words of one generation; the one before is kept, so frequent words stay known.
+WORD_CACHE = 150_000
 PAIR_CACHE = 2_000_000
 LONGEST_CACHED = 64
 ENCODED = "doc_id long, ids array<int>, decoded string"
@@ -82,6 +83,7 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         # Cutting between letters and the rest is safe as well if no piece mixes them.
         mixes = any(MIXED.search(p) for p in self.score)
         self.cut = (WORDS if mixes else RUNS).findall
@@ -143,14 +145,11 @@ class PieceEncoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     word = words[i]
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = self.encode_word(word)
-                        if len(word) <= LONGEST_CACHED:
-                            if len(known) >= WORD_CACHE:
-                                known.clear()
-                            known[word] = ids
-                    out[i] = ids
+                    ids = out[i] = known.get(word) or self.older.get(word) or self.encode_word(word)
+                    if len(word) <= LONGEST_CACHED:
+                        known[word] = ids
+            if len(known) >= WORD_CACHE:
+                self.words, self.older = {}, known
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
