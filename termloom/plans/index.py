@@ -33,6 +33,7 @@ from pyspark.storagelevel import StorageLevel
 from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
+from termloom.operators.joins import BROADCAST_BYTES, ROW_BYTES
 from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
@@ -145,7 +146,7 @@ class Segment:
     seg: int
     attempt: str
     buckets: int
-    tombstones: bool = False
+    tombstones: int = 0  # bytes of the paths this segment ends
 
     @property
     def folder(self) -> str:
@@ -291,9 +292,12 @@ class StoredIndex(_Totals):
         if not paths:
             return rows
         schema = T.StructType([*schemas.TOMBSTONES.fields, T.StructField("seg", T.LongType())])
-        return _live(rows, self.spark.read.schema(schema).option(
+        ended = self.spark.read.schema(schema).option(
             "basePath", f"{self.root}/tombstones"
-        ).parquet(*paths))
+        ).parquet(*paths)
+        # Their size was counted when they were committed.
+        small = sum(s.tombstones for s in self.snapshot.segments) <= BROADCAST_BYTES
+        return _live(rows, F.broadcast(ended.select("path", "seg")) if small else ended)
 
     # -- changing ---------------------------------------------------------------
 
@@ -323,15 +327,17 @@ class StoredIndex(_Totals):
         tombstones = f"{self.root}/tombstones/{segment.folder}"
         C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
         added_docs, added_tokens = self._write_segment(build_entries(added), segment, layout.tasks)
-        ended_docs, ended_tokens = _totals(
-            self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
-        )
+        ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
+        ended_docs, ended_tokens, ended_bytes = ended.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)),
+            F.coalesce(F.sum(F.octet_length("path") + ROW_BYTES), F.lit(0)),
+        ).first()
         applied = {} if batch_id is None else {stream: batch_id}
         rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         after = self._publish(
-            segments=(*self.snapshot.segments, replace(segment, tombstones=ended_docs > 0)),
-            n_docs=self.n_docs + added_docs - ended_docs,
-            n_tokens=self.n_tokens + added_tokens - ended_tokens,
+            segments=(*self.snapshot.segments, replace(segment, tombstones=int(ended_bytes))),
+            n_docs=self.n_docs + added_docs - int(ended_docs),
+            n_tokens=self.n_tokens + added_tokens - int(ended_tokens),
             batches={**self.snapshot.batches, **applied},
             last_seq=max(self.snapshot.last_seq, int(last_seq)),
             quarantined=(*self.snapshot.quarantined, quarantine) if n_bad else self.snapshot.quarantined,
