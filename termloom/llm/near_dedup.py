@@ -46,8 +46,8 @@ WORDS = 5
 PERCENT = 80
 TREES, DEPTH, ROOT = 20, 6, 3
 SEED = 20240501
-# Sets in one side of a block.
-CHUNK = 512
+# Sets in one side of a block; fewer where they have more shingles than this each.
+CHUNK, SET_SHINGLES = 512, 512
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary"
 _BLOCK = 4096
 
@@ -168,8 +168,8 @@ def families(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = F.coalesce("component", "doc_id").alias("component")
     members = stored(
-        rows.select("region", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("region", "doc_id", own), "members",
+        rows.select("region", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("region", "doc_id", "n_shingles", own), "members",
     )
     mixed = members.groupBy("region").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("first")
@@ -177,15 +177,18 @@ def families(rows: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = stored(members.join(sized(stored(mixed, "open-regions"), 16), "region"), "open-members")
     family = components(mixed.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     placed = stored(
-        mixed.select("doc_id", "component").distinct().join(
+        mixed.select("doc_id", "component", "n_shingles").distinct().join(
             family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"
         ), "families",
     )
-    main = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"),
-        (F.sum("n") - F.max("n")).alias("leaders"),
+    largest = F.struct("n", "component")
+    main = placed.groupBy("family", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")
+    ).groupBy("family").agg(
+        F.max_by("component", largest).alias("main"), F.sum("n").alias("members"), F.sum("size").alias("size"),
+        (F.sum("n") - F.max("n")).alias("leaders"), (F.sum("size") - F.max_by("size", largest)).alias("lead_size"),
     )
-    return placed.join(sized(stored(main, "main-components"), 32), "family").withColumn(
+    return placed.join(sized(stored(main, "main-components"), 48), "family").withColumn(
         "lead", F.col("component") != F.col("main")
     )
 
@@ -197,7 +200,10 @@ def block_links(docs: DataFrame, members: DataFrame, words: int, percent: int, c
     and compares its sets through one inverted index, so no pair is emitted that
     is not a link.
     """
-    columns, rows = F.ceil(F.col("members") / chunk), F.ceil(F.col("leaders") / chunk)
+    columns, rows = (
+        F.ceil(F.greatest(F.col(count).cast("double"), F.col(size) / SET_SHINGLES) / chunk)
+        for count, size in (("members", "size"), ("leaders", "lead_size"))
+    )
 
     def chunk_of(count: F.Column) -> F.Column:
         return F.pmod(F.xxhash64("doc_id"), count)
@@ -253,10 +259,12 @@ def near_duplicates(
         "set_id", F.coalesce("component", "doc_id").alias("component")
     )
     named = stored(named, "named-sets")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"),
+    # Rows without a set stay out of the join, where they would all be one key.
+    alone = sketch.filter("doc_id is null or set_id is null").select("doc_id", "n_shingles", "doc_id")
+    joined = known.join(named, "set_id").select("doc_id", "n_shingles", "component")
+    return joined.union(alone).select(
+        "doc_id", "n_shingles", F.col("component").alias("component_id"),
+        (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))).alias("kept"),
     )
 
 
