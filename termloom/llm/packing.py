@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -37,6 +38,10 @@ CAPACITY = 1024
 GROUP = 256
 PART = 256
 END = 0
+# The engine's stack ends at about a million blanks in a row; shorter texts need no look.
+BLANKS = 1 << 16
+# White space as the pattern's \s has it; Python's own also takes U+001C to U+001F.
+BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANKS)
 # Windows of one task are numbered below this; the task's number stands above.
 TASK_BITS = 40
 PIECES = (
@@ -56,6 +61,20 @@ def tokenizer(ranks_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(text: str, codec: tiktoken.Encoding) -> list[int]:
+    """Ids of the whole text. Of a run of blanks all but the last one are a piece of
+    the pattern, at the end of the text all of them: long runs are cut out as that."""
+    if len(text) < BLANKS:
+        return codec.encode_ordinary(text)
+    ids, done = [], 0
+    for run in BLANK_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += codec.encode_ordinary(text[done:run.start()])
+        ids += codec._encode_single_piece(text[run.start():end])
+        done = end
+    return ids + codec.encode_ordinary(text[done:])
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Item numbers per window: Karmarkar-Karp for ``windows`` sets."""
     ticket = count()
@@ -143,7 +162,7 @@ def pack_documents(
     ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_file, pattern).encode_ordinary
+        codec = tokenizer(ranks_file, pattern)
         packer = TaskPacker(TaskContext.get().partitionId(), capacity, group, part)
 
         def arrow(pieces: list[tuple]) -> pa.RecordBatch:
@@ -155,7 +174,7 @@ def pack_documents(
         for batch in batches:
             pieces: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pieces += packer.add(doc_id, np.array([*encode(text), END], dtype="<u4"))
+                pieces += packer.add(doc_id, np.array([*encode(text, codec), END], dtype="<u4"))
             yield arrow(pieces)
         yield arrow(packer.flush())
 

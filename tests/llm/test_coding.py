@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,6 +121,29 @@ def test_packed_documents(spark, docs_of, edge_rows):
     assert packing.pack_documents(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t \u2003"])
+def test_packing_encodes_long_blank_runs(spark, docs_of, blank):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = blank * (1_200_000 // len(blank))
+    texts = [f"x{run}y", f"{run}\x1c.", f"a {run}", f"it's{run}\n9{run[1:]} end"]
+    pieces = packing.pack_documents(docs_of(list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()
+    for i, text in enumerate(texts):
+        parts = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        ids = np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_blank_runs_are_cut_as_the_pattern_cuts(monkeypatch):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    codec = packing.tokenizer(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(packing, "BLANKS", 2)
+    monkeypatch.setattr(packing, "BLANK_RUN", re.compile(packing.BLANK_RUN.pattern.replace("{65536,}", "{2,}")))
+    rng = random.Random(8)
+    for _ in range(3_000):
+        text = "".join(rng.choice([" ", " ", "\n", "\x1c", "\x1f", "\x85", "\u200b", "\u3000", "a", "'s", "7", ".", "é"]) for _ in range(12))
+        assert packing.encode(text, codec) == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 PAGES = "page_id long, url string, html string, digest string, keeper string, archive string"
 
 
