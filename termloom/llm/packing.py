@@ -11,9 +11,9 @@ no shuffle: a task packs what it reads, in bounded memory, and a task that runs
 again gives the same windows for the same rows.
 
 Defined results: a null or empty text is its end id alone. Rows that repeat an id
-are packed one by one. A null ``doc_id`` is packed and stays null. Strings of
-special tokens are ordinary text. An empty table gives an empty result. Other
-columns are ignored.
+are packed one by one. A null ``doc_id`` is packed and stays null. The literal of an
+added token (``SPECIALS``) is its id, wherever it stands. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ CAPACITY = 1024
 GROUP = 256
 PART = 256
 END = 0
+# Added tokens of the vocabulary, as its JSON form lists them: no neighbouring blanks, no word borders.
+SPECIALS = {"<|endoftext|>": 50256}
 # The engine's stack ends at about a million blanks in a row; shorter texts need no look.
 BLANKS = 1 << 16
 # White space as the pattern's \s has it; Python's own also takes U+001C to U+001F.
@@ -61,9 +63,9 @@ def tokenizer(ranks_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, codec: tiktoken.Encoding) -> list[int]:
-    """Ids of the whole text. Of a run of blanks all but the last one are a piece of
-    the pattern, at the end of the text all of them: long runs are cut out as that."""
+def ordinary(text: str, codec: tiktoken.Encoding) -> list[int]:
+    """Ids of a text without added tokens. Of a run of blanks all but the last one are a piece
+    of the pattern, at the end of the text all of them: long runs are cut out as that."""
     if len(text) < BLANKS:
         return codec.encode_ordinary(text)
     ids, done = [], 0
@@ -75,6 +77,19 @@ def encode(text: str, codec: tiktoken.Encoding) -> list[int]:
     return ids + codec.encode_ordinary(text[done:])
 
 
+def encode(text: str, codec: tiktoken.Encoding) -> list[int]:
+    """Ids of the whole text; the texts around an added token are encoded apart."""
+    for literal, number in SPECIALS.items():
+        if literal in text:
+            first, *others = text.split(literal)
+            ids = encode(first, codec)
+            for other in others:
+                ids.append(number)
+                ids += encode(other, codec)
+            return ids
+    return ordinary(text, codec)
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Item numbers per window: Karmarkar-Karp for ``windows`` sets."""
     ticket = count()

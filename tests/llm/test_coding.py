@@ -144,6 +144,18 @@ def test_blank_runs_are_cut_as_the_pattern_cuts(monkeypatch):
         assert packing.encode(text, codec) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_emits_added_tokens(spark, docs_of):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in plain.get_added_tokens_decoder().items()} == packing.SPECIALS
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, end * 3, f"a{end}b \n {end}\n", f"<|{end}|>", "<|endoftext|", f"  {end}  's", f"x {end}" + " " * 70_000 + end]
+    pieces = packing.pack_documents(docs_of(list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()
+    for i, text in enumerate(texts):
+        parts = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        ids = np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [0], text[:40]
+
+
 PAGES = "page_id long, url string, html string, digest string, keeper string, archive string"
 
 
