@@ -111,6 +111,20 @@ def test_language_does_not_see_held_out_labels(spark, docs_of):
     assert {r.lang_pred for r in language.identify(docs_of(wrong)).collect()} == {"en"}
 
 
+def test_every_language_is_learned(spark, docs_of):
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        # The languages after the first hundred are the rare ones.
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=30)), f"l{k:03}") for i in range(16 if k < 100 else 12)]
+    found = {r.doc_id: r for r in language.identify(docs_of(rows)).collect()}
+    held = [(lang, found[i].lang_pred) for i, _, lang in rows if found[i].held_out]
+    assert len({lang for lang, _ in held if lang >= "l100"}) > 40
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    assert sum(a == b for a, b in held if a >= "l100") >= 0.95 * sum(a >= "l100" for a, _ in held)
+
+
 def test_quality_separates_labelled_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").collect()
