@@ -8,8 +8,11 @@ the classes, and hands them to the other view's training rows. Afterwards each
 view is calibrated on labelled rows that were kept apart, the two calibrated
 views are combined, and all documents are scored.
 
-The fit uses at most about ``labelled`` labelled and ``unlabelled`` other rows,
-chosen by a hash of the id; every text is read and scored in full.
+The fit uses about ``labelled`` labelled rows, chosen by a hash of the id within
+each class: a class below half of them is used whole, and every row stands for as
+many as its class was thinned by. The rounds choose among all other rows: each
+scores them where they lie and takes the ``SHARE`` of ``unlabelled`` rows (of all,
+if there are fewer) it is surest of. Every text is read and scored in full.
 
 Defined results: null and empty texts have all-zero content features and get a
 score like others; null metadata counts as a value of its own. Several labels of
@@ -111,44 +114,107 @@ class Logistic:
         return self.rows(x) @ self.w
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class Pool:
+    """All rows without a label, described and stored; picked rows are gone."""
+
+    def __init__(self, rows: DataFrame, size: int, unlabelled: int):
+        """``rows`` are stored and have a ``row`` key and a ``lot`` that breaks ties."""
+        self.rows, self.most = rows, min(size, unlabelled)
+        self.gone: set[int] = set()
+
+    def pick(self, views: list[Logistic], good: int, bad: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        """For each view the features and labels of the rows it is surest of, at most ``good`` and ``bad``."""
+        shared = self.rows.sparkSession.sparkContext.broadcast((views, np.array(sorted(self.gone), dtype=np.int64)))
+
+        def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, gone = shared.value
+            best: dict[tuple[int, int], list[np.ndarray]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                row, lot = batch.column("row").to_numpy(), batch.column("lot").to_numpy()
+                for i, name in enumerate(("content", "metadata")):
+                    p = sigmoid(views[i].logit(_numbers(batch.column(name))))
+                    # The second view may find up to all rows of the first one taken.
+                    for label, most, sure in ((1, good, p >= SURE), (0, bad, p <= 1 - SURE)):
+                        here = sure & ~np.isin(row, gone)
+                        new = [p[here], lot[here], row[here]]
+                        old = best.get((i, label))
+                        new = [np.concatenate(x) for x in zip(old, new, strict=True)] if old else new
+                        order = np.lexsort((new[2], new[1], -new[0] if label else new[0]))
+                        best[i, label] = [x[order[:most + i * (good + bad)]] for x in new]
+            for (i, label), (p, lot, row) in best.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(p), i)), pa.array(np.full(len(p), label)), *map(pa.array, (p, lot, row))],
+                    ["view", "label", "p", "lot", "row"],
+                )
+
+        found = self.rows.mapInArrow(surest, "view long, label long, p double, lot long, row long").toArrow()
+        view, label, p, lot, row = (found.column(c).to_numpy() for c in found.column_names)
+        taken: list[dict[int, float]] = []
+        for i in (0, 1):
+            here: dict[int, float] = {}
+            for value, most in ((1, good), (0, bad)):
+                at = np.flatnonzero((view == i) & (label == value))
+                at = at[np.lexsort((row[at], lot[at], -p[at] if value else p[at]))]
+                free = [x for x in row[at].tolist() if x not in self.gone]
+                here |= dict.fromkeys(free[:most], float(value))
+            self.gone |= set(here)
+            taken.append(here)
+        return [self.features(here) for here in taken]
+
+    def features(self, labels: dict[int, float]) -> tuple[list[np.ndarray], np.ndarray]:
+        if not labels:
+            return [np.empty(0), np.empty(0)], np.empty(0)
+        spark = self.rows.sparkSession
+        wanted = F.broadcast(spark.createDataFrame([(x,) for x in labels], "row long"))
+        table = self.rows.join(wanted, "row").toArrow().combine_chunks()
+        table = table.sort_by([("lot", "ascending"), ("row", "ascending")])
+        parts = [np.array(table.column(c).to_pylist(), dtype=float) for c in ("content", "metadata")]
+        return parts, np.array([labels[x] for x in table.column("row").to_pylist()])
+
+
 class CoTrained:
     """Two views, their calibrations, and how they are combined."""
 
-    def __init__(self, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS):
+    def __init__(self, labelled: list[np.ndarray], y: np.ndarray, stands_for: np.ndarray, pool: Pool, rounds: int = ROUNDS):
         apart = np.arange(len(y)) % 5 == 0
+        if (stands_for != 1).any():
+            # What was drawn by class is also split by class, or a rare one is missing on a side.
+            for value in (0, 1):
+                here = np.flatnonzero(y == value)
+                apart[here] = np.arange(len(here)) % 5 == 0
         if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
             apart = np.zeros(len(y), dtype=bool)
         fit = ~apart
         extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        free = np.ones(len(pool[0]), dtype=bool)
-        base = y[fit].mean()
+        base = np.average(y[fit], weights=stands_for[fit])
 
         def view(i: int) -> Logistic:
-            xs = [labelled[i][fit], *(pool[i][at] for at, _ in extra[i])]
+            xs = [labelled[i][fit], *(x for x, _ in extra[i])]
             ys = [y[fit], *(labels for _, labels in extra[i])]
-            weight = np.concatenate([np.ones(fit.sum()), *(np.full(len(at), PSEUDO_WEIGHT) for at, _ in extra[i])])
+            weight = np.concatenate([stands_for[fit], *(np.full(len(x), PSEUDO_WEIGHT) for x, _ in extra[i])])
             return Logistic(np.vstack(xs), np.concatenate(ys), weight)
 
         self.views = [view(0), view(1)]
-        for _ in range(rounds):
-            for i in (0, 1):
-                at = np.flatnonzero(free)
-                p = sigmoid(self.views[i].logit(pool[i][at])) if len(at) else np.empty(0)
-                take = int(np.ceil(SHARE * len(pool[0])))
-                good = at[np.argsort(-p, kind="stable")[:int(np.ceil(take * base))]]
-                bad = at[np.argsort(p, kind="stable")[:int(np.ceil(take * (1 - base)))]]
-                good = good[sigmoid(self.views[i].logit(pool[i][good])) >= SURE] if len(good) else good
-                bad = bad[sigmoid(self.views[i].logit(pool[i][bad])) <= 1 - SURE] if len(bad) else bad
-                both = np.concatenate([good, bad])
-                if len(both):
-                    extra[1 - i].append((both, np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
-                    free[both] = False
+        take = int(np.ceil(SHARE * pool.most))
+        for _ in range(rounds if take else 0):
+            picked = pool.pick(self.views, int(np.ceil(take * base)), int(np.ceil(take * (1 - base))))
+            for i, (views, labels) in enumerate(picked):
+                if len(labels):
+                    extra[1 - i].append((views[1 - i], labels))
             self.views = [view(0), view(1)]
         # With too few rows to keep some apart, the training rows calibrate.
         held = apart if apart.any() else fit
         logits = [v.logit(x[held])[:, None] for v, x in zip(self.views, labelled, strict=True)]
-        self.calibrated = [Logistic(z, y[held]) for z in logits]
-        self.combined = Logistic(np.hstack([c.logit(z)[:, None] for c, z in zip(self.calibrated, logits, strict=True)]), y[held])
+        self.calibrated = [Logistic(z, y[held], stands_for[held]) for z in logits]
+        both = np.hstack([c.logit(z)[:, None] for c, z in zip(self.calibrated, logits, strict=True)])
+        self.combined = Logistic(both, y[held], stands_for[held])
 
     def score(self, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: content, metadata, combined."""
@@ -184,32 +250,38 @@ def _columns(docs: DataFrame) -> DataFrame:
 def train(
     docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS
 ) -> CoTrained | None:
-    """Fit on the labelled rows of ``docs`` and a sample of the others; None without both classes."""
+    """Fit on labelled rows of ``docs`` and all the others; None without both classes."""
     ready_workers(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
     ).agg(F.avg("quality").alias("mean")).filter("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label"))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left")
-    sizes = {r["l"]: r["count"] for r in ids.groupBy(F.col("label").isNotNull().alias("l")).count().collect()}
+    known = stored(known, "known-labels")
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(sized(known, 24), "doc_id", "left")
+    sizes = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    good, bad = sizes.get(1.0, 0), sizes.get(0.0, 0)
+    if not good or not bad:
+        return None
+    # A class below half of the rows leaves the others to the other class.
+    share = {
+        value: min(1.0, max(labelled / 2, labelled - other) / size) for value, size, other in ((1.0, good, bad), (0.0, bad, good))
+    }
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    share = F.when(F.col("label").isNotNull(), labelled / max(sizes.get(True, 1), 1)).otherwise(
-        unlabelled / max(sizes.get(False, 1), 1)
-    )
-    chosen = stored(ids.filter(lot < share).distinct(), "training-ids")
-    rows = _columns(docs).join(sized(chosen, 16), "doc_id").mapInArrow(
+    chosen = F.col("label").isNull() | (lot < F.when(F.col("label") == 1, share[1.0]).otherwise(share[0.0]))
+    rows = _columns(docs).filter("doc_id is not null").join(sized(known, 24), "doc_id", "left").filter(chosen)
+    described = rows.select("doc_id", "text", "lang", "source", "n_chars", "label").mapInArrow(
         _described, "doc_id long, label double, content array<double>, metadata array<double>"
-    )
-    table = stored(rows, "training-rows").orderBy(F.xxhash64("doc_id"), "doc_id", "content").toArrow()
+    ).withColumn("row", F.monotonically_increasing_id()).withColumn("lot", F.xxhash64("doc_id"))
+    described = stored(described, "training-rows")
+    table = described.filter("label is not null").orderBy("lot", "doc_id", "content").toArrow()
     label = table.column("label").to_numpy()
-    if not len(label):
-        return None
     views = [
         np.array(table.column(c).to_pylist(), dtype=float).reshape(len(label), -1) for c in ("content", "metadata")
     ]
-    has = ~np.isnan(label)
-    if len(set(label[has])) < 2:
-        return None
-    return CoTrained([v[has] for v in views], label[has], [v[~has] for v in views], rounds)
+    if len(set(label)) < 2:
+        raise ValueError("no row of a labelled class was drawn")
+    stands_for = np.where(label == 1, good / (label == 1).sum(), bad / (label == 0).sum())
+    pool = Pool(described.filter("label is null").select("row", "lot", "content", "metadata"), sizes.get(None, 0), unlabelled)
+    return CoTrained(views, label, stands_for, pool, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -147,6 +147,37 @@ def test_quality_on_unseen_rows(spark, docs_of):
     assert all(0 <= s <= 1 for r in found for s in (r.content_score, r.metadata_score, r.score))
 
 
+def test_quality_keeps_a_rare_class_of_labels(spark, docs_of):
+    rows = [(i, f"BUY!! NOW {i}!! $$$ ### " * 20 if i % 200 == 0 else good_text(i)) for i in range(2_000)]
+    labels = spark.createDataFrame([(i, int(i % 200 != 0)) for i in range(1_600)], "doc_id long, quality int")
+    docs = docs_of(rows)
+    model = quality.train(docs, labels, labelled=100)
+    assert model is not None
+    found = {r.doc_id: r.kept for r in quality.score(docs, model).collect()}
+    assert not any(found[i] for i in range(0, 2_000, 200))
+    assert sum(found.values()) >= 0.97 * 1_990
+
+
+def test_pseudo_labels_come_from_all_rows(spark, docs_of):
+    rows = [(i, good_text(i) if i % 3 else f"BUY!! NOW {i}!! $$$ ### " * 20) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(100)], "doc_id long, quality int")
+    seen = {}
+
+    class Recorded(quality.Pool):
+        def pick(self, *args):
+            out = super().pick(*args)
+            seen.update(size=self.rows.count(), picked=len(self.gone))
+            return out
+
+    plain, quality.Pool = quality.Pool, Recorded
+    try:
+        assert quality.train(docs_of(rows), labels, unlabelled=50) is not None
+    finally:
+        quality.Pool = plain
+    # Candidates are all 500, a round takes its share of 50.
+    assert seen["size"] == 500 and 0 < seen["picked"] <= 2 * 5 * 4
+
+
 def test_quality_edges(spark, docs_of, edge_rows):
     docs = docs_of(edge_rows, clashing=True)
     nothing = spark.createDataFrame([], "doc_id long, quality int")
