@@ -4,10 +4,14 @@ The fixed kinds are ``assign``, ``access`` and ``hex``. The fourth, ``entropy``,
 slides a window over every candidate string (a run of token characters), keeps
 the counts of its characters and their sum of ``n log n`` up to date by one
 removal and one addition per step, and reports the union of the windows whose
-Shannon entropy reaches the threshold of their character class. Windows of
-dictionary-like text have no digits or no change of class and never qualify.
-Allow-listed strings (UUIDs, digests in a URL path, placeholders, counting or
-repeating runs) are suppressed; suppression never removes a fixed kind.
+Shannon entropy reaches the threshold of their character class. The class is that of
+each stretch: a key of hex digits is judged as one, whatever name or path it is glued
+to. Windows of dictionary-like text have no digits or no change of class and never
+qualify. Allow-listed parts are cut out of a candidate, the rest is still searched:
+UUIDs, words with a placeholder or a counting or repeating run, and whole segments of
+letters and digits in the path of a URL (digests), unless the URL names a credential
+before (hook, token, key and the like). Query values, fragments and user:token@host
+are never allow-listed. Suppression never removes a fixed kind.
 
 Defined results: a null text is empty and has no span. Offsets are code points,
 ends are exclusive. Spans of one kind do not overlap; spans of different kinds
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +50,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567890|abcdefgh|0{8}", re.IGNORECASE)
-URL_TAIL = re.compile(r"https?:(//[^\s\"'<>]*)?$")
+WORD = re.compile(r"[A-Za-z0-9_-]+")
+# Stretches of one class; the lower the class, the lower its threshold.
+STRETCHES = [re.compile(p % WINDOW) for p in (r"[A-Za-z0-9]{%d,}", r"[0-9a-f]{%d,}", r"[0-9A-F]{%d,}")]
+URL = re.compile(r"https?://([^\s\"'<>/?#]*)([^\s\"'<>?#]*)")
+SEGMENT = re.compile(r"(?<=/)[A-Za-z0-9]{%d,}(?=/|$)" % WINDOW)
+CREDENTIAL = re.compile(r"hook|token|secret|passw|api_?key|[/.]keys?[/.]|[/.]o?auth|signed|/bot", re.IGNORECASE)
 N_LOG_N = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -90,12 +100,50 @@ def hot_windows(text: str, window: int = WINDOW, thresholds: dict[str, float] |
     return found
 
 
-def allowed(text: str, start: int, end: int) -> bool:
-    """Whether a candidate is known to be harmless."""
-    candidate = text[start:end]
-    if UUID.fullmatch(candidate) or PLACEHOLDER.search(candidate):
-        return True
-    return URL_TAIL.search(text[max(0, start - 2000):start]) is not None
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans that overlap or touch."""
+    found: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if found and start <= found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
+        else:
+            found.append((start, end))
+    return found
+
+
+def hot_stretches(text: str) -> list[tuple[int, int]]:
+    """Hot windows of the whole text and of its stretches of one class."""
+    spans = hot_windows(text)
+    for pattern in STRETCHES:
+        for m in pattern.finditer(text):
+            if m.end() - m.start() < len(text):
+                spans += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0])]
+    return joined(spans)
+
+
+def digests(text: str) -> list[tuple[int, int]]:
+    """Whole segments of URL paths that are harmless."""
+    spans = []
+    for url in URL.finditer(text):
+        named = CREDENTIAL.search(url[0])
+        limit = url.start() + named.start() if named else url.end()
+        spans += [(url.start(2) + x.start(), url.start(2) + x.end()) for x in SEGMENT.finditer(url[2]) if url.start(2) + x.end() <= limit]
+    return spans
+
+
+def unknown_parts(run: str, base: int, harmless: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """What is left of a candidate at ``base`` between its harmless parts."""
+    cut = [m.span() for m in WORD.finditer(run) if UUID.fullmatch(m[0]) or PLACEHOLDER.search(m[0])]
+    first = bisect_left(harmless, (base, 0))
+    for start, end in harmless[first:]:
+        if start >= base + len(run):
+            break
+        cut.append((start - base, end - base))
+    done = 0
+    for start, end in [*joined(cut), (len(run), len(run))]:
+        if start > done:
+            yield base + done, run[done:start]
+        done = end
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,14 +155,17 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             for m in ASSIGN.finditer(text):
                 if len(m[2]) >= MIN_VALUE:
                     spans.append(("assign", m.start(), m.end()))
+    harmless: list[tuple[int, int]] | None = None
     # Runs of 20 characters of either fixed alphabet lie within one candidate.
     for m in CANDIDATE.finditer(text):
         run, base = m[0], m.start()
         for kind, pattern, least in (("access", ACCESS, MIN_ACCESS), ("hex", HEX, MIN_HEX)):
             spans += [(kind, base + x.start(), base + x.end()) for x in pattern.finditer(run) if x.end() - x.start() >= least]
-        windows = hot_windows(run) if any(map(str.isdigit, run)) else []
-        if windows and not allowed(text, base, m.end()):
-            spans += [("entropy", base + a, base + b) for a, b in windows]
+        if any(map(str.isdigit, run)) and hot_stretches(run):
+            if harmless is None:
+                harmless = digests(text)
+            for at, part in unknown_parts(run, base, harmless):
+                spans += [("entropy", at + a, at + b) for a, b in hot_stretches(part)]
     spans.sort(key=lambda s: (s[1], RANK[s[0]]))
     return spans
 

@@ -64,6 +64,31 @@ def test_entropy_finds_and_suppresses():
         assert secrets.find_spans(harmless) == [], harmless
 
 
+@pytest.mark.parametrize("before", ["sig=", "client_key=", "/srv/keys/", "name-", "x_", "https://host/a?sig=", "https://host/hooks/"])
+def test_entropy_of_glued_keys(before):
+    rng = random.Random(6)
+    covered = found = 0
+    for _ in range(200):
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(40))
+        text = f"see {before}{key} end"
+        at = text.index(key)
+        spans = [s for s in secrets.find_spans(text) if s[0] == "entropy"]
+        found += bool(spans)
+        covered += sum(max(0, min(b, at + 40) - max(a, at)) for _, a, b in spans)
+    assert found >= 198 and covered >= 0.9 * 200 * 40
+
+
+def test_allow_list_is_limited_to_its_part():
+    key, digest = "q8Zt3vK1xW9pL5nB7cR2", "Ab3dE6gH9jK2mN5pQ8sT"
+    for text in (
+        f"https://user:{key}@host/a", f"https://host/{digest}?sig={key}", f"https://host/{digest}#{key}",
+        f"https://host/services/hook/{key}", f"id=123e4567-e89b-12d3-a456-426614174000/{key}", f"example/{key}",
+    ):
+        assert any(key in text[a:b] for _, a, b in secrets.find_spans(text)), text
+    for text in (f"https://host/a/{digest}/b", "ref=123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets.find_spans(text) == [], text
+
+
 def test_scan_and_redact(spark, docs_of, edge_rows):
     docs = docs_of(edge_rows, clashing=True)
     rows = secrets.scan(docs).collect()
