@@ -18,6 +18,7 @@ index. Other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -124,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def parse(member: bytes) -> dict:
-    """One record; a response's payload is checked against its digest."""
+    """One record; the payload of a response is hashed and measured, and must be what its headers say."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
     block = rest[: int(fields["Content-Length"])]
@@ -132,6 +133,13 @@ def parse(member: bytes) -> dict:
     sizes = [line[15:] for line in http.split(b"\r\n") if line.startswith(b"Content-Length:")]
     revisit = fields["WARC-Type"] == "revisit"
 
+    size, digest = int(sizes[0]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if not revisit:
+        read = len(payload), hashlib.sha256(payload).hexdigest()
+        if read != (size, digest):
+            raise ValueError(f"{fields['WARC-Record-ID']}: payload {read} is not {(size, digest)} of its headers")
+        size, digest = read
+
     def page(value: str | None) -> int | None:
         number = value[len(ID) + 1:-1] if value else ""
         return int(number) if number else None
@@ -139,7 +147,7 @@ def parse(member: bytes) -> dict:
     return {
         "page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI", ""),
         "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")),
-        "payload_bytes": int(sizes[0]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+        "payload_bytes": size, "payload_digest": digest,
         "payload": None if revisit else payload,
     }
 

@@ -1,5 +1,7 @@
 """Tokenising, packing and archives: libraries, round trips, brute force."""
 
+import gzip
+import hashlib
 import itertools
 import random
 import re
@@ -189,6 +191,16 @@ def test_archives(spark):
     assert none.count() == 0 and warc.read_records(none, folder).count() == 0
 
 
+def test_a_wrong_payload_is_refused():
+    digest = hashlib.sha256(b"right payload").hexdigest()
+    right = warc.record(5, "u", b"right payload", digest, None)
+    got = warc.parse(gzip.compress(right))
+    assert (got["payload"], got["payload_bytes"], got["payload_digest"]) == (b"right payload", 13, digest)
+    for wrong in (b"wrong payload", b"right payloa\n"):
+        with pytest.raises(ValueError, match="payload"):
+            warc.parse(gzip.compress(right.replace(b"right payload", wrong)))
+
+
 def test_ranges_are_joined():
     entries = [("a", 0, 10), ("a", 10, 5), ("a", 40, 5), ("a", 500, 5), ("b", 505, 5)]
     assert [len(g) for g in warc.ranges(entries, gap=30, longest=1000)] == [3, 1, 1]
