@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import language, near_dedup, packing, piece_bpe, quality, secrets, topk, warc
+from termloom.llm import hard_negatives, language, near_dedup, packing, piece_bpe, prefix_trie, quality, secrets, topk, warc
 from termloom.llm.common import table
 from termloom.llm.exact_dedup import decide
 from termloom.llm.line_dedup import dedup_lines
@@ -95,6 +95,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.changed_label())
+
+
+def trie_rows(conversations: DataFrame, **options) -> DataFrame:
+    """The nodes with the digest of their end lists."""
+    trie = prefix_trie.prefix_trie(conversations, **options)
+    listed = {k: v for k, v in options.items() if k == "listed"}
+    digests = prefix_trie.end_digests(trie, **listed)
+    return trie.nodes.join(digests, prefix_trie.NAME, "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_rows(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -106,6 +125,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -149,5 +170,72 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op12_hard_negatives": """
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+         list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id) AS n FROM pairs WHERE same)
+  WHERE n <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, c.other_id AS negative_id, p.score AS positive_score,
+         c.score AS negative_score,
+         row_number() OVER (PARTITION BY p.r, p.n ORDER BY c.score DESC, c.other_id)::INTEGER AS rank
+  FROM positives p JOIN pairs c ON p.r = c.r AND NOT c.same
+    AND 30 * p.score <= 100 * c.score AND 100 * c.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+""",
+    "op13_prefix_trie": r"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS opener, max(pos) AS n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+           4294967295::BIGINT) % 4 AS h
+  FROM placed GROUP BY conv_id),
+given AS (
+  SELECT c.conv_id, c.opener, c.h, least(c.h, coalesce(o.n, 0)) AS k
+  FROM convs c LEFT JOIN convs o ON o.conv_id = c.opener),
+turns AS (
+  SELECT g.conv_id, p.pos AS depth, p.role, p.text FROM given g JOIN placed p ON p.conv_id = g.opener AND p.pos <= g.k
+  UNION ALL
+  SELECT g.conv_id, p.pos - g.h + g.k, p.role, p.text FROM given g JOIN placed p ON p.conv_id = g.conv_id AND p.pos > g.h),
+paths AS (
+  SELECT conv_id, depth, text, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (
+    PARTITION BY conv_id ORDER BY depth)) AS name,
+    CASE WHEN depth = 1 THEN '' ELSE sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (
+      PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS parent
+  FROM turns
+  UNION ALL
+  SELECT conv_id, 0, '', '', NULL FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT depth, name, any_value(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^ 	-]+'))) AS own,
+         coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (l.length = p.depth), '') AS ends
+  FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY depth, name),
+children AS (SELECT depth - 1 AS depth, parent AS name, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT p.depth, p.name, sum(v.own)::BIGINT AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes v LEFT JOIN children c ON c.depth = v.depth AND c.name = v.name
+  JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.depth, p.name)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       b.leaves AS n_leaves, b.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.name = n.name
+LEFT JOIN children c ON c.depth = n.depth AND c.name = n.name
+LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.name = n.parent
 """,
 }
