@@ -10,7 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import hard_negatives, language, near_dedup, packing, piece_bpe, prefix_trie, quality, secrets, topk, warc
+from termloom.llm import (
+    hard_negatives, language, near_dedup, packing, piece_bpe, prefix_trie, quality, secrets, substring_dedup, topk, warc,
+)
 from termloom.llm.common import table
 from termloom.llm.exact_dedup import decide
 from termloom.llm.line_dedup import dedup_lines
@@ -95,6 +97,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.changed_label())
 
@@ -125,6 +132,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -170,6 +178,26 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_substring_dedup": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS owner,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, owner, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM split),
+windows AS (
+  SELECT *, CASE WHEN pos <= n - 12 THEN string_agg(word, ' ') OVER (
+    PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS text FROM words),
+least AS (SELECT text, min(owner) AS first FROM windows WHERE text IS NOT NULL GROUP BY text),
+started AS (
+  SELECT x.*, coalesce(x.owner > l.first, false) AS again FROM windows x LEFT JOIN least l ON x.text = l.text),
+covered AS (
+  SELECT r, pos, word, bool_or(again) OVER (
+    PARTITION BY r ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM started),
+per_row AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM covered GROUP BY r)
+SELECT s.doc_id, len(s.w) AS n_words, coalesce(p.n_removed, 0) AS n_removed, sha256(coalesce(p.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN per_row p ON s.r = p.r
 """,
     "op12_hard_negatives": """
 WITH whole AS (
@@ -224,7 +252,8 @@ paths AS (
 lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
 nodes AS (
   SELECT depth, name, any_value(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
-         (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^ 	-]+'))) AS own,
+         (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS own,
          coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (l.length = p.depth), '') AS ends
   FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY depth, name),
 children AS (SELECT depth - 1 AS depth, parent AS name, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),

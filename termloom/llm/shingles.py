@@ -10,6 +10,16 @@ _SHIFT = np.uint64(29)
 WORD_CACHE = 150_000
 
 
+def joined(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` words in a row."""
+    places = len(words) - size + 1
+    mixed = np.full(places, size, dtype=np.uint64)
+    for i in range(size):
+        mixed = (mixed ^ words[i:i + places]) * _MULTIPLIER
+        mixed ^= mixed >> _SHIFT
+    return mixed
+
+
 class Shingler:
     """Distinct shingles of ``words`` words; a shorter text is one shingle, no word none.
 
@@ -22,8 +32,11 @@ class Shingler:
         self.known: dict[bytes, int] = {}
 
     def hashes(self, text: str | None) -> np.ndarray:
+        return self.word_hashes((text or "").encode().lower().split())
+
+    def word_hashes(self, words: list[bytes]) -> np.ndarray:
         known, out = self.known, []
-        for word in (text or "").encode().lower().split():
+        for word in words:
             value = known.get(word)
             if value is None:
                 value = xxhash.xxh64_intdigest(word)
@@ -38,14 +51,7 @@ class Shingler:
         """Sorted distinct shingle hashes."""
         words = self.hashes(text)
         size = min(self.words, len(words))
-        if not size:
-            return words
-        places = len(words) - size + 1
-        mixed = np.full(places, size, dtype=np.uint64)
-        for i in range(size):
-            mixed = (mixed ^ words[i:i + places]) * _MULTIPLIER
-            mixed ^= mixed >> _SHIFT
-        return np.unique(mixed)
+        return np.unique(joined(words, size)) if size else words
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
