@@ -10,6 +10,16 @@ _SHIFT = np.uint64(29)
 WORD_CACHE = 150_000
 
 
+class Hashes(dict):
+    """Hashes of words; short ones are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
 def joined(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of every ``size`` words in a row."""
     places = len(words) - size + 1
@@ -29,23 +39,15 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
+        self.known = Hashes()
 
     def hashes(self, text: str | None) -> np.ndarray:
         return self.word_hashes((text or "").encode().lower().split())
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known, out = self.known, []
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = xxhash.xxh64_intdigest(word)
-                if len(word) <= 64:
-                    if len(known) >= WORD_CACHE:
-                        known.clear()
-                    known[word] = value
-            out.append(value)
-        return np.array(out, dtype=np.uint64)
+        if len(self.known) >= WORD_CACHE:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes."""

@@ -37,7 +37,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import common
@@ -46,18 +46,32 @@ from termloom.llm.shingles import Shingler, joined
 
 WINDOW, PIECE = 13, 5
 # Different stretches of a group, which a task holds at once.
-GROUP = 8192
+GROUP = 2048
 # Pieces a task holds before it sends what it has seen.
 HELD = 1 << 20
 LOWEST = -(2**63)
 ROW = ["owner", "digest"]
 NAME = ["piece", "stretch"]
+NAME_FIELDS = [("piece", pa.int64()), ("stretch", pa.int64())]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def places_of_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value among every ``width`` values in a row."""
+    places, span = np.arange(len(values)), 1
+    while span < width:
+        # Two windows of ``span`` values, ``step`` apart, are one of ``span + step``.
+        step = min(span, width - span)
+        right = values[step:] < values[:-step]
+        places = np.where(right, places[step:], places[:-step])
+        values = np.where(right, values[step:], values[:-step])
+        span += step
+    return places
+
+
 class Anchors:
     """The anchors of a text's windows."""
 
@@ -71,8 +85,7 @@ class Anchors:
         if count < 1:
             return (np.empty(0, np.int64),) * 4
         pieces = joined(self.hash(words), self.piece)
-        inside = np.lib.stride_tricks.sliding_window_view(pieces, self.window - self.piece + 1)
-        anchor = inside.argmin(axis=1) + np.arange(count)
+        anchor = places_of_least(pieces, self.window - self.piece + 1)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         places = anchor[first]
         return pieces[places].view(np.int64), places, first, np.r_[first[1:], count] - 1
@@ -141,14 +154,14 @@ def candidate_places(rows: DataFrame, pieces: DataFrame, window: int, piece: int
     return stored(kept.groupBy(*ROW).agg(F.collect_set(F.col("place").cast("int")).alias("places")), "places")
 
 
-def weighed(df: DataFrame, *lists: str) -> DataFrame:
-    """``df`` marked for broadcast when its rows and lists of 4-byte numbers are small enough."""
-    size = df.agg(F.sum(24 + 4 * sum((F.size(c) for c in lists), F.lit(0)))).first()[0] or 0
+def weighed(df: DataFrame, numbers: Column) -> DataFrame:
+    """``df`` marked for broadcast when its rows, of two keys and some 4-byte ``numbers``, are small enough."""
+    size = df.agg(F.sum(24 + 4 * numbers)).first()[0] or 0
     return F.broadcast(df) if size <= common.BROADCAST_BYTES else df
 
 
 STRETCHES = pa.schema([
-    ("piece", pa.int64()), ("stretch", pa.int64()), ("owner", pa.int64()), ("digest", pa.int64()),
+    *NAME_FIELDS, ("owner", pa.int64()), ("digest", pa.int64()),
     ("before", pa.int32()), ("words", pa.binary()), ("firsts", pa.list_(pa.int32())),
 ])
 
@@ -179,7 +192,7 @@ def stretches(rows: DataFrame, places: DataFrame, window: int, piece: int) -> Da
                 [pa.array(c, f.type) for c, f in zip(columns, STRETCHES, strict=True)], schema=STRETCHES
             )
 
-    found = rows.select(*ROW, "text").join(weighed(places, "places"), ROW).mapInArrow(
+    found = rows.select(*ROW, "text").join(weighed(places, F.size("places")), ROW).mapInArrow(
         run, "piece long, stretch long, owner long, digest long, before int, words binary, firsts array<int>"
     )
     return stored(found, "stretches")
@@ -202,33 +215,44 @@ def deep_nodes(leaves: list[tuple[bytes, int, int]]) -> Iterator[list[tuple[byte
         yield list(node)
 
 
-OWNERS = "piece long, stretch long, owners array<long>"
+OWNERS = "piece long, stretch long, windows int, owner long, owners array<long>"
+OWNERS_ARROW = pa.schema([
+    *NAME_FIELDS, ("windows", pa.int32()), ("owner", pa.int64()), ("owners", pa.list_(pa.int64()))
+])
+DIFFERENT = (*NAME, "before", "words", "least", "most")
 
 
 def _trees(window: int, group: int):
-    """Owners of all windows of the stretches; whole pieces come together, several in one tree."""
+    """Owners of the windows of stretches in which some row gives up a window.
+
+    Whole pieces come together, several in one tree. ``owners`` is null where one
+    ``owner`` has all windows.
+    """
 
     def grown(held: list[tuple]) -> pa.RecordBatch:
         leaves = [
             (suffix, i, j)
-            for i, (_, _, before, words, _) in enumerate(held)
-            for j, suffix in enumerate(suffixes(before, words.split(b" "), window))
+            for i, row in enumerate(held) for j, suffix in enumerate(suffixes(row[2], row[3].split(b" "), window))
         ]
         owners: list[dict[int, int]] = [{} for _ in held]
         for node in deep_nodes(leaves):
             least = min(held[i][4] for _, i, _ in node)
             for _, i, j in node:
                 owners[i][j] = least
-        lists = [[mine[j] for j in range(len(mine))] for mine in owners]
-        return pa.RecordBatch.from_arrays([
-            pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()),
-            pa.array(lists, pa.list_(pa.int64())),
-        ], [*NAME, "owners"])
+        out = []
+        for (piece, stretch, _, _, _, most), mine in zip(held, owners, strict=True):
+            least, last = min(mine.values()), max(mine.values())
+            if least < most:
+                out.append((piece, stretch, len(mine), least, None if least == last else [mine[j] for j in range(len(mine))]))
+        columns = zip(*out, strict=True) if out else [()] * len(OWNERS_ARROW)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, OWNERS_ARROW, strict=True)], schema=OWNERS_ARROW
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*NAME, "before", "words", "least")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in DIFFERENT), strict=True):
                 if len(held) >= group and row[0] != held[-1][0]:
                     yield grown(held)
                     held = []
@@ -245,54 +269,65 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (xxhash.xxh3_128_digest(suffix), number, name, j, least)
-                for number, name, before, words, least in zip(
-                    *(batch.column(c).to_pylist() for c in (*NAME, "before", "words", "least")), strict=True)
+                (xxhash.xxh3_128_digest(suffix), number, name, j, least, most)
+                for number, name, before, words, least, most in zip(
+                    *(batch.column(c).to_pylist() for c in DIFFERENT), strict=True)
                 for j, suffix in enumerate(suffixes(before, words.split(b" "), window))
             ]
-            columns = zip(*out, strict=True) if out else [()] * 5
-            kinds = [pa.binary(), *[pa.int64()] * 4]
+            columns = zip(*out, strict=True) if out else [()] * 6
+            kinds = [pa.binary(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", *NAME, "place", "least"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", *NAME, "place", "least", "most"]
             )
 
     return run
 
 
 def window_owners(different: DataFrame, window: int, group: int) -> DataFrame:
-    """``piece, stretch, owners``: the smallest id that holds each window of a stretch."""
+    """``piece, stretch, windows, owner, owners``: the smallest id that holds each window of a stretch."""
     sizes = different.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group)
     large = sized(stored(sizes.select("piece"), "long-prefixes"), 8)
-    small = different.join(large, "piece", "left_anti")
+    small = different.join(large, "piece", "left_anti").select(*DIFFERENT)
     trees = small.repartition("piece").sortWithinPartitions("piece").mapInArrow(_trees(window, group), OWNERS)
-    alone = different.join(large, "piece", "left_semi").mapInArrow(
-        _windows(window), "name binary, piece long, stretch long, place long, least long"
-    )
-    alone = stored(alone, "windows")
+    grown = different.join(large, "piece", "left_semi")
+    alone = stored(grown.mapInArrow(
+        _windows(window), "name binary, piece long, stretch long, place long, least long, most long"
+    ), "windows")
     owner = stored(alone.groupBy("name").agg(F.min("least").alias("owner")), "window-owners")
     placed = alone.join(sized(owner, 32), "name").groupBy(*NAME).agg(
-        F.sort_array(F.collect_list(F.struct("place", "owner"))).alias("found")
-    )
-    return trees.unionByName(placed.select(*NAME, F.col("found.owner").alias("owners")))
+        F.count(F.lit(1)).cast("int").alias("windows"), F.min("owner").alias("owner"),
+        F.sort_array(F.collect_list(F.struct("place", "owner"))).alias("found"), F.max("most").alias("most"),
+    ).filter("owner < most")
+    return stored(trees.unionByName(
+        placed.select(*NAME, "windows", "owner", F.col("found.owner").alias("owners"))
+    ), "owners")
 
 
 def repeats(sources: DataFrame, window: int, piece: int, group: int) -> DataFrame:
-    """``owner, digest, starts``: starts of the windows that a smaller id holds too, stored."""
+    """``owner, digest, spans``: the maximal repeats of every row that a smaller id holds too, stored."""
     places = candidate_places(sources, common_pieces(sources, window, piece), window, piece)
     held = stretches(sources, places, window, piece)
     different = stored(held.groupBy(*NAME).agg(
         F.min("owner").alias("least"), F.max("owner").alias("most"), F.any_value("before").alias("before"),
         F.any_value("words").alias("words"),
     ), "different-stretches")
-    owners = window_owners(different.drop("most"), window, group).join(different.select(*NAME, "most"), NAME)
-    # Stretches of which some row has to give up a window.
-    owners = stored(owners.filter(F.array_min("owners") < F.col("most")).drop("most"), "owners")
-    numbers = F.sequence(F.lit(0), F.size("owners") - 1)
-    lost = F.filter(numbers, lambda j: F.element_at("owners", j + 1) < F.col("owner"))
+    owners = window_owners(different, window, group).withColumnRenamed("owner", "first")
+    numbers = F.sequence(F.lit(0), F.col("windows") - 1)
+    lost = F.when(F.col("owners").isNull(), numbers).otherwise(
+        F.filter(numbers, lambda j: F.element_at("owners", j + 1) < F.col("owner"))
+    )
+    hits = held.select(*NAME, *ROW, "firsts").join(weighed(owners, F.coalesce(F.size("owners"), F.lit(0)) * 2 + 3), NAME)
+    hits = hits.filter(F.col("first") < F.col("owner")).withColumn("lost", lost).filter(F.size("lost") > 0)
     starts = F.flatten(F.transform("firsts", lambda f: F.transform("lost", lambda j: f + j)))
-    hits = held.select(*NAME, *ROW, "firsts").join(weighed(owners, "owners", "owners"), NAME).withColumn("lost", lost)
-    hits = hits.filter(F.size("lost") > 0).select(*ROW, starts.alias("starts"))
-    return stored(hits.groupBy(*ROW).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
+    by_row = hits.select(*ROW, starts.alias("starts")).groupBy(*ROW).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(starts, window) for starts in batch.column("starts").to_pylist()]
+            ends = [pa.array([[s[i] for s in row] for row in spans], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), *ends], [*ROW, "begins", "ends"])
+
+    return stored(by_row.mapInArrow(run, "owner long, digest long, begins array<int>, ends array<int>"), "repeats")
 
 
 def merged(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -314,13 +349,13 @@ def _cleaned(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "whole"))
-            for doc_id, text, starts, whole in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "whole", "begins", "ends"))
+            for doc_id, text, whole, begins, ends in zip(*columns, strict=True):
                 words, spans, kept, done = words_of(text), [], [], 0
                 if whole and len(words) >= window:
                     spans = [(0, len(words))]
-                elif starts:
-                    spans = merged(starts, window)
+                elif begins:
+                    spans = list(zip(begins, ends, strict=True))
                 for begin, end in spans:
                     kept += words[done:begin]
                     done = end
@@ -343,9 +378,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, gr
     ready_workers(docs.sparkSession)
     rows = marked_copies(keyed(docs))
     found = repeats(rows.filter("not whole"), window, piece, group)
-    columns = ["doc_id", "text", "whole", "starts"]
-    # Only texts that lose words meet the table of starts.
+    columns = ["doc_id", "text", "whole", "begins", "ends"]
+    # Only texts that lose words meet the table of spans.
     touched = sized(found.select(*ROW), 16)
-    rest = rows.join(touched, ROW, "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
-    cut = rows.join(touched, ROW, "left_semi").join(weighed(found, "starts"), ROW)
+    none = F.lit(None).cast("array<int>")
+    rest = rows.join(touched, ROW, "left_anti").withColumns({"begins": none, "ends": none})
+    cut = rows.join(touched, ROW, "left_semi").join(weighed(found, F.size("begins") * 2 + 6), ROW)
     return rest.select(*columns).unionByName(cut.select(*columns)).mapInArrow(_cleaned(window), CLEANED)
