@@ -78,3 +78,10 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, count: int) -> list[str]:
+    """``count`` column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"own_{i}" for i in range(len(taken) + count))
+    return [n for n in names if n not in taken][:count]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.common import ship_code, sized, stored, text_of
+from termloom.llm.common import ship_code, sized, stored, text_of, unused
 
 COUNTERS = 1024
 SUMMARY = "digest binary, seen long"
@@ -98,14 +98,15 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``decide`` keeps."""
     lost = stored(decide(docs, counters).filter("not kept"), "copies")
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    ids = [F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")]
-    marked = docs.withColumn("__digest", digest())
-    gone = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__gone_digest"))
+    name, key, mark = unused(docs, 3)
+    ids = [F.col("doc_id").alias(name), F.col("digest").alias(key)]
+    marked = docs.withColumn(mark, digest())
+    gone = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(key))
     other = lost.filter(~again).select(*ids)
     kept = marked.join(sized(other, 48), gone, "left_anti")
     twice = lost.filter(again).select(*ids).distinct()
     if twice.isEmpty():
-        return kept.drop("__digest")
+        return kept.drop(mark)
     twice = sized(stored(twice, "twice"), 48)
-    once = kept.join(twice, gone, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return kept.join(twice, gone, "left_anti").unionByName(once).drop("__digest")
+    once = kept.join(twice, gone, "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.join(twice, gone, "left_anti").unionByName(once).drop(mark)

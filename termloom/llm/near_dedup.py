@@ -4,7 +4,9 @@ Every distinct shingle set has ``trees`` signatures of ``depth`` minima each. A
 tree is the sorted order of its signatures. Sets that share the first ``root``
 minima of a tree form a region; the neighbour with the longest common prefix
 stands next to a set in the order, so neighbours are the first candidates. They
-are confirmed on the full sets, and what is linked becomes one component.
+are confirmed on the full sets, and what is linked becomes one component. Trees
+take part in turns (``ROUNDS``): a pair whose ends are in one component by then
+needs no test, so that a group of near copies costs its first trees, not all.
 
 Regions that still hold several components are searched to the end: they form
 families, whose members outside the largest component meet all its members in
@@ -23,9 +25,10 @@ one by one, and only texts of candidates are moved.
 Defined results: null and empty texts and texts without words have an empty set
 and link with nothing. A document without an id takes no part: its component is
 null and it is kept. Rows that repeat an id are labelled by their sets; sets with
-the same smallest id are one node, linked by any of its texts. An empty table
-gives an empty result. Other columns are
-ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+the same smallest id are one node, linked by any of its texts. Where several rows
+with the kept id belong to a group, ``drop_near_duplicates`` keeps one of them. An
+empty table gives an empty result. Other columns are ignored by
+``near_duplicates`` and kept by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,17 +41,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import sized, ready_workers, stored
+from termloom.llm.common import ready_workers, sized, stored, text_of, unused
 from termloom.llm.components import components
 from termloom.llm.shingles import Shingler, similar
 
 WORDS = 5
 PERCENT = 80
 TREES, DEPTH, ROOT = 20, 6, 3
+# The trees before which components are labelled anew.
+ROUNDS = (1, 2, 5)
 SEED = 20240501
 # Sets in one side of a block; fewer where they have more shingles than this each.
 CHUNK, SET_SHINGLES = 512, 512
-SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary"
+SKETCH = "doc_id long, digest long, n_shingles long, set_id binary, signature binary"
 _BLOCK = 4096
 
 
@@ -65,8 +70,12 @@ def minima(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return best.astype(">u4")
 
 
+def text_digest() -> F.Column:
+    return F.xxhash64(text_of())
+
+
 def sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """Set size, set identity and signature of every row; no signature for an empty set."""
+    """Text digest, set size, set identity and signature of every row; no signature for an empty set."""
     ready_workers(docs.sparkSession)
     odd = multipliers(trees * depth)
 
@@ -80,11 +89,13 @@ def sketches(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
                 names.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(minima(found, odd).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                 pa.array(signatures, pa.binary())], ["doc_id", "digest", "n_shingles", "set_id", "signature"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), F.col("text").cast("string").alias("text")
+    )
     return rows.mapInArrow(run, SKETCH)
 
 
@@ -94,10 +105,12 @@ def forest(firsts: DataFrame, trees: int, depth: int, root: int) -> DataFrame:
     rows = F.explode(F.array(*[
         F.struct(
             F.xxhash64(F.lit(t), F.substring("signature", t * width + 1, top)).alias("region"),
-            F.substring("signature", t * width + top + 1, width - top).alias("deeper"),
+            F.substring("signature", t * width + top + 1, width - top).alias("deeper"), F.lit(t).alias("tree"),
         ) for t in range(trees)
     ]))
-    return firsts.select("doc_id", "n_shingles", rows.alias("r")).select("r.region", "r.deeper", "doc_id", "n_shingles")
+    return firsts.select("doc_id", "n_shingles", rows.alias("r")).select(
+        "r.tree", "r.region", "r.deeper", "doc_id", "n_shingles"
+    )
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
@@ -160,6 +173,45 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return stored(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between nodes; only the components that meet are searched anew."""
+    if labels is None:
+        return components(links)
+    if links.isEmpty():
+        return labels
+    ends = links.select("a", "b").distinct()
+    for side in ("a", "b"):
+        ends = with_component(ends, labels, side)
+    merged = components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    old = labels.withColumnRenamed("component", "old")
+    new = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    known = old.join(new, "old", "left").select("node", F.coalesce("new", "old").alias("component"))
+    # A node that had no label was its own component.
+    return stored(known.unionByName(merged.join(old.select("node"), "node", "left_anti")), "labels")
+
+
+def with_component(pairs: DataFrame, labels: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the component of one side, its own number where it has no label."""
+    named = labels.select(F.col("node").alias(side), F.col("component").alias("found"))
+    return pairs.join(named, side, "left").withColumn(f"{side}_component", F.coalesce("found", side)).drop("found")
+
+
+def neighbour_labels(
+    docs: DataFrame, rows: DataFrame, words: int, percent: int, trees: int, rounds: tuple[int, ...]
+) -> DataFrame:
+    """``node, component`` after all neighbours of all trees were compared or found linked."""
+    cuts = [0, *(r for r in rounds if r < trees), trees]
+    labels = None
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        pairs = neighbours(rows.filter(F.col("tree").between(low, high - 1)), percent)
+        if labels is not None:
+            for side in ("a", "b"):
+                pairs = with_component(pairs, labels, side)
+            pairs = pairs.filter("a_component <> b_component").select("a", "b")
+        labels = relabelled(labels, confirmed(docs, stored(pairs, "pairs"), words, percent))
+    return labels
+
+
 def families(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Sets to compare further: ``family, doc_id, component, lead``.
 
@@ -240,35 +292,59 @@ def block_links(docs: DataFrame, members: DataFrame, words: int, percent: int, c
     return stored(blocks.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(
+def labelled(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
-    root: int = ROOT, chunk: int = CHUNK,
+    root: int = ROOT, chunk: int = CHUNK, rounds: tuple[int, ...] = ROUNDS,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
+    """``doc_id, digest, n_shingles, component``, one row per row of ``docs``."""
     sketch = stored(sketches(docs, words, trees, depth), "sketches")
     known = sketch.filter("doc_id is not null and set_id is not null")
     sets = stored(known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
     firsts = known.join(sets, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id", "doc_id"])
     rows = shared_regions(forest(firsts, trees, depth, root))
-    links = confirmed(docs, stored(neighbours(rows, percent), "pairs"), words, percent)
-    labels = components(links)
-    more = block_links(docs, families(rows, labels), words, percent, chunk)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    labels = neighbour_labels(docs, rows, words, percent, trees, rounds)
+    labels = relabelled(labels, block_links(docs, families(rows, labels), words, percent, chunk))
     named = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "set_id", F.coalesce("component", "doc_id").alias("component")
     )
     named = stored(named, "named-sets")
     # Rows without a set stay out of the join, where they would all be one key.
-    alone = sketch.filter("doc_id is null or set_id is null").select("doc_id", "n_shingles", "doc_id")
-    joined = known.join(named, "set_id").select("doc_id", "n_shingles", "component")
-    return joined.union(alone).select(
+    columns = ["doc_id", "digest", "n_shingles"]
+    alone = sketch.filter("doc_id is null or set_id is null").select(*columns, F.col("doc_id").alias("component"))
+    return known.join(named, "set_id").select(*columns, "component").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
+    return labelled(docs, **options).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps; repeated ids once."""
-    lost = stored(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")), "near-copies")
-    return docs.join(sized(lost, 8), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps, one of each group."""
+    rows = stored(labelled(docs, **options).filter("component is not null"), "near-rows")
+    first = F.col("doc_id") == F.col("component")
+    # Several rows with the kept id: the smallest digest stays, and of equal texts one row.
+    several = rows.filter(first).groupBy("component").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("digest").alias("stays")
+    ).filter("rows > 1")
+    several = sized(stored(several.select("component", "stays"), "repeated-ids"), 16)
+    judged = rows.join(several, "component", "left").withColumn(
+        "kept", first & (F.col("stays").isNull() | (F.col("digest") == F.col("stays")))
+    )
+    names = unused(docs, 2)
+    gone = (F.col("doc_id").cast("long") == F.col(names[0])) & (text_digest() == F.col(names[1]))
+
+    def keys(of: DataFrame) -> DataFrame:
+        ids = of.select(F.col("doc_id").alias(names[0]), F.col("digest").alias(names[1])).distinct()
+        return sized(stored(ids, "near-copies"), 16)
+
+    kept = docs.join(keys(judged.filter("not kept")), gone, "left_anti")
+    twice = keys(judged.filter("kept and stays is not null"))
+    if twice.isEmpty():
+        return kept
+    mark = unused(docs, 3)[2]
+    once = kept.join(twice, gone, "left_semi").withColumn(mark, text_digest()).dropDuplicates(["doc_id", mark]).drop(mark)
+    return kept.join(twice, gone, "left_anti").unionByName(once)

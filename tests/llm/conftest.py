@@ -2,7 +2,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside, here as foreign columns of the input.
-CLASHING = ("digest", "keep_id", "row_key", "kept", "spans", "ids", "region", "component", "pos", "h1", "text_a")
+CLASHING = ("digest", "keep_id", "row_key", "kept", "spans", "ids", "region", "component", "pos", "h1", "text_a", "own_0", "OWN_1", "__digest")
 
 
 @pytest.fixture

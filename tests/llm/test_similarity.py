@@ -79,6 +79,37 @@ def test_groups_with_null_and_repeated_ids(spark, docs_of, corpus):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_drop_goes_by_rows_not_by_ids(spark, docs_of, corpus):
+    text = corpus[0][1]
+    unlike = " ".join(f"own{i}" for i in range(50))
+    rows = [(3, text), (3, text), (5, text), (5, unlike), (3, text.upper()), (7, text + " tail"), (None, text), (None, unlike)]
+    kept = near_dedup.drop_near_duplicates(docs_of(rows, clashing=True)).collect()
+    left = Counter((r.doc_id, (r.text or "").lower()) for r in kept)
+    assert left == Counter({(3, text.lower()): 1, (5, unlike): 1, (None, text.lower()): 1, (None, unlike): 1})
+
+
+@pytest.mark.parametrize("rounds", [(), (1,), (1, 2, 3, 4, 5, 6)])
+def test_rounds_give_the_same_groups(spark, docs_of, corpus, rounds):
+    got = near_dedup.near_duplicates(docs_of(corpus[:120]), rounds=rounds).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(corpus[:120], 5)
+
+
+def test_a_group_of_near_copies_is_confirmed_once(spark, docs_of, monkeypatch):
+    rng = random.Random(4)
+    rows = list(enumerate(variants(rng, [f"hot{i}" for i in range(200)], 400, 3)))
+    tested = []
+    confirmed = near_dedup.confirmed
+
+    def counting(docs, pairs, *options):
+        tested.append(pairs.count())
+        return confirmed(docs, pairs, *options)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counting)
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(tested) < 2 * len(rows), tested
+
+
 def test_without_broadcast(spark, docs_of, corpus, monkeypatch):
     monkeypatch.setattr("termloom.llm.common.BROADCAST_BYTES", 0)
     rows = corpus[:60]
