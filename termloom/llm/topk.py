@@ -14,8 +14,8 @@ pruned, ties included.
 
 Defined results: a component ``x`` counts as ``floor(scale * x)``. Vectors that
 are null, empty, or hold null or non-finite components take no part, nor do rows
-without an id. Rows that repeat an id count once, with the smallest vector.
-Vectors meet only vectors of their own dimension. Scores outside the range of a
+without an id. Rows that repeat an id all count: each is a candidate of the other
+ids, and queries of one id share one result. Vectors meet only vectors of their own dimension. Scores outside the range of a
 long are cut to it. An empty table gives an empty result. Other columns are
 ignored.
 """
@@ -59,12 +59,10 @@ def vectors(table: DataFrame, scale: int) -> DataFrame:
     """``vec_id, v, norm`` of the rows that take part, stored by descending length."""
     raw = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     good = raw.filter(F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", finite))
-    once = good.select("vec_id", F.transform("e", lambda x: whole(x, scale)).alias("v")).groupBy("vec_id").agg(
-        F.min("v").alias("v")
-    )
+    scaled = good.select("vec_id", F.transform("e", lambda x: whole(x, scale)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
     order = [F.desc("norm"), F.asc("vec_id")]
-    rows = once.select("vec_id", "v", norm.alias("norm"))
+    rows = scaled.select("vec_id", "v", norm.alias("norm"))
     return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order), "vectors")
 
 

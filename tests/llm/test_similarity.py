@@ -134,17 +134,18 @@ EMBEDDINGS = "vec_id long, embedding array<float>, label int, v string, norm str
 
 
 def brute_top(rows, every, k=5):
-    whole = {}
+    whole = []
     for vec_id, vector in rows:
         if vec_id is None or not vector or any(x is None or not np.isfinite(np.float32(x)) for x in vector):
             continue
-        ints = [int(np.floor(256 * float(np.float32(x)))) for x in vector]
-        whole[vec_id] = min(whole[vec_id], ints) if vec_id in whole else ints
-    out = set()
-    for q, a in whole.items():
-        if q % every == 0:
-            scores = [(-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in whole.items() if c != q and len(a) == len(b)]
-            out |= {(q, rank + 1, c, -s) for rank, (s, c) in enumerate(sorted(scores)[:k])}
+        whole.append((vec_id, [int(np.floor(256 * float(np.float32(x)))) for x in vector]))
+    out = Counter()
+    for q in {i for i, _ in whole if i % every == 0}:
+        scores = [
+            (-sum(x * y for x, y in zip(a, b, strict=True)), c)
+            for i, a in whole if i == q for c, b in whole if c != q and len(a) == len(b)
+        ]
+        out.update((q, rank + 1, c, -s) for rank, (s, c) in enumerate(sorted(scores)[:k]))
     return out
 
 
@@ -154,12 +155,12 @@ def test_topk_equals_brute_force(spark, every, block):
     rows = [(i, [float(x) for x in rng.normal(size=12) * rng.choice([0.01, 0.5, 3])]) for i in range(400)]
     rows += [(i, [1.0] * 12) for i in range(400, 430)] + [(i, [0.0] * 12) for i in range(430, 440)]
     rows += [(448, None), (455, []), (462, [float("nan")] + [1.0] * 11), (469, [None] + [1.0] * 11), (476, [float("inf")] * 12)]
-    rows += [(None, [1.0] * 12), (7, rows[7][1]), (14, [-9.0] * 12), (490, [1.0, 2.0]), (497, [2.0, 1.0]), (504, [3.0])]
+    rows += [(None, [1.0] * 12), (7, rows[7][1]), (14, [-9.0] * 12), (1, [9.0] * 12), (1, [9.0] * 12), (490, [1.0, 2.0]), (497, [2.0, 1.0]), (504, [3.0])]
     rows += [(511, [3.0e38] * 12), (518, [-3.0e38] * 12)]
     table = spark.createDataFrame([(i, v, 0, "v", "n", "s") for i, v in rows], EMBEDDINGS)
     small = [r for r in rows if r[0] not in (511, 518)]
     got = topk.search(table.filter("vec_id is null or vec_id not in (511, 518)"), every=every, block_bytes=block).collect()
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute_top(small, every)
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(small, every)
     assert len(got) == len({(r.query_id, r["rank"]) for r in got})
     # Beyond the range of a long a score is cut to it.
     huge = [r.score for r in topk.search(table, every=7, block_bytes=block).collect() if r.query_id == 511]
