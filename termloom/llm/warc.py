@@ -28,13 +28,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import scratch, sized, ready_workers, stored, text_of
+from termloom.llm import common
+from termloom.llm.common import fits, ready_workers, scratch, stored, text_of
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 4 << 20
 TASK_BYTES = 16 << 20
+MOST_TASKS = 20_000
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long"
@@ -65,13 +67,33 @@ def deduplicated(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         F.min("page_id").alias("keeper"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")
     )
     # The count also takes groups in which some page has no id.
-    groups = stored(groups.filter("n > 1 and keeper is not null").select("digest", "keeper"), "same-payload")
-    joined = rows.join(sized(groups, 104), "digest", "left")
+    groups = stored(groups.filter("n > 1 and keeper is not null").select("digest", "keeper", "n"), "same-payload")
+    joined = with_keepers(rows, groups)
     return joined.select(
         "page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper")).alias("keeper")
     )
 
 
+def with_keepers(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the ``keeper`` of their payload, null without one.
+
+    Too many groups for a broadcast are split: the most frequent payloads still go
+    to the pages, so that only rare ones are shuffled with their html.
+    """
+    if fits(groups, 112):
+        return rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    frequent = stored(groups.orderBy(F.desc("n"), "digest").limit(common.BROADCAST_BYTES // 112).drop("n"), "frequent-payloads")
+    rare = groups.drop("n").join(F.broadcast(frequent.select("digest")), "digest", "left_anti")
+    looked = rows.join(F.broadcast(frequent), "digest", "left")
+    rest = looked.filter("keeper is null").drop("keeper").join(rare, "digest", "left")
+    return looked.filter("keeper is not null").unionByName(rest)
+
+
+def reading_tasks(total: int, task_bytes: int) -> int:
+    """Tasks that read ``total`` bytes; beyond ``MOST_TASKS`` each reads several shares."""
+    return min(max(1, -(-total // task_bytes)), MOST_TASKS)
+
+
 def record(page_id: int | None, url: str, payload: bytes, digest: str, keeper: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if keeper is not None else http + payload
@@ -196,7 +218,7 @@ def read_records(
     ready_workers(index.sparkSession)
     total = index.agg(F.sum("length")).first()[0] or 0
     # By bytes to read, not by bytes of the index rows.
-    tasks = max(1, -(-total // task_bytes))
+    tasks = reading_tasks(total, task_bytes)
     places = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset")
     return places.sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder, gap, longest), RECORDS)
 
