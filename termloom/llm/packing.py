@@ -43,7 +43,9 @@ SPECIALS = {"<|endoftext|>": 50256}
 # The engine's stack ends at about a million blanks in a row; shorter texts need no look.
 BLANKS = 1 << 16
 # White space as the pattern's \s has it; Python's own also takes U+001C to U+001F.
-BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANKS)
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Only the first blank of a run is tried, or many shorter runs would cost their squares.
+BLANK_RUN = re.compile("(?<!%s)%s{%d,}" % (BLANK, BLANK, BLANKS))
 # Windows of one task are numbered below this; the task's number stands above.
 TASK_BITS = 40
 PIECES = (

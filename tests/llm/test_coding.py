@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -146,6 +147,17 @@ def test_blank_runs_are_cut_as_the_pattern_cuts(monkeypatch):
         assert packing.encode(text, codec) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_many_shorter_blank_runs_take_linear_time():
+    codec = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    begun = time.process_time()
+    ids = packing.encode(("word" + " " * 60_000) * 30, codec)
+    assert time.process_time() - begun < 2 and len(ids) > 30
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for n in (packing.BLANKS - 1, packing.BLANKS, packing.BLANKS + 1):
+        text = f"a{' ' * n}b\n{' ' * n}"
+        assert packing.encode(text, codec) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_emits_added_tokens(spark, docs_of):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert {t.content: i for i, t in plain.get_added_tokens_decoder().items()} == packing.SPECIALS
@@ -191,6 +203,19 @@ def test_archives(spark):
     assert none.count() == 0 and warc.read_records(none, folder).count() == 0
 
 
+def test_many_archives_are_read_by_a_bounded_number_of_tasks():
+    assert [warc.reading_tasks(n, warc.TASK_BYTES) for n in (0, 1, 20 << 20, 20 << 40)] == [1, 1, 2, 20_000]
+
+
+def test_keepers_without_room_for_all_groups(spark, monkeypatch):
+    html = [f"<p>{'x' * 120}{i % 9}</p>" if i % 4 else None for i in range(90)]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    want = {r.page_id: r.keeper for r in warc.deduplicated(pages).collect()}
+    monkeypatch.setattr("termloom.llm.common.BROADCAST_BYTES", 112 * 3)
+    assert {r.page_id: r.keeper for r in warc.deduplicated(pages).collect()} == want
+    assert sum(k is not None for k in want.values()) == sum(h is not None and h in html[:i] for i, h in enumerate(html))
+
+
 def test_a_wrong_payload_is_refused():
     digest = hashlib.sha256(b"right payload").hexdigest()
     right = warc.record(5, "u", b"right payload", digest, None)
