@@ -31,7 +31,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import sized, ready_workers, stored
@@ -41,6 +41,8 @@ ROUNDS = 5
 SURE = 0.9
 SHARE = 0.05
 PSEUDO_WEIGHT = 0.5
+# Shares in which the surest rows of all tasks are thinned.
+SHARES = 256
 # Documents are rejected only when good quality is unlikely, so that clean ones stay.
 THRESHOLD = 0.25
 SOURCE_BINS, LANG_BINS = 32, 16
@@ -119,6 +121,18 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def first_rows(found: DataFrame, most: int) -> DataFrame:
+    """The ``most`` surest rows of each view and label, whatever the number of tasks that found some.
+
+    They are thinned by share first, so that no task gets what all others found.
+    """
+    sure = F.when(F.col("label") == 1, -F.col("p")).otherwise(F.col("p"))
+    for share in ([F.pmod(F.xxhash64("row"), F.lit(SHARES))], []):
+        order = Window.partitionBy("view", "label", *share).orderBy(sure, "lot", "row")
+        found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+    return found
+
+
 class Pool:
     """All rows without a label, described and stored; picked rows are gone."""
 
@@ -154,7 +168,9 @@ class Pool:
                     ["view", "label", "p", "lot", "row"],
                 )
 
-        found = self.rows.mapInArrow(surest, "view long, label long, p double, lot long, row long").toArrow()
+        found = first_rows(
+            self.rows.mapInArrow(surest, "view long, label long, p double, lot long, row long"), max(good, bad) + good + bad
+        ).toArrow()
         view, label, p, lot, row = (found.column(c).to_numpy() for c in found.column_names)
         taken: list[dict[int, float]] = []
         for i in (0, 1):

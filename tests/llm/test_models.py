@@ -203,6 +203,16 @@ def test_pseudo_labels_come_from_all_rows(spark, docs_of):
     assert seen["size"] == 500 and 0 < seen["picked"] <= 2 * 5 * 4
 
 
+def test_the_surest_rows_of_many_tasks_are_few(spark):
+    found = spark.range(0, 60_000, 1, 200).selectExpr(
+        "id % 2 as view", "id div 2 % 2 as label", "pmod(hash(id), 1000) / 1000 as p", "id % 7 as lot", "id as row"
+    )
+    rows = quality.first_rows(found, 50).collect()
+    assert len(rows) == 200
+    best = sorted((-(r.p if r.label else -r.p), r.lot, r.row) for r in found.collect() if (r.view, r.label) == (1, 1))[:50]
+    assert {r.row for r in rows if (r.view, r.label) == (1, 1)} == {b[2] for b in best}
+
+
 def test_quality_edges(spark, docs_of, edge_rows):
     docs = docs_of(edge_rows, clashing=True)
     nothing = spark.createDataFrame([], "doc_id long, quality int")
