@@ -316,7 +316,8 @@ def repeats(sources: DataFrame, window: int, piece: int, group: int) -> DataFram
     lost = F.when(F.col("owners").isNull(), numbers).otherwise(
         F.filter(numbers, lambda j: F.element_at("owners", j + 1) < F.col("owner"))
     )
-    hits = held.select(*NAME, *ROW, "firsts").join(weighed(owners, F.coalesce(F.size("owners"), F.lit(0)) * 2 + 3), NAME)
+    # Both sides grow with the corpus, so this join is a shuffle at every size.
+    hits = held.select(*NAME, *ROW, "firsts").join(owners.hint("merge"), NAME)
     hits = hits.filter(F.col("first") < F.col("owner")).withColumn("lost", lost).filter(F.size("lost") > 0)
     starts = F.flatten(F.transform("firsts", lambda f: F.transform("lost", lambda j: f + j)))
     by_row = hits.select(*ROW, starts.alias("starts")).groupBy(*ROW).agg(F.flatten(F.collect_list("starts")).alias("starts"))
