@@ -121,6 +121,20 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 60)] + [(-4, -9)]
+    root = {n: n for p in pairs for n in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {n: find(n) for n in root} and len(got) == len(root)
 
 
 def test_shingles_and_similarity():
