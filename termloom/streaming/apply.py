@@ -27,12 +27,15 @@ def apply_stream(
     manifest with the data, so a batch replayed after a failure changes nothing,
     while a new stream or a rebuilt index starts from its first batch. Readers
     keep the snapshot they opened. With ``quiet_seconds`` bursts of changes to
-    a path are reduced to their last one first; ``trigger`` sets how often a
-    live stream forms a batch.
+    a path are reduced to their last one first, by their arrival; a run over what
+    is there (``available_now``) waits for nothing, as each batch is reduced per
+    path anyway. ``trigger`` sets how often a live stream forms a batch.
     """
     spark = changes.sparkSession
-    if quiet_seconds is not None:
+    if quiet_seconds is not None and not available_now:
         changes = debounced(changes, extensions, quiet_seconds)
+        # Bursts that wait are part of this progress; a stream without them has its own.
+        checkpoint = f"{checkpoint}/debounced"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         stream = json.loads(storage.read_text(spark, f"{checkpoint}/metadata"))["id"]

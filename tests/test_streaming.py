@@ -1,5 +1,6 @@
 """Streams over a landing folder, fed in several files."""
 
+import time
 from datetime import datetime, timedelta
 
 from termloom import schemas
@@ -7,7 +8,7 @@ from termloom.operators.events import classify
 from termloom.plans.index import StoredIndex
 from termloom.session import shared_dir
 from termloom.streaming.apply import apply_stream
-from termloom.streaming.feed import debounced, read_feed
+from termloom.streaming.feed import read_feed
 
 START = datetime(2024, 1, 1)
 EXTENSIONS = ["txt"]
@@ -43,23 +44,31 @@ def test_stream_keeps_an_index_current(spark, tmp_path, corpus_of):
     assert {r.path for r in StoredIndex.open(spark, root).docs.collect()} == {"/a/1.txt", "/c/4.txt", "/d/2.txt"}
 
 
-def test_streamed_debounce(spark, tmp_path):
-    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
-    land(spark, landing, [
-        (1, 0, "create", ["a.txt"], False), (2, 600, "modify_data", ["a.txt"], False),
-        (3, 700, "rename_both", ["a.txt", "b.txt"], False), (4, 3000, "modify_data", ["b.txt"], False),
-        (5, 60000, "modify_data", ["late.txt"], False),
-    ])
-    land(spark, landing, [(6, 120000, "modify_data", ["later.txt"], False)])
-    changes = classify(read_feed(spark, landing, schemas.RAW_EVENTS, files_per_batch=1))
-    query = debounced(changes, EXTENSIONS).writeStream.format("parquet").option(
-        "checkpointLocation", f"{out}-progress"
-    ).trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    got = {(r.seq, r.op, r.path) for r in spark.read.parquet(out).collect()}
-    # A burst waits until later events have passed its quiet time.
-    assert got >= {(3, "delete", "a.txt"), (3, "modify", "b.txt"), (4, "modify", "b.txt")}
-    assert got <= {(3, "delete", "a.txt"), (3, "modify", "b.txt"), (4, "modify", "b.txt"), (5, "modify", "late.txt")}
+def test_live_debounce_loses_no_change(spark, tmp_path, corpus_of):
+    """Late, early and repeated events end in the index of the undebounced stream."""
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "index")
+    now = {f"/{n}.txt": n for n in ("one", "two", "late", "early", "busy")}
+    StoredIndex.open(spark, root).build(corpus_of({"/one.txt": "old", "/gone.txt": "gone"}))
+    land(spark, landing, [(1, 0, "modify_data", ["/one.txt"], False), (2, 90_000, "create", ["/early.txt"], False)])
+    changes = classify(read_feed(spark, landing, schemas.RAW_EVENTS))
+    stream = apply_stream(
+        changes, root, lambda: corpus_of(now), EXTENSIONS, str(tmp_path / "progress"), trigger="300 milliseconds", quiet_seconds=0.5
+    )
+    try:
+        def wait_for(paths):
+            end = time.time() + 90
+            while {r.path for r in StoredIndex.open(spark, root).docs.collect()} != paths:
+                assert stream.isActive and time.time() < end, stream.exception()
+                time.sleep(0.5)
+
+        # Nothing follows, and yet the burst ends.
+        wait_for({"/one.txt", "/early.txt", "/gone.txt"})
+        land(spark, landing, [(3, -50_000, "create", ["/late.txt"], False), (4, 0, "remove_file", ["/gone.txt"], False)])
+        land(spark, landing, [(5, 95_000, "modify_data", ["/busy.txt"], False), (5, 95_000, "modify_data", ["/busy.txt"], False)])
+        land(spark, landing, [(6, 10, "create", ["/two.txt"], False), (1, 0, "modify_data", ["/one.txt"], False)])
+        wait_for(set(now))
+    finally:
+        stream.stop()
 
 
 def test_a_new_stream_after_a_rebuild_loses_nothing(spark, tmp_path, corpus_of):
@@ -88,7 +97,8 @@ def test_debounced_stream_into_an_index(spark, tmp_path, corpus_of):
     ).awaitTermination()
     index = StoredIndex.open(spark, root)
     assert {r.term for r in index.terms_for().collect()} >= {"uno"}
-    assert index.snapshot.last_seq >= 5
+    assert {r.path for r in index.docs.collect()} == {"/a/1.txt", "/late.txt", "/later.txt"}
+    assert index.snapshot.last_seq == 10
 
 
 def test_shared_dir_is_the_configured_one(spark):
