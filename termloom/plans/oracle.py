@@ -279,6 +279,20 @@ NESTED_SQL = ctes(
   SELECT 1, path, sum(score) FROM matched WHERE qid IN (1, 3) GROUP BY path)""",
     ranked(source="whole")) + RESULT
 
+NESTED_TABLE_SQL = ctes(
+    *INDEXED, """clause_words AS (
+  SELECT qid, clause_id, 'should' AS occur, 1.0::DOUBLE AS boost, 0 AS off, lower(word) AS term FROM (
+    SELECT qid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS clause_id FROM (
+      SELECT item_id AS qid, regexp_split_to_array(text, '[^a-zA-Z]+')[1:4] AS ws FROM benchmark))
+  WHERE word <> '' AND strlen(word) < 40)""", SCORED, """both_needed AS (
+  SELECT qid, count(*) AS n FROM clause_words WHERE clause_id >= 2 GROUP BY qid),
+whole AS (
+  SELECT qid, path, score FROM (
+    SELECT qid, path, sum(score) FILTER (WHERE clause_id < 2) AS score,
+           count(*) FILTER (WHERE clause_id >= 2) AS later
+    FROM scored GROUP BY qid, path) LEFT JOIN both_needed USING (qid)
+  WHERE score IS NOT NULL AND (later = 0 OR later < n))""", ranked(source="whole")) + RESULT
+
 JSON_ROWS = """answers AS (
   SELECT qid, '[' || string_agg('{"file_path":["' || path || '"]}', ', ' ORDER BY rank) || ']' AS result
   FROM ranked GROUP BY qid)"""
@@ -416,6 +430,7 @@ UNION ALL SELECT 1, 'should', path, 1.0::DOUBLE FROM docs
 UNION ALL SELECT 2, 'must', path, 2.0::DOUBLE FROM docs""", needed({2: 1}), k=200),
     "search_by_path": ctes(DOCS) + PATH_SEARCH,
     "search_nested": NESTED_SQL,
+    "search_nested_table": NESTED_TABLE_SQL,
     "search_updated_index": ctes(*UPDATED, BENCH_QUERIES, keyword_words("queries"), SCORED, PLAIN_HITS,
                                  NONE_NEEDED, MATCHED, ranked()) + RESULT,
     "stream_changes": ctes(*FEED) + "SELECT seq, op, path, old_path FROM changes",

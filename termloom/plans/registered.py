@@ -13,11 +13,13 @@ from termloom.operators import changes as C
 from termloom.operators import events as E
 from termloom.operators import postings as O
 from termloom.operators.clauses import Clause
-from termloom.operators.ranking import combine, top_k, with_status
+from termloom.operators.nested import Group
+from termloom.operators.ranking import with_status
 from termloom.operators.ranking import hits_as_json as json_list
 from termloom.plans import bindings as B
 from termloom.plans.index import StoredIndex
-from termloom.plans.search import matches, search, search_keywords
+from termloom.plans.search import search, search_keywords
+from termloom.plans.search import search_nested as nested_hits
 from termloom.sources import corpus as S
 from termloom.streaming.apply import apply_stream
 from termloom.streaming.feed import read_feed
@@ -392,17 +394,35 @@ def search_by_path(spark, sf_dir):
 @query
 def search_nested(spark, sf_dir):
     """``(trash OR lynt) AND the``, and ``(trash lynt) OR ("of the" -in)``."""
-    index = B.stored_index(spark, sf_dir)
-    either = matches(index, [
-        Clause(0, 0, terms=["trash"]), Clause(0, 1, terms=["lynt"]),
-        Clause(1, 0, "must", terms=["trash"]), Clause(1, 1, "must", terms=["lynt"]),
+    groups = [
+        Group(0, 0), Group(0, 1, 0, "must"), Group(0, 2, 0, "must"),
+        Group(1, 0), Group(1, 1, 0), Group(1, 2, 0),
+    ]
+    return nested_hits(B.stored_index(spark, sf_dir), groups, [
+        (1, Clause(0, 0, terms=["trash"])), (1, Clause(0, 1, terms=["lynt"])), (2, Clause(0, 2, terms=["the"])),
+        (1, Clause(1, 0, "must", terms=["trash"])), (1, Clause(1, 1, "must", terms=["lynt"])),
+        (2, Clause(1, 2, kind="phrase", terms=["of the"])), (2, Clause(1, 3, "must_not", terms=["in"])),
     ])
-    common = matches(index, [Clause(0, 0, terms=["the"])])
-    phrase = matches(index, [
-        Clause(1, 0, kind="phrase", terms=["of the"]), Clause(1, 1, "must_not", terms=["in"]),
-    ])
-    both = combine(must=[either.filter("qid = 0"), common])
-    return top_k(both.unionByName(combine(should=[either.filter("qid = 1"), phrase])))
+
+
+@query
+def search_nested_table(spark, sf_dir):
+    """For every benchmark text, ``(first word OR second word) AND NOT (third AND fourth)``."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("qid"), F.posexplode(F.slice(F.split("text", r"[^a-zA-Z]+"), 1, 4)).alias("clause_id", "word")
+    ).filter("word <> ''")
+    clauses = words.select(
+        "qid", F.when(F.col("clause_id") < 2, 1).otherwise(2).cast("long").alias("group_id"), "clause_id",
+        F.when(F.col("clause_id") < 2, "should").otherwise("must").alias("occur"), F.lit("term").alias("kind"),
+        F.array("word").alias("terms"), F.lit(0).alias("slop"), F.lit(1.0).alias("boost"), F.lit("[]").alias("bounds"),
+    )
+    tree = F.array(
+        F.struct(F.lit(0).cast("long").alias("group_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("should").alias("occur")),
+        F.struct(F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit("must")),
+        F.struct(F.lit(2).cast("long"), F.lit(0).cast("long"), F.lit("must_not")),
+    )
+    groups = words.select("qid").distinct().select("qid", F.inline(tree))
+    return nested_hits(B.stored_index(spark, sf_dir), groups, clauses)
 
 
 @query

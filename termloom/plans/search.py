@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions.scoring import SCORE_DIGITS
 from termloom.operators.clauses import Clause, clause_table, keyword_clauses
 from termloom.operators.matching import match
+from termloom.operators.nested import Group, nested_matches
 from termloom.operators.ranking import RESULT_LIMIT, top_k
 
 
@@ -41,6 +42,13 @@ def search(index, clauses: DataFrame | list[Clause], k: int = RESULT_LIMIT) -> D
     return top_k(match(index, rest), k).unionByName(listed)
 
 
+def search_nested(
+    index, groups: DataFrame | list[Group], clauses: DataFrame | list[tuple[int, Clause]], k: int = RESULT_LIMIT
+) -> DataFrame:
+    """The ``k`` best hits of each nested query, given as a group tree and its clauses."""
+    return top_k(nested_matches(index, groups, clauses), k)
+
+
 def search_keywords(index, queries: DataFrame, k: int = RESULT_LIMIT) -> DataFrame:
     """The ``k`` best hits of each ``(qid, keyword)``; any word may match."""
     return search(index, keyword_clauses(queries), k)

@@ -19,7 +19,7 @@ QUICK = [
     "filter_extension", "normalize_path", "filter_path_prefix", "expand_renames", "tokenize", "build_postings",
     "doc_lengths", "term_stats", "corpus_stats", "index_in_memory", "search_any", "search_all", "search_exclude",
     "search_phrase", "search_phrase_slop", "search_phrase_prefix", "search_term_set", "search_term_range",
-    "search_match_all", "search_by_path", "search_nested", "search_status", "hits_as_json", "classify_events",
+    "search_match_all", "search_by_path", "search_nested", "search_nested_table", "search_status", "hits_as_json", "classify_events",
     "debounce", "batch_changes", "snapshot_diff", "fold_change_log", "quarantine", "stream_changes",
 ]
 KEYS = list(registered()) if os.environ.get("ALL_QUERIES") else QUICK
