@@ -416,11 +416,9 @@ def search_nested_table(spark, sf_dir):
         F.when(F.col("clause_id") < 2, "should").otherwise("must").alias("occur"), F.lit("term").alias("kind"),
         F.array("word").alias("terms"), F.lit(0).alias("slop"), F.lit(1.0).alias("boost"), F.lit("[]").alias("bounds"),
     )
-    tree = F.array(
-        F.struct(F.lit(0).cast("long").alias("group_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("should").alias("occur")),
-        F.struct(F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit("must")),
-        F.struct(F.lit(2).cast("long"), F.lit(0).cast("long"), F.lit("must_not")),
-    )
+    tree = F.expr("""array(named_struct('group_id', 0L, 'parent_id', CAST(NULL AS BIGINT), 'occur', 'should'),
+        named_struct('group_id', 1L, 'parent_id', 0L, 'occur', 'must'),
+        named_struct('group_id', 2L, 'parent_id', 0L, 'occur', 'must_not'))""")
     groups = words.select("qid").distinct().select("qid", F.inline(tree))
     return nested_hits(B.stored_index(spark, sf_dir), groups, clauses)
 
