@@ -50,6 +50,15 @@ def publish_text(spark: SparkSession, path: str, text: str) -> bool:
     return fs.rename(draft, target)
 
 
+def publish_folder(spark: SparkSession, draft: str, path: str) -> bool:
+    """Rename the folder ``draft`` to ``path``; False when ``path`` exists already."""
+    fs, target, jvm = _fs(spark, path)
+    if fs.exists(target):
+        return False
+    fs.mkdirs(target.getParent())
+    return fs.rename(jvm.org.apache.hadoop.fs.Path(draft), target)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target, _ = _fs(spark, path)
     fs.delete(target, True)
