@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,3 +165,26 @@ def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         return corpus.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
 
     return hashed(docs), hashed(after)
+
+
+def change_files(files: DataFrame, root: str) -> int:
+    """Write, move or delete the files ``(path, content, moved_to)`` below ``root``; their number.
+
+    A file without content is moved, and deleted when it has nowhere to go.
+    """
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = arrow_fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path, moved = base + row["path"], row["moved_to"] and base + row["moved_to"]
+                for target in filter(None, (row["content"] is not None and path, moved)):
+                    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if row["content"] is not None:
+                    with system.open_output_stream(path) as out:
+                        out.write(row["content"].encode())
+                elif system.get_file_info(path).is_file:  # not so when the task runs again
+                    system.move(path, moved) if moved else system.delete_file(path)
+            yield batch.select(["path"])
+
+    rows = files.select("path", "content", "moved_to").dropDuplicates(["path"])
+    return rows.mapInArrow(change, "path string").count()

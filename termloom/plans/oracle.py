@@ -435,6 +435,11 @@ UNION ALL SELECT 2, 'must', path, 2.0::DOUBLE FROM docs""", needed({2: 1}), k=20
                                  NONE_NEEDED, MATCHED, ranked()) + RESULT,
     "stream_changes": ctes(*FEED) + "SELECT seq, op, path, old_path FROM changes",
     "stream_apply": final_lengths(),
+    "watch_tree": ctes(DOCS, "files AS (SELECT DISTINCT path, doc_id % 7 AS part FROM docs WHERE path IS NOT NULL)")
+    + """SELECT 0::BIGINT AS seq, 'put' AS action, path FROM files WHERE part <> 3
+UNION ALL SELECT 1, 'put', path FROM files WHERE part IN (0, 3)
+UNION ALL SELECT 1, 'delete', path FROM files WHERE part IN (1, 2)
+UNION ALL SELECT 1, 'put', '/moved' || path FROM files WHERE part = 2""",
     "snapshot_diff": ctes(DOCS, PAGES, LISTINGS) + """SELECT 'modify' AS op, path, NULL AS old_path FROM both_sides
 WHERE old_hash <> new_hash
 UNION ALL

@@ -23,6 +23,7 @@ from termloom.plans.search import search_nested as nested_hits
 from termloom.sources import corpus as S
 from termloom.streaming.apply import apply_stream
 from termloom.streaming.feed import read_feed
+from termloom.streaming.watch import TreeWatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -464,6 +465,30 @@ def stream_apply(spark, sf_dir):
     return StoredIndex.open(spark, root).docs
 
 
+@query
+def watch_tree(spark, sf_dir):
+    """One file per document, watched while they are edited, deleted, moved and added."""
+    root, home = f"{B.new_root(spark, 'tree')}/files", B.new_root(spark, "watch")
+    docs = S.documents(spark, sf_dir).filter("path IS NOT NULL").select(
+        "path", F.coalesce("content", F.lit("")).alias("content"), F.lit(None).cast("string").alias("moved_to"),
+        F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"),
+    )
+    part = F.col("doc_id") % 7
+    B.change_files(docs.filter(part != 3), root)
+    watch = TreeWatch(spark, root, home, B.ALL_EXTENSIONS)
+    watch.poll()
+    edited = F.when(part == 0, F.concat("content", F.lit(" fin"))).when(part == 3, F.col("content"))
+    moved = F.when(part == 2, F.concat(F.lit("/moved"), "path"))
+    B.change_files(docs.filter(part < 4).withColumn("content", edited).withColumn("moved_to", moved), root)
+    watch.poll()
+    feed = f"{home}/feed"
+    C.expand(watch.changes(), B.ALL_EXTENSIONS).writeStream.format("parquet").option(
+        "checkpointLocation", f"{home}/progress"
+    ).trigger(availableNow=True).start(feed).awaitTermination()
+    told = spark.read.schema("seq long, action string, path string").parquet(feed)
+    return told.withColumn("path", F.regexp_extract("path", r"/tree-[0-9a-f]{32}/files(/.*)$", 1))
+
+
 @query
 def snapshot_diff(spark, sf_dir):
     return E.snapshot_diff(*B.listings(spark, sf_dir))

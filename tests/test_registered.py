@@ -20,7 +20,7 @@ QUICK = [
     "doc_lengths", "term_stats", "corpus_stats", "index_in_memory", "search_any", "search_all", "search_exclude",
     "search_phrase", "search_phrase_slop", "search_phrase_prefix", "search_term_set", "search_term_range",
     "search_match_all", "search_by_path", "search_nested", "search_nested_table", "search_status", "hits_as_json", "classify_events",
-    "debounce", "batch_changes", "snapshot_diff", "fold_change_log", "quarantine", "stream_changes",
+    "debounce", "batch_changes", "watch_tree", "snapshot_diff", "fold_change_log", "quarantine", "stream_changes",
 ]
 KEYS = list(registered()) if os.environ.get("ALL_QUERIES") else QUICK
 
