@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -203,31 +204,43 @@ def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
     return met.filter(above & below).drop("_low", "_high", "_bounds", "_byte")
 
 
-def _near_rarest(postings: DataFrame, words: DataFrame, small: bool) -> DataFrame:
+def _near_rarest(postings: DataFrame, words: DataFrame, small: bool, longest_path: int) -> DataFrame:
     """Postings of phrase words, kept to documents that hold the rarest one.
 
-    The rarest word of each clause bounds its candidates. When candidates
-    times words are few, exactly those (term, document) pairs are looked up
-    and the long lists of common words are cut before any shuffle; otherwise
-    all lists go on whole.
+    The rarest word of each clause bounds its candidates. Clauses are taken by
+    rising number of lookups (candidates times words) as long as all of them
+    together may be broadcast: of these exactly those (term, document) pairs are
+    looked up, so long lists of common words are cut before any shuffle. Only the
+    clauses beyond, all of whose words are frequent, read their lists whole.
     """
     if not small:
         return _join_words(postings, words, small)
+    shared_dir(words.sparkSession)
+    words = words.checkpoint()  # read several times; few enough to be broadcast
     rarest = words.groupBy("qid", "clause_id", "n_terms").agg(
         F.min(F.struct("df", "term")).alias("_r")
-    ).select("qid", "clause_id", "n_terms", "_r.df", "_r.term")
-    lookups = rarest.agg(F.sum(F.col("df") * F.col("n_terms"))).first()[0] or 0
-    if lookups > BROADCAST_ROWS:
-        return _join_words(postings, words, small)
-    holders = postings.join(F.broadcast(rarest.select("qid", "clause_id", "term")), "term").select(
-        "qid", "clause_id", "path"
+    ).select(
+        "qid", "clause_id", "_r.term", (F.col("_r.df") * F.col("n_terms")).alias("_lookups"),
+        F.ceil(F.log2(F.col("_r.df") * F.col("n_terms"))).alias("_size"),
     )
-    # Bounded in rows above; paths have no bound, so bytes are checked as well.
-    longest = holders.agg(F.max(F.octet_length("path"))).first()[0] or 0
-    if lookups * (longest + 200) > BROADCAST_BYTES:
+    # One row per power of two.
+    sizes = rarest.groupBy("_size").agg(F.sum("_lookups").alias("n")).orderBy("_size").collect()
+    allowed = min(BROADCAST_ROWS, BROADCAST_BYTES // (longest_path + 200))
+    sums = list(accumulate(row["n"] for row in sizes))
+    fitting = [row["_size"] for row, total in zip(sizes, sums) if total <= allowed]
+    if not fitting:
         return _join_words(postings, words, small)
+    looked_up = F.col("_size") <= fitting[-1]
+    holders = postings.join(
+        F.broadcast(rarest.filter(looked_up).select("qid", "clause_id", "term")), "term"
+    ).select("qid", "clause_id", "path")
     wanted = holders.join(F.broadcast(words), ["qid", "clause_id"])
-    return postings.join(F.broadcast(wanted), ["term", "path"])
+    found = postings.join(F.broadcast(wanted), ["term", "path"])
+    if len(fitting) == len(sizes):
+        return found
+    beyond = words.join(F.broadcast(rarest.filter(~looked_up).select("qid", "clause_id")), ["qid", "clause_id"], "left_semi")
+    whole = _join_words(narrow(postings, "term", beyond.select("term")), beyond, small)
+    return found.unionByName(whole.select(*found.columns))
 
 
 def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False) -> DataFrame:
@@ -329,7 +342,7 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
         hits.append(found.select(*CARRIED, "path", score))
     if "phrase" in kinds:
         found = _near_rarest(
-            index.postings_for(query.words), words.filter("kind = 'phrase'"), query.small
+            index.postings_for(query.words), words.filter("kind = 'phrase'"), query.small, index.longest_path
         )
         hits.append(_phrase_frequency(found, query.sloppy).select(*CARRIED, "path", score))
     if "phrase_prefix" in kinds:

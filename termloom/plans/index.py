@@ -71,14 +71,16 @@ def _quoted(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _totals(docs: DataFrame) -> tuple[int, int]:
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+def _totals(docs: DataFrame) -> tuple[int, int, int]:
+    """Documents, tokens, bytes of the longest path."""
+    longest = F.coalesce(F.max(F.octet_length("path")), F.lit(0))
+    return tuple(map(int, docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), longest).first()))
 
 
 class _Totals:
     n_docs: int
     n_tokens: int
+    longest_path: int  # bytes, deleted documents included
 
     @property
     def avg_dl(self) -> float:
@@ -100,10 +102,10 @@ class MemoryIndex(_Totals):
     An update adds a layer and the paths it ends; earlier layers are shared.
     """
 
-    def __init__(self, layers: list[DataFrame], ended: list[DataFrame], totals: tuple[int, int]):
+    def __init__(self, layers: list[DataFrame], ended: list[DataFrame], totals: tuple[int, int, int]):
         self.spark = layers[0].sparkSession
         self._layers, self._ended = layers, ended
-        self.n_docs, self.n_tokens = totals
+        self.n_docs, self.n_tokens, self.longest_path = totals
 
     @classmethod
     def build(cls, corpus: DataFrame, extensions: list[str] | None = None) -> "MemoryIndex":
@@ -136,8 +138,10 @@ class MemoryIndex(_Totals):
         ended = C.touched(self.docs, resolved).withColumn("seg", F.lit(len(self._layers)))
         added = build_entries(C.content_of(corpus, resolved))
         ended, added = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (ended, added))
-        (gone, gone_tokens), (new, new_tokens) = _totals(ended), _totals(added.filter(is_document()))
-        totals = (self.n_docs - gone + new, self.n_tokens - gone_tokens + new_tokens)
+        (gone, gone_tokens, _), (new, new_tokens, longest) = _totals(ended), _totals(added.filter(is_document()))
+        totals = (
+            self.n_docs - gone + new, self.n_tokens - gone_tokens + new_tokens, max(self.longest_path, longest)
+        )
         return Applied(MemoryIndex([*self._layers, added], [*self._ended, ended], totals), bad)
 
 
@@ -147,6 +151,7 @@ class Segment:
     attempt: str
     buckets: int
     tombstones: int = 0  # bytes of the paths this segment ends
+    longest_path: int = 1 << 20  # bytes; where a manifest does not say, a path may be long
 
     @property
     def folder(self) -> str:
@@ -184,6 +189,7 @@ class StoredIndex(_Totals):
     def __init__(self, spark: SparkSession, root: str, snapshot: Snapshot):
         self.spark, self.root, self.snapshot = spark, root.rstrip("/"), snapshot
         self.n_docs, self.n_tokens = snapshot.n_docs, snapshot.n_tokens
+        self.longest_path = max((s.longest_path for s in snapshot.segments), default=0)
         self._scans: dict[tuple[str, int], DataFrame] = {}
 
     # -- opening and building ------------------------------------------------
@@ -224,8 +230,8 @@ class StoredIndex(_Totals):
                 F.pmod(F.xxhash64("path"), F.lit(layout.parts)) == part
             )
             segment = self._new_segment(buckets or layout.buckets)
-            docs, tokens = self._write_segment(build_entries(mine), segment, layout.tasks)
-            segments.append(segment)
+            docs, tokens, longest = self._write_segment(build_entries(mine), segment, layout.tasks)
+            segments.append(replace(segment, longest_path=longest))
             n_docs, n_tokens = n_docs + docs, n_tokens + tokens
         return self._publish(
             segments=tuple(segments), n_docs=n_docs, n_tokens=n_tokens, batches={}, last_seq=feed_start
@@ -326,7 +332,7 @@ class StoredIndex(_Totals):
         bad.write.parquet(f"{self.root}/{quarantine}")
         tombstones = f"{self.root}/tombstones/{segment.folder}"
         C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
-        added_docs, added_tokens = self._write_segment(build_entries(added), segment, layout.tasks)
+        added_docs, added_tokens, longest = self._write_segment(build_entries(added), segment, layout.tasks)
         ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
         ended_docs, ended_tokens, ended_bytes = ended.agg(
             F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)),
@@ -335,7 +341,9 @@ class StoredIndex(_Totals):
         applied = {} if batch_id is None else {stream: batch_id}
         rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         after = self._publish(
-            segments=(*self.snapshot.segments, replace(segment, tombstones=int(ended_bytes))),
+            segments=(
+                *self.snapshot.segments, replace(segment, tombstones=int(ended_bytes), longest_path=longest)
+            ),
             n_docs=self.n_docs + added_docs - int(ended_docs),
             n_tokens=self.n_tokens + added_tokens - int(ended_tokens),
             batches={**self.snapshot.batches, **applied},
@@ -355,9 +363,10 @@ class StoredIndex(_Totals):
             F.lit("").alias("term"), "path", F.lit(0).alias("tf"),
             F.array().cast("array<int>").alias("positions"), "dl",
         )
-        n_docs, n_tokens = self._write_segment(
+        n_docs, n_tokens, longest = self._write_segment(
             self.postings_for().unionByName(documents), segment, layout.tasks
         )
+        segment = replace(segment, longest_path=longest)
         return self._publish(segments=(segment,), n_docs=n_docs, n_tokens=n_tokens)
 
     def vacuum(self, keep: int = 1) -> None:
@@ -400,7 +409,7 @@ class StoredIndex(_Totals):
             raise CommitConflict("the index has moved on: open it again and repeat")
         return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets)
 
-    def _write_segment(self, entries: DataFrame, segment: Segment, tasks: int) -> tuple[int, int]:
+    def _write_segment(self, entries: DataFrame, segment: Segment, tasks: int) -> tuple[int, int, int]:
         """Write postings and terms of one segment; returns its totals.
 
         Rebalanced by bucket: adaptive execution measures every reduce

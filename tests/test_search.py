@@ -10,7 +10,7 @@ from termloom.operators import clauses as K
 from termloom.operators import matching as M
 from termloom.operators.clauses import Clause, clause_table, keyword_clauses
 from termloom.operators.ranking import NO_RESULTS, combine, top_k, with_status
-from termloom.plans.index import MemoryIndex
+from termloom.plans.index import MemoryIndex, StoredIndex
 from termloom.plans.search import matches, search, search_keywords
 
 VOCABULARY = ["alpha", "alpine", "beta", "bet", "gamma", "x", "y", "été"]
@@ -166,6 +166,41 @@ def test_salted_joins_give_the_same(index, files, monkeypatch):
     same(collected(matches(index, CLAUSES)), expected(files))
 
 
+@pytest.mark.parametrize("lookups", [1, 40, 100, 10_000])
+def test_phrases_are_looked_up_or_read_whole_clause_by_clause(spark, index, files, monkeypatch, lookups):
+    """Whatever number of lookups is allowed, and however the clauses divide."""
+    texts = ["x y", "y x", "alpha beta", "gamma x", "alpine beta x", "y gamma", "bet été", "x x", "x gamma x"]
+    phrases = [Clause(q, 0, kind="phrase", terms=[t]) for q, t in enumerate(texts)]
+    phrases.append(Clause(99, 0, kind="phrase", terms=["x beta"], slop=2))
+    read_whole = []
+    join = M._join_words
+    monkeypatch.setattr(M, "_join_words", lambda p, w, small: read_whole.append(w.select("qid").distinct().count()) or join(p, w, small))
+    monkeypatch.setattr(M, "BROADCAST_BYTES", lookups * (index.longest_path + 200))
+    assert index.longest_path == max(len(p) for p in files)
+    plain = Plain(files)
+    want = {c.qid: plain.query([c]) for c in phrases}
+    same(collected(matches(index, phrases)), {q: hits for q, hits in want.items() if hits})
+    few, most = {1: (10, 10), 40: (1, 9), 100: (1, 9), 10_000: (0, 0)}[lookups]
+    assert few <= sum(read_whole) <= most
+
+
+def test_a_stored_index_with_changes_gives_the_same(spark, files, tmp_path):
+    """Two segments and tombstones: some documents came late, some changed, some went."""
+    order = sorted(files)
+    late, edited, gone = order[:9], order[9:15], ["/gone/1.txt", "/gone/2.txt"]
+    first = {p: t for p, t in files.items() if p not in late} | {p: "x alpha beta y" for p in [*edited, *gone]}
+    frame = lambda docs: spark.createDataFrame(list(docs.items()), "path string, content string")
+    stored = StoredIndex.open(spark, str(tmp_path / "index")).build(frame(first), buckets=3)
+    rows = [(n, None, op, p, None) for n, (op, p) in enumerate(
+        [("create", p) for p in late] + [("modify", p) for p in edited] + [("delete", p) for p in gone]
+    )]
+    changes = spark.createDataFrame(rows, "seq long, ts timestamp, op string, path string, old_path string")
+    now = stored.apply(changes, frame(files), ["txt"]).index
+    assert len(now.snapshot.segments) == 2 and now.snapshot.segments[1].tombstones > 0
+    assert now.longest_path == max(len(p) for p in [*files, *gone])
+    same(collected(matches(now, CLAUSES)), expected(files))
+
+
 def test_exclusions_only_match_nothing(index, files, monkeypatch):
     only = [Clause(0, 0, terms=["x"]), Clause(1, 0, "must_not", terms=["x"])]
     for limit in (M.LITERAL_CLAUSES, 0):
