@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
 from termloom.operators.joins import (
-    ROW_BYTES, BROADCAST_BYTES, among, below, covered_by, few, fits_broadcast, holding, keyed_join, without,
+    BROADCAST_BYTES, PUSHDOWN_LIMIT, ROW_BYTES, among, below, covered_by, few, fits_broadcast, holding, keyed_join,
+    without,
 )
 from termloom.session import shared_dir
 
@@ -59,7 +60,30 @@ def malformed() -> Column:
     return F.when(unknown, "unknown operation").when(F.col("path").isNull() | no_old, "missing path")
 
 
-def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> DataFrame:
+def _local(rows: DataFrame) -> DataFrame:
+    """The few ``rows`` as a local relation: what follows from it alone needs no job."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
+
+
+def pin(changes: DataFrame) -> tuple[DataFrame, bool]:
+    """``changes`` as a local relation when they are few, and whether they are."""
+    head = changes.limit(PUSHDOWN_LIMIT + 1).toArrow()
+    if head.num_rows > PUSHDOWN_LIMIT:
+        return changes, False
+    return changes.sparkSession.createDataFrame(head, changes.schema), True
+
+
+def _settled(rows: DataFrame, pinned: bool) -> DataFrame:
+    """``rows`` computed once: on the driver when they come from ``pinned`` changes, else a checkpoint."""
+    if pinned:
+        return _local(rows)
+    shared_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def checked(
+    changes: DataFrame, corpus: DataFrame, extensions: list[str], pinned: bool = False
+) -> DataFrame:
     """Changes with a ``reason``, null when the change can be applied.
 
     A change that needs content which the corpus does not hold is set aside
@@ -70,6 +94,13 @@ def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Dat
     )
     marked = changes.withColumn("_needed", needed)
     wants = F.col("_needed").isNotNull()
+    if pinned:
+        names = sorted({row["_needed"] for row in marked.filter(wants).select("_needed").collect()})
+        # No more rows than names.
+        found = corpus.select("path").filter(among("path", names)).distinct().collect() if names else []
+        missing = wants & ~among("_needed", [row["path"] for row in found])
+        reason = F.coalesce(malformed(), F.when(missing, "not in corpus"))
+        return marked.select(*changes.columns, reason.alias("reason"))
     asked = marked.filter(wants).select(F.col("_needed").alias("path")).distinct()
     listed = few(asked)
     small = listed is not None or fits_broadcast(asked, "path")
@@ -89,14 +120,13 @@ def checked(changes: DataFrame, corpus: DataFrame, extensions: list[str]) -> Dat
 
 
 def split_loadable(
-    changes: DataFrame, corpus: DataFrame, extensions: list[str]
+    changes: DataFrame, corpus: DataFrame, extensions: list[str], pinned: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Changes that can be applied, and the rest with a ``reason``.
 
-    The checked changes are written to the checkpoint folder once.
+    The checked changes are computed once; ``pinned`` ones (see ``pin``) stay local.
     """
-    shared_dir(changes.sparkSession)
-    rows = checked(changes, corpus, extensions).checkpoint()
+    rows = _settled(checked(changes, corpus, extensions, pinned), pinned)
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
 
 
@@ -152,17 +182,20 @@ def _look(net: DataFrame) -> _Facts:
     return _Facts(small, {a: set(facts[a]) for a in ("delete_prefix", "put_dir")}, None)
 
 
-def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Resolved:
+def resolve(
+    actions: DataFrame, corpus: DataFrame, extensions: list[str], pinned: bool = False
+) -> Resolved:
     """Reduce primitive actions to their net effect.
 
     A put survives unless a delete or a covering prefix delete has a strictly
     higher ``seq``; so a rename's put outlives its own delete. The reduced
-    log and the surviving puts are used several times, so each is written to
-    the checkpoint folder once.
+    log and the surviving puts are used several times, so each is computed once:
+    on the driver if they follow from ``pinned`` changes alone (folders that are
+    put depend on the corpus), else in the checkpoint folder.
     """
-    shared_dir(actions.sparkSession)
-    net = reduced(actions).checkpoint()
+    net = _settled(reduced(actions.coalesce(1) if pinned else actions), pinned)
     facts = _look(net)
+    alone = pinned and not facts.lengths["put_dir"]
 
     def latest(name: str, key: str = "path") -> DataFrame:
         return net.filter(F.col("action") == name).select(F.col("path").alias(key), "seq")
@@ -183,12 +216,13 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
             lengths=facts.lengths["delete_prefix"],
         )
         .select("path", "_ended").unionByName(deletes.withColumnRenamed("seq", "_ended"))
-        .groupBy("path").agg(F.max("_ended").alias("_ended"))
     )
-    puts = (
+    killed = (killed.coalesce(1) if alone else killed).groupBy("path").agg(F.max("_ended").alias("_ended"))
+    puts = _settled(
         last_put.join(killed, "path", "left")
         .filter(F.col("_ended").isNull() | (F.col("seq") >= F.col("_ended")))
-        .select("path", "seq").checkpoint()
+        .select("path", "seq"),
+        alone,
     )
     listed = few(puts.select("path"))
     return Resolved(
@@ -201,13 +235,14 @@ def resolve(actions: DataFrame, corpus: DataFrame, extensions: list[str]) -> Res
 
 def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:
     """Rows of ``docs`` that the changes replace or delete."""
-    named = resolved.puts.select("path").unionByName(resolved.deletes.select("path")).distinct()
-    by_name, by_prefix = docs, docs
+    by_prefix = docs
     if resolved.put_list is not None and resolved.delete_list is not None:
         by_name = docs.filter(among("path", [*resolved.put_list, *resolved.delete_list]))
+    else:
+        named = resolved.puts.select("path").unionByName(resolved.deletes.select("path")).distinct()
+        by_name = keyed_join(docs, named, ["path"], "left_semi", resolved.small)
     if resolved.prefix_list is not None and len(resolved.prefix_list) <= FEW_PREFIXES:
         by_prefix = docs.filter(below("path", resolved.prefix_list))
-    by_name = keyed_join(by_name, named, ["path"], "left_semi", resolved.small)
     by_prefix = covered_by(
         by_prefix, resolved.prefixes, small=resolved.small, lengths=resolved.prefix_lengths
     ).select(*docs.columns)
@@ -215,10 +250,11 @@ def touched(docs: DataFrame, resolved: Resolved) -> DataFrame:
 
 
 def content_of(corpus: DataFrame, resolved: Resolved) -> DataFrame:
-    """Current content of the paths to put; few of them narrow the scan."""
+    """Current content of the paths to put; few of them are a condition of the scan."""
+    rows = corpus.select("path", "content")
     if resolved.put_list is not None:
-        corpus = corpus.filter(among("path", resolved.put_list))
-    return holding(corpus.select("path", "content"), resolved.puts, "path", resolved.small)
+        return rows.filter(among("path", resolved.put_list))
+    return holding(rows, resolved.puts, "path", resolved.small)
 
 
 def fold(

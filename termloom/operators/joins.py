@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 SALTS = 16
 PUSHDOWN_LIMIT = 1000
 BROADCAST_BYTES = 64 << 20
+FILTER_BITS = 8 * BROADCAST_BYTES
 ROW_BYTES = 100  # a row's fixed part, generously
 
 
@@ -47,14 +48,42 @@ def keyed_join(
     return left.join(right, on, how) if spread is None else salted_join(left, right, on, spread, how)
 
 
-def _by_hash(table: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame] | None:
-    """``table`` split by a broadcast set of key hashes: rows to look up, and all others.
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
 
-    None when even the hashes are too many to broadcast.
+
+def bitmaps(keys: DataFrame, column: str) -> DataFrame:
+    """``(_page, _bits)``: one bit per hash of a key, in pages of 4 KB.
+
+    At most ``FILTER_BITS`` in all, whatever the number of keys. Bits are shuffled
+    as numbers and set where they arrive.
+    """
+    slots = keys.select(_slot(F.col(column)).alias("_slot")).select(
+        F.bitmap_bucket_number("_slot").alias("_page"), F.bitmap_bit_position("_slot").alias("_bit")
+    )
+    return slots.repartition("_page").groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def _marked(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``table`` with ``_possible``: false only where ``column`` is surely not among ``keys``."""
+    slot = _slot(F.col(column))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    possible = F.coalesce(F.getbit(byte.cast("int"), (bit % 8).cast("int")) == 1, F.lit(False))
+    paged = table.withColumn("_page", F.bitmap_bucket_number(slot))
+    met = paged.join(F.broadcast(bitmaps(keys, column)), "_page", "left")
+    return met.select(*table.columns, possible.alias("_possible"))
+
+
+def split_by_keys(table: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``table`` split without a shuffle: rows to look up among ``keys``, and surely others.
+
+    By the set of key hashes while that may be broadcast, else by bitmaps of a fixed size.
     """
     hashes = keys.select(F.xxhash64(column).alias("_hash")).distinct()
     if hashes.count() * 16 > BROADCAST_BYTES:
-        return None
+        marked = _marked(table, keys, column)
+        return marked.filter("_possible").drop("_possible"), marked.filter("NOT _possible").drop("_possible")
     hashed = table.withColumn("_hash", F.xxhash64(column))
     small = F.broadcast(hashes)
     return hashed.join(small, "_hash", "left_semi").drop("_hash"), hashed.join(small, "_hash", "left_anti").drop("_hash")
@@ -64,18 +93,15 @@ def holding(table: DataFrame, keys: DataFrame, column: str, small: bool) -> Data
     """Rows of a wide ``table`` whose ``column`` is among ``keys``; only candidates are shuffled."""
     if small:
         return table.join(F.broadcast(keys), column, "left_semi")
-    split = _by_hash(table, keys, column)
-    return (table if split is None else split[0]).join(keys, column, "left_semi")
+    return split_by_keys(table, keys, column)[0].join(keys, column, "left_semi")
 
 
 def without(table: DataFrame, keys: DataFrame, column: str, small: bool) -> DataFrame:
     """Rows of a wide ``table`` whose ``column`` is not among ``keys``; only candidates are shuffled."""
     if small:
         return table.join(F.broadcast(keys), column, "left_anti")
-    split = _by_hash(table, keys, column)
-    if split is None:
-        return table.join(keys, column, "left_anti")
-    return split[0].join(keys, column, "left_anti").unionByName(split[1])
+    candidates, others = split_by_keys(table, keys, column)
+    return candidates.join(keys, column, "left_anti").unionByName(others)
 
 
 def covered_by(
@@ -85,9 +111,10 @@ def covered_by(
     """Rows of ``paths`` joined with each ``prefixes`` row their path starts with.
 
     Each path is cut at the distinct prefix lengths (found by a job unless
-    given), which turns the prefix test into an equality. With ``component`` a
-    prefix covers itself and what lies below it. ``prefixes`` has a unique
-    ``prefix`` column, without a slash at the end, next to any others.
+    given), which turns the prefix test into an equality. Cuts that are no prefix
+    are dropped before any shuffle. With ``component`` a prefix covers itself and
+    what lies below it. ``prefixes`` has a unique ``prefix`` column, without a
+    slash at the end, next to any others.
     """
     if lengths is None:
         # At most one entry per possible path length, whatever the data size.
@@ -106,6 +133,8 @@ def covered_by(
             | (F.substr(F.col("path"), F.col("_len"), F.lit(1)) == "/")
         )
     cut = cut.withColumn("prefix", F.substr(F.col("path"), F.lit(1), F.col("_len"))).drop("_len")
+    if not small:
+        cut = split_by_keys(cut, prefixes, "prefix")[0]
     return keyed_join(cut, prefixes, ["prefix"], small=small, spread=F.col("path"))
 
 

@@ -25,7 +25,7 @@ import zlib
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -319,33 +319,41 @@ class StoredIndex(_Totals):
         """
         if batch_id is not None and batch_id <= self.snapshot.batches.get(stream, -1):
             return Applied(self, changes.withColumn("reason", F.lit("")).limit(0))
-        good, bad = C.split_loadable(changes, corpus, extensions)
+        changes, pinned = C.pin(changes)
+        good, bad = C.split_loadable(changes, corpus, extensions, pinned)
         seen = good.select("seq", F.lit(0).alias("bad")).unionByName(bad.select("seq", F.lit(1).alias("bad")))
+        seen = seen.coalesce(1) if pinned else seen
         last_seq, n_bad = seen.agg(F.max("seq"), F.coalesce(F.sum("bad"), F.lit(0))).first()
         if last_seq is None:
             return Applied(self, bad)
-        resolved = C.resolve(C.expand(good, extensions), corpus, extensions)
+        resolved = C.resolve(C.expand(good, extensions), corpus, extensions, pinned)
         added = C.content_of(corpus, resolved)
         layout = layout_for(_text_bytes(added))
         segment = self._new_segment(buckets or layout.buckets)
         quarantine = f"quarantine/{segment.folder}"
-        bad.write.parquet(f"{self.root}/{quarantine}")
-        tombstones = f"{self.root}/tombstones/{segment.folder}"
-        C.touched(self.docs, resolved).select("path", "dl").write.parquet(tombstones)
+        rejected = bad
+        if n_bad:
+            bad.write.parquet(f"{self.root}/{quarantine}")
+            rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
+        # Counted by the tasks that write them.
+        ended = Observation()
+        (
+            C.touched(self.docs, resolved).select("path", "dl")
+            .observe(
+                ended, F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens"),
+                F.sum(F.octet_length("path") + ROW_BYTES).alias("bytes"),
+            )
+            .write.parquet(f"{self.root}/tombstones/{segment.folder}")
+        )
+        gone = ended.get
         added_docs, added_tokens, longest = self._write_segment(build_entries(added), segment, layout.tasks)
-        ended = self.spark.read.schema(schemas.TOMBSTONES).parquet(tombstones)
-        ended_docs, ended_tokens, ended_bytes = ended.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)),
-            F.coalesce(F.sum(F.octet_length("path") + ROW_BYTES), F.lit(0)),
-        ).first()
         applied = {} if batch_id is None else {stream: batch_id}
-        rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         after = self._publish(
             segments=(
-                *self.snapshot.segments, replace(segment, tombstones=int(ended_bytes), longest_path=longest)
+                *self.snapshot.segments, replace(segment, tombstones=gone["bytes"] or 0, longest_path=longest)
             ),
-            n_docs=self.n_docs + added_docs - int(ended_docs),
-            n_tokens=self.n_tokens + added_tokens - int(ended_tokens),
+            n_docs=self.n_docs + added_docs - gone["docs"],
+            n_tokens=self.n_tokens + added_tokens - (gone["tokens"] or 0),
             batches={**self.snapshot.batches, **applied},
             last_seq=max(self.snapshot.last_seq, int(last_seq)),
             quarantined=(*self.snapshot.quarantined, quarantine) if n_bad else self.snapshot.quarantined,
@@ -421,9 +429,16 @@ class StoredIndex(_Totals):
             bucket_of(F.col("term"), buckets)
         )
         home = f"{self.root}/postings/{segment.folder}"
+        # Above the last shuffle, so a task that is repeated counts once.
+        totals = Observation()
         (
             entries.withColumn("bucket", bucket)
             .hint("rebalance", tasks, F.col("bucket"))
+            .observe(
+                totals, F.count(F.when(is_document(), 1)).alias("docs"),
+                F.sum(F.when(is_document(), F.col("dl"))).alias("tokens"),
+                F.max(F.when(is_document(), F.octet_length("path"))).alias("longest"),
+            )
             .sortWithinPartitions("bucket", "term", "path")
             .write.option("compression", "zstd").partitionBy("bucket").parquet(home)
         )
@@ -437,7 +452,8 @@ class StoredIndex(_Totals):
             .write.option("compression", "zstd").partitionBy("bucket")
             .parquet(f"{self.root}/terms/{segment.folder}")
         )
-        return _totals(written.filter(F.col("bucket") == DOCUMENT_BUCKET))
+        seen = totals.get
+        return seen["docs"], seen["tokens"] or 0, seen["longest"] or 0
 
     def _publish(self, **changed) -> "StoredIndex":
         after = replace(self.snapshot, snapshot=self.snapshot.snapshot + 1, **changed)

@@ -74,6 +74,95 @@ def test_fold_without_broadcasts(spark, corpus_of, changes_of, monkeypatch):
     assert {r.path: r.content for r in final.collect()} == simulate(base, log, corpus)
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_few_changes_and_many_give_the_same(spark, corpus_of, changes_of, seed):
+    base, log, corpus = random_log(seed, 60)
+    now, then = corpus_of(corpus), corpus_of(base)
+    rows, pinned = C.pin(changes_of(log))
+    assert pinned
+    good, bad = C.split_loadable(rows, now, EXTENSIONS, True)
+    resolved = C.resolve(C.expand(good, EXTENSIONS), now, EXTENSIONS, True)
+    other_good, other_bad = C.split_loadable(changes_of(log), now, EXTENSIONS)
+    other = C.resolve(C.expand(other_good, EXTENSIONS), now, EXTENSIONS)
+    for here, there in [
+        (bad, other_bad), (good, other_good), (resolved.puts, other.puts),
+        (resolved.deletes, other.deletes), (resolved.prefixes, other.prefixes),
+        (C.touched(then, resolved), C.touched(then, other)), (C.content_of(now, resolved), C.content_of(now, other)),
+    ]:
+        assert here.columns == there.columns
+        assert sorted(map(str, here.collect())) == sorted(map(str, there.collect()))
+
+
+def test_pinned_changes_keep_times_and_nulls(spark):
+    at = datetime(2024, 5, 1, 23, 30, 1, 250)
+    rows = spark.createDataFrame(
+        [(1, at, "delete", "/a", None), (2, None, None, None, "/b")],
+        "seq long, ts timestamp, op string, path string, old_path string",
+    )
+    pinned, few = C.pin(rows)
+    assert few and sorted(pinned.collect()) == sorted(rows.collect())
+    assert C.pin(rows.limit(0))[0].collect() == []
+
+
+def test_more_changes_than_the_limit_stay_distributed(spark, changes_of, monkeypatch):
+    monkeypatch.setattr(C, "PUSHDOWN_LIMIT", 2)
+    rows = changes_of([(i, "delete", f"/{i}") for i in range(3)])
+    assert C.pin(rows) == (rows, False)
+
+
+@pytest.mark.parametrize("limit", [-1, 64 << 20])
+def test_splitting_by_keys_loses_none_and_needs_no_shuffle_of_the_table(spark, monkeypatch, limit):
+    monkeypatch.setattr(J, "BROADCAST_BYTES", limit)
+    table = spark.range(20_000).selectExpr("concat('/d/', id) AS path", "id AS content")
+    keys = spark.range(0, 20_000, 10).selectExpr("concat('/d/', id) AS path")
+    candidates, others = J.split_by_keys(table, keys, "path")
+    found = {r.content for r in candidates.collect()}
+    assert found >= set(range(0, 20_000, 10)) and len(found) < 2_100
+    assert {r.content for r in others.collect()} == set(range(20_000)) - found
+    for part in (candidates, others):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert J.holding(table, keys, "path", False).count() == 2_000
+    assert J.without(table, keys, "path", False).count() == 18_000
+
+
+def test_splitting_by_crowded_bitmaps_is_still_exact(spark, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(J, "FILTER_BITS", 64)
+    rows = [(None, 0), ("", 1), *[(f"/{i}", i) for i in range(2, 200)], ("/7", 200)]
+    table = spark.createDataFrame(rows, "path string, content long")
+    keys = spark.createDataFrame([(f"/{i}",) for i in range(0, 200, 7)] + [("",), ("/nowhere",)], "path string")
+    wanted = {k.path for k in keys.collect()}
+    held = sorted(r.content for r in J.holding(table, keys, "path", False).collect())
+    assert held == [n for p, n in rows if p in wanted]
+    left = sorted(r.content for r in J.without(table, keys, "path", False).collect())
+    assert left == [n for p, n in rows if p not in wanted]
+    none = keys.limit(0)
+    assert J.holding(table, none, "path", False).count() == 0
+    assert J.without(table, none, "path", False).count() == len(rows)
+
+
+def test_cuts_that_are_no_prefix_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_BYTES", -1)
+    rng = random.Random(3)
+    paths = ["/" + "".join(rng.choice("ab/") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    prefixes = sorted({p[: rng.randint(1, len(p))].rstrip("/") or "/" for p in paths[:150]})
+    here = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, n int")
+    there = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    split, seen = J.split_by_keys, {}
+
+    def watch(table, keys, column):
+        kept, others = split(table, keys, column)
+        seen["cuts"], seen["kept"] = table.count(), kept.count()
+        return kept, others
+
+    monkeypatch.setattr(J, "split_by_keys", watch)
+    hits = J.covered_by(here, there)
+    expected = sorted((i, q) for i, p in enumerate(paths) for q in prefixes if p.startswith(q))
+    assert sorted((r.n, r.prefix) for r in hits.collect()) == expected
+    assert seen["kept"] <= len(expected) * 1.01 + 5 < seen["cuts"]
+
+
 def test_batches_give_the_same_index_as_a_fresh_build(spark, tmp_path, corpus_of, changes_of):
     base, log, corpus = random_log(5, 40)
     now = corpus_of(corpus)
