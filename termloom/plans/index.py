@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -112,6 +113,11 @@ class MemoryIndex(_Totals):
         entries = build_entries(_filtered(corpus, extensions)).persist(StorageLevel.MEMORY_AND_DISK)
         return cls([entries], [], _totals(entries.filter(is_document())))
 
+    def close(self) -> None:
+        """Give the layers' memory back; indexes that share them compute theirs anew."""
+        for rows in [*self._layers, *self._ended]:
+            rows.unpersist()
+
     def _rows(self, condition: Column) -> DataFrame:
         rows = reduce(DataFrame.unionByName, [
             layer.filter(condition).withColumn("seg", F.lit(seg))
@@ -222,19 +228,12 @@ class StoredIndex(_Totals):
         is the last change the corpus already contains. Streams start anew:
         whatever batch they bring next is applied.
         """
-        layout = layout_for(input_bytes(corpus))
         kept = _filtered(corpus, extensions)
-        segments, n_docs, n_tokens = [], 0, 0
-        for part in range(layout.parts):
-            mine = kept if layout.parts == 1 else kept.filter(
-                F.pmod(F.xxhash64("path"), F.lit(layout.parts)) == part
-            )
-            segment = self._new_segment(buckets or layout.buckets)
-            docs, tokens, longest = self._write_segment(build_entries(mine), segment, layout.tasks)
-            segments.append(replace(segment, longest_path=longest))
-            n_docs, n_tokens = n_docs + docs, n_tokens + tokens
+        segments, n_docs, n_tokens = self._write_parts(
+            kept, layout_for(input_bytes(corpus)), buckets, build_entries
+        )
         return self._publish(
-            segments=tuple(segments), n_docs=n_docs, n_tokens=n_tokens, batches={}, last_seq=feed_start
+            segments=segments, n_docs=n_docs, n_tokens=n_tokens, batches={}, last_seq=feed_start
         )
 
     # -- reading ----------------------------------------------------------------
@@ -361,21 +360,18 @@ class StoredIndex(_Totals):
         return Applied(after, rejected)
 
     def compact(self, buckets: int | None = None) -> "StoredIndex":
-        """Rewrite the live rows as one segment without tombstones.
+        """Rewrite the live rows without tombstones, in as few segments as a build.
 
         The layout is that of a build over as many tokens, unless given.
         """
-        layout = layout_for(self.n_tokens * TOKEN_BYTES)
-        segment = self._new_segment(buckets or layout.buckets)
         documents = self.docs.select(
             F.lit("").alias("term"), "path", F.lit(0).alias("tf"),
             F.array().cast("array<int>").alias("positions"), "dl",
         )
-        n_docs, n_tokens, longest = self._write_segment(
-            self.postings_for().unionByName(documents), segment, layout.tasks
+        segments, n_docs, n_tokens = self._write_parts(
+            self.postings_for().unionByName(documents), layout_for(self.n_tokens * TOKEN_BYTES), buckets
         )
-        segment = replace(segment, longest_path=longest)
-        return self._publish(segments=(segment,), n_docs=n_docs, n_tokens=n_tokens)
+        return self._publish(segments=segments, n_docs=n_docs, n_tokens=n_tokens)
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete what the latest ``keep`` snapshots do not need.
@@ -417,6 +413,22 @@ class StoredIndex(_Totals):
             raise CommitConflict("the index has moved on: open it again and repeat")
         return Segment(self.snapshot.snapshot + 1, uuid.uuid4().hex, buckets)
 
+    def _write_parts(
+        self, rows: DataFrame, layout: "Layout", buckets: int | None,
+        entries: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> tuple[tuple[Segment, ...], int, int]:
+        """Write ``rows`` as the segments of ``layout``, by a hash of the path; with documents and tokens."""
+        segments, n_docs, n_tokens = [], 0, 0
+        for part in range(layout.parts):
+            mine = rows if layout.parts == 1 else rows.filter(
+                F.pmod(F.xxhash64("path"), F.lit(layout.parts)) == part
+            )
+            segment = self._new_segment(buckets or layout.buckets)
+            docs, tokens, longest = self._write_segment(entries(mine), segment, layout.tasks)
+            segments.append(replace(segment, longest_path=longest))
+            n_docs, n_tokens = n_docs + docs, n_tokens + tokens
+        return tuple(segments), n_docs, n_tokens
+
     def _write_segment(self, entries: DataFrame, segment: Segment, tasks: int) -> tuple[int, int, int]:
         """Write postings and terms of one segment; returns its totals.
 

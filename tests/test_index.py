@@ -166,6 +166,31 @@ def test_a_large_build_makes_several_segments(spark, root, corpus_of, monkeypatc
     assert found(index, "word3") == {f"{i}.txt" for i in range(40) if i % 7 == 3}
 
 
+def test_a_large_rewrite_makes_several_segments(spark, root, corpus_of, changes_of, monkeypatch):
+    files = {f"{i}.txt": f"word{i % 7} gull" for i in range(40)}
+    corpus = corpus_of(files)
+    index = StoredIndex.open(spark, root).build(corpus)
+    index = index.apply(changes_of([(0, "delete", "3.txt"), (1, "modify", "10.txt")]), corpus, ["txt"]).index
+    assert len(index.snapshot.segments) == 2 and (index.n_docs, index.n_tokens) == (39, 78)
+    monkeypatch.setattr(I, "SEGMENT_BYTES", 200)
+    index = index.compact()
+    assert len(index.snapshot.segments) == 4 and (index.n_docs, index.n_tokens) == (39, 78)
+    assert not any(s.tombstones for s in index.snapshot.segments)
+    assert {r.term: r.df for r in index.terms_for().collect()}["gull"] == 39
+    assert found(index, "word3") == {f"{i}.txt" for i in range(40) if i % 7 == 3 and i != 3}
+
+
+def test_a_closed_memory_index_holds_no_memory(corpus_of, changes_of):
+    corpus = corpus_of({"a.txt": "gull tern", "b.txt": "gull"})
+    first = I.MemoryIndex.build(corpus)
+    second = first.apply(changes_of([(0, "delete", "a.txt")]), corpus, ["txt"]).index
+    held = [*second._layers, *second._ended]
+    assert all(rows.storageLevel.useMemory for rows in held)
+    second.close()
+    assert not any(rows.storageLevel.useMemory for rows in held)
+    assert second.docs.count() == 1 and first.docs.count() == 2
+
+
 def test_a_hot_term_is_split_and_changes_use_many_tasks(spark, root, corpus_of, changes_of):
     """Every document holds one word; its postings must not all be in one file."""
     keys = {
