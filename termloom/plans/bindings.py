@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +168,37 @@ def listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return hashed(docs), hashed(after)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """One text file per ``doc_id`` of a task's rows ``(doc_id, content BINARY)``; the number of files.
+
+    A value is followed by a line end, as Spark's text writer has it. The tasks write
+    ``<root>/task=T/NNNN/doc_id=D.txt`` themselves, a thousand files a folder, so
+    nothing is left for the driver to rename; a task that is repeated writes the same files.
+    """
+    arrow_fs.FileSystem.from_uri(root)[0].create_dir(arrow_fs.FileSystem.from_uri(root)[1], recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = arrow_fs.FileSystem.from_uri(root)
+        home, n, last, out = f"{base}/task={TaskContext.get().partitionId():05d}", 0, None, None
+        for batch in batches:
+            first = n
+            for doc_id, content in zip(*(column.to_pylist() for column in batch.columns)):
+                if out is None or doc_id != last:
+                    if out is not None:
+                        out.close()
+                    folder = f"{home}/{n // 1000:04d}"
+                    if n % 1000 == 0:
+                        system.create_dir(folder, recursive=True)
+                    out, last, n = system.open_output_stream(f"{folder}/doc_id={doc_id}.txt"), doc_id, n + 1
+                out.write((content or b"") + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([n - first], pa.int64())], ["files"])
+        if out is not None:
+            out.close()
+
+    rows = files.select("doc_id", "content").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def change_files(files: DataFrame, root: str) -> int:
     """Write, move or delete the files ``(path, content, moved_to)`` below ``root``; their number.
 

@@ -68,13 +68,10 @@ def corpus_rejects(spark, sf_dir):
     root = B.new_root(spark, "rejects")
     raw = F.encode("text", "utf-8")
     spoilt = F.concat(raw, F.lit(b"\xff\xfe"))
-    (
-        spark.read.parquet(f"{sf_dir}/documents.parquet")
-        .select("doc_id", F.when(F.col("doc_id") % 3 == 2, spoilt).otherwise(raw).cast("string").alias("value"))
-        .write.partitionBy("doc_id").text(root)
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    B.write_files(docs.select("doc_id", F.when(F.col("doc_id") % 3 == 2, spoilt).otherwise(raw).alias("content")), root)
     rejected = S.rejected_files(spark, root, ["txt"], LONGEST_FILE)
-    doc_id = F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    doc_id = F.regexp_extract("path", r"/doc_id=(\d+)\.txt$", 1).cast("long").alias("doc_id")
     return rejected.select(doc_id, "n_bytes", "reason")
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import paths as P
 from termloom.operators.joins import fits_broadcast, holding, narrow
-
+from termloom.session import shared_dir
+from termloom.sources.tree import MAX_TASKS, kept_entries, list_tree
 
 # Longer files are set aside unread: a file is one value, which cannot exceed 2 GB.
 MAX_FILE_BYTES = 512 << 20
+FILES_PER_TASK, READ_BYTES = 4096, 128 << 20  # what one task reads of a listed tree
 
 
 def _files(spark: SparkSession, root: str, extensions: list[str] | None) -> DataFrame:
@@ -44,16 +51,51 @@ def rejected_files(
 ) -> DataFrame:
     """``(path, n_bytes, reason)`` of every file that ``load_directory`` leaves out.
 
-    Long files are known from the listing; content is never kept.
+    The tree is listed by tasks into a table, and each file is read once. Long
+    files are known from the listing; content is never kept.
     """
-    listed = _files(spark, root, extensions).select("path", F.col("length").alias("n_bytes"))
-    long = listed.filter(F.col("n_bytes") > longest).select("*", F.lit("too long").alias("reason"))
-    state = scan_files(spark, root, extensions, longest).select(
-        "path", _utf8("content").isNotNull().alias("valid")
+    store = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
+    list_tree(spark, root, store, extensions or None)
+    files = kept_entries(spark, store).select("path", F.col("length").alias("n_bytes"))
+    short = F.col("n_bytes") <= longest
+    count, n_bytes = files.agg(F.count(F.when(short, 1)), F.coalesce(F.sum(F.when(short, F.col("n_bytes"))), F.lit(0))).first()
+    tasks = min(max(1, -(-count // FILES_PER_TASK), -(-n_bytes // READ_BYTES)), MAX_TASKS)
+    held = files.filter(short).repartition(tasks).mapInArrow(_reader(), "path string, n_bytes long, content binary")
+    unread = F.when(F.col("content").isNull(), "unreadable").otherwise("invalid UTF-8")
+    left_out = files.filter(F.col("n_bytes") > longest).select("*", F.lit("too long").alias("reason")).unionByName(
+        held.filter(_utf8("content").isNull()).select("path", "n_bytes", unread.alias("reason"))
     )
-    rest = listed.filter(F.col("n_bytes") <= longest).join(state, "path", "left").filter("valid IS NULL OR NOT valid")
-    reason = F.when(F.col("valid").isNull(), "unreadable").otherwise("invalid UTF-8")
-    return long.unionByName(rest.select("path", "n_bytes", reason.alias("reason")))
+    return left_out.withColumn("path", P.normalize(F.col("path")))
+
+
+def _reader(rows: int = 256, size: int = 8 << 20):
+    """Listed files to their bytes, null where a file cannot be read; self-contained."""
+    schema = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("content", pa.binary())])
+
+    def content(path: str) -> bytes | None:
+        try:
+            if path.startswith("/"):
+                with open(path, "rb") as file:
+                    return file.read()
+            system, inner = arrow_fs.FileSystem.from_uri(path)
+            with system.open_input_stream(inner, compression=None) as file:
+                return file.read()
+        except OSError:
+            return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for path, n_bytes in zip(*(column.to_pylist() for column in batch.columns)):
+                found.append((path, n_bytes, content(path)))
+                held += len(found[-1][2] or b"")
+                if len(found) == rows or held > size:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+                    found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return read
 
 
 def readable(files: DataFrame) -> DataFrame:

@@ -103,5 +103,10 @@ def list_tree(spark: SparkSession, root: str, store: str, extensions: list[str]
 
 def read_listing(spark: SparkSession, store: str) -> DataFrame:
     """A listing that ``list_tree`` kept."""
+    return kept_entries(spark, store).withColumn("path", P.normalize(F.col("path")))
+
+
+def kept_entries(spark: SparkSession, store: str) -> DataFrame:
+    """The same under the paths at which the files can be opened."""
     files = spark.read.schema(_ENTRIES).parquet(f"{store}/level=*").filter("NOT is_dir")
-    return files.select(P.normalize(F.col("path")).alias("path"), "length", "mtime")
+    return files.select("path", "length", "mtime")

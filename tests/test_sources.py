@@ -53,3 +53,30 @@ def test_load_by_path(spark, corpus_of):
     got = sorted((r.path, r.content, r.found) for r in S.load_by_path(requests, corpus).collect() if r.found)
     assert got == [("/a.txt", "one", True), ("/a.txt", "one", True), ("/b.txt", "", True)]
     assert S.load_by_path(requests, corpus).filter("NOT found").collect()[0].path == "/c.txt"
+
+
+def test_rejects_list_and_read_the_tree_once_in_tasks(spark, tmp_path, monkeypatch):
+    """Neither a listing by Spark's reader, which the driver holds, nor a second pass."""
+    from termloom.plans import bindings as B
+
+    root = f"{tmp_path}/files"
+    rows = [(1, b"fine"), (1, b"twice"), (2, b"\xff\xfe"), (3, b"x" * 500), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, content binary").coalesce(1)
+    assert B.write_files(docs, root) == 4
+    monkeypatch.setattr(S, "_files", lambda *a: 1 / 0)
+    rejected = S.rejected_files(spark, root, ["txt"], longest=100)
+    assert {(os.path.basename(r.path), r.n_bytes, r.reason) for r in rejected.collect()} == {
+        ("doc_id=2.txt", 3, "invalid UTF-8"), ("doc_id=3.txt", 501, "too long"),
+    }
+    assert rejected.first().path.startswith(f"{root}/")
+    monkeypatch.undo()
+    texts = {"\n".join(sorted(r.content.split("\n"))) for r in S.load_directory(spark, root, ["txt"]).collect()}
+    assert "\nfine\ntwice" in texts and "\n" in texts
+
+
+def test_a_file_that_vanishes_after_the_listing_is_unreadable(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("one")
+    rejected = S.rejected_files(spark, str(tmp_path), ["txt"])
+    (tmp_path / "b.txt").unlink()
+    assert [(os.path.basename(r.path), r.n_bytes, r.reason) for r in rejected.collect()] == [("b.txt", 3, "unreadable")]
