@@ -22,12 +22,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from termloom.functions.scoring import idf, saturation
 from termloom.operators.clauses import analysed
-from termloom.operators.joins import BROADCAST_BYTES, narrow, salted_join
+from termloom.operators.joins import BROADCAST_BYTES, narrow, salted_join, split_by_keys
 from termloom.session import shared_dir
 
 BROADCAST_ROWS = 200_000
 LITERAL_CLAUSES = 10_000
 LITERAL_WORDS = 10_000
+WHOLE_LISTS = 2  # lists are read whole when lookups are more than this part of them
 SCORED_KINDS = ["term", "phrase", "phrase_prefix"]
 CONSTANT_KINDS = ["term_set", "prefix", "term_range"]
 PREFIX_KINDS = ["phrase_prefix", "prefix"]
@@ -207,20 +208,23 @@ def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
 def _near_rarest(postings: DataFrame, words: DataFrame, small: bool, longest_path: int) -> DataFrame:
     """Postings of phrase words, kept to documents that hold the rarest one.
 
-    The rarest word of each clause bounds its candidates. Clauses are taken by
-    rising number of lookups (candidates times words) as long as all of them
-    together may be broadcast: of these exactly those (term, document) pairs are
-    looked up, so long lists of common words are cut before any shuffle. Only the
-    clauses beyond, all of whose words are frequent, read their lists whole.
+    The rarest word of each clause bounds its candidates, and exactly the
+    (term, document) pairs of candidates are looked up, so long lists of common
+    words are cut before any shuffle. Clauses are taken by rising number of
+    lookups (candidates times words) into a broadcast as long as all of them
+    together fit; the others are joined by shuffle, behind a filter of pair hashes.
+    Only a clause whose lookups come near its whole lists (all its words are
+    frequent) reads them whole. A clause with a word that is nowhere is left out.
     """
     if not small:
         return _join_words(postings, words, small)
     shared_dir(words.sparkSession)
     words = words.checkpoint()  # read several times; few enough to be broadcast
-    rarest = words.groupBy("qid", "clause_id", "n_terms").agg(
-        F.min(F.struct("df", "term")).alias("_r")
-    ).select(
-        "qid", "clause_id", "_r.term", (F.col("_r.df") * F.col("n_terms")).alias("_lookups"),
+    clause = ["qid", "clause_id"]
+    rarest = words.groupBy(*clause, "n_terms").agg(
+        F.min(F.struct("df", "term")).alias("_r"), F.sum("df").alias("_whole"), F.count(F.lit(1)).alias("_n")
+    ).filter("_n = n_terms").select(
+        *clause, "_r.term", (F.col("_r.df") * F.col("n_terms")).alias("_lookups"), "_whole",
         F.ceil(F.log2(F.col("_r.df") * F.col("n_terms"))).alias("_size"),
     )
     # One row per power of two.
@@ -228,19 +232,30 @@ def _near_rarest(postings: DataFrame, words: DataFrame, small: bool, longest_pat
     allowed = min(BROADCAST_ROWS, BROADCAST_BYTES // (longest_path + 200))
     sums = list(accumulate(row["n"] for row in sizes))
     fitting = [row["_size"] for row, total in zip(sizes, sums) if total <= allowed]
-    if not fitting:
-        return _join_words(postings, words, small)
-    looked_up = F.col("_size") <= fitting[-1]
-    holders = postings.join(
-        F.broadcast(rarest.filter(looked_up).select("qid", "clause_id", "term")), "term"
-    ).select("qid", "clause_id", "path")
-    wanted = holders.join(F.broadcast(words), ["qid", "clause_id"])
-    found = postings.join(F.broadcast(wanted), ["term", "path"])
+    looked_up = F.col("_size") <= F.lit(fitting[-1] if fitting else -1)
+    whole = ~looked_up & (F.col("_lookups") * WHOLE_LISTS > F.col("_whole"))
+
+    def candidates(clauses: DataFrame) -> DataFrame:
+        met = postings.join(F.broadcast(clauses.select(*clause, "term")), "term")
+        return met.select(*clause, "path")
+
+    def wanted(holders: DataFrame) -> DataFrame:
+        return holders.join(F.broadcast(words), clause)
+
+    # Always there, so that the columns are known; empty when nothing fits.
+    found = postings.join(F.broadcast(wanted(candidates(rarest.filter(looked_up)))), ["term", "path"])
     if len(fitting) == len(sizes):
         return found
-    beyond = words.join(F.broadcast(rarest.filter(~looked_up).select("qid", "clause_id")), ["qid", "clause_id"], "left_semi")
-    whole = _join_words(narrow(postings, "term", beyond.select("term")), beyond, small)
-    return found.unionByName(whole.select(*found.columns))
+    beyond = words.join(F.broadcast(rarest.filter(whole).select(*clause)), clause, "left_semi")
+    read_whole = _join_words(narrow(postings, "term", beyond.select("term")), beyond, small)
+    found = found.unionByName(read_whole.select(*found.columns))
+    many = rarest.filter(~looked_up & ~whole)
+    if many.isEmpty():
+        return found
+    asked = wanted(candidates(many).checkpoint())
+    pair = F.xxhash64("term", "path").alias("_pair")
+    held = split_by_keys(postings.select("*", pair), asked.select(pair), "_pair")[0].drop("_pair")
+    return found.unionByName(held.join(asked, ["term", "path"]).select(*found.columns))
 
 
 def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False) -> DataFrame:

@@ -184,6 +184,27 @@ def test_phrases_are_looked_up_or_read_whole_clause_by_clause(spark, index, file
     assert few <= sum(read_whole) <= most
 
 
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 0])
+def test_many_lookups_do_not_read_the_lists_of_frequent_words(spark, monkeypatch, filter_bytes):
+    """Beyond the broadcast too, only pairs of a candidate and a word reach the matching."""
+    texts = {f"/{i}.txt": "in the end of it all" + (f" rare{i}" if i < 3 else "") for i in range(60)}
+    texts["/x.txt"] = "all rare1 it of"
+    index = MemoryIndex.build(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    phrases = [Clause(q, 0, kind="phrase", terms=[f"of it all rare{q}"]) for q in range(3)]
+    phrases.append(Clause(7, 0, kind="phrase", terms=["the end"]))  # frequent words only
+    phrases.append(Clause(8, 0, kind="phrase", terms=["the nowhere"]))
+    received, plainly = [], M._phrase_frequency
+    monkeypatch.setattr(M, "_phrase_frequency", lambda found, *a: received.append(found) or plainly(found, *a))
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("termloom.operators.joins.BROADCAST_BYTES", filter_bytes)
+    got = collected(matches(index, phrases))
+    assert {q: set(hits) for q, hits in got.items()} == {
+        0: {"/0.txt"}, 1: {"/1.txt"}, 2: {"/2.txt"}, 7: {f"/{i}.txt" for i in range(60)},
+    }
+    counts = {r.qid: r["count"] for r in received[0].groupBy("qid").count().collect()}
+    assert counts == {0: 4, 1: 8, 2: 4, 7: 120}
+
+
 def test_a_stored_index_with_changes_gives_the_same(spark, files, tmp_path):
     """Two segments and tombstones: some documents came late, some changed, some went."""
     order = sorted(files)
