@@ -28,6 +28,7 @@ from termloom.session import shared_dir
 BROADCAST_ROWS = 200_000
 LITERAL_CLAUSES = 10_000
 LITERAL_WORDS = 10_000
+LOOSE_STEPS = 1 << 18  # positions compared for a loose phrase inside one row; longer documents go by windows
 WHOLE_LISTS = 2  # lists are read whole when lookups are more than this part of them
 SCORED_KINDS = ["term", "phrase", "phrase_prefix"]
 CONSTANT_KINDS = ["term_set", "prefix", "term_range"]
@@ -258,6 +259,21 @@ def _near_rarest(postings: DataFrame, words: DataFrame, small: bool, longest_pat
     return found.unionByName(held.join(asked, ["term", "path"]).select(*found.columns))
 
 
+def _chains() -> Column:
+    """Of ``found``, every start with the end of its nearest chain through all later words."""
+    begin = F.transform(
+        F.get("found", F.lit(0))["positions"], lambda p: F.struct(p.alias("start"), p.alias("at"))
+    )
+
+    def step(acc: Column, f: Column) -> Column:
+        moved = F.transform(acc, lambda a: F.struct(
+            a["start"].alias("start"), F.array_min(F.filter(f["positions"], lambda p: p > a["at"])).alias("at")
+        ))
+        return F.filter(moved, lambda a: a["at"].isNotNull())
+
+    return F.aggregate(F.slice("found", 2, F.size("found")), begin, step)
+
+
 def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False) -> DataFrame:
     """``(…, path, tf, dl, weight)`` for clauses whose words all fall in place.
 
@@ -288,12 +304,19 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
         return exact.filter("tf > 0").select(*columns)
     grouped = grouped.withColumn("offsets", F.col("found.offset"))
     loose = grouped.filter("slop > 0")
-    # A loose match spans at most n_terms + slop positions, so positions are
-    # put into windows of that width (own and previous one); each window
+    steps = F.size(F.get("found", F.lit(0))["positions"]).cast("long") * F.aggregate(
+        "found", F.lit(0), lambda n, f: n + F.size(f["positions"])
+    )
+    span = F.try_element_at(F.col("offsets"), F.lit(-1)) + 1 + F.col("slop")
+    # Exploded, so that the filter on it does not work it out a second time.
+    in_row = F.explode(F.array(F.size(F.filter(_chains(), lambda a: a["at"] - a["start"] < span))))
+    near = loose.filter(steps <= LOOSE_STEPS).select("*", in_row.alias("tf"))
+    loose = loose.filter(steps > LOOSE_STEPS)
+    # A loose match spans at most n_terms + slop positions, so positions of a
+    # document too long for that are put into windows of that width (own and previous one); each window
     # is then small whatever the document length.
-    width = F.try_element_at(F.col("offsets"), F.lit(-1)) + 1 + F.col("slop")
     spots = loose.select(
-        *keys, "offsets", "weight", width.alias("width"),
+        *keys, "offsets", "weight", span.alias("width"),
         F.inline(F.flatten(F.transform(
             "found",
             lambda f: F.transform(
@@ -332,9 +355,9 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
     counted = windows.withColumn("tf", F.size(hit)).groupBy(*[k for k in keys if k not in ("slop", "n_terms")]).agg(
         F.sum("tf").cast("int").alias("tf"), F.first("weight").alias("weight")
     )
-    return exact.filter("slop = 0 AND tf > 0").select(*columns).unionByName(
-        counted.filter("tf > 0").select(*columns)
-    )
+    return reduce(DataFrame.unionByName, [
+        part.filter("tf > 0").select(*columns) for part in (exact.filter("slop = 0"), near, counted)
+    ])
 
 
 def _scored_hits(index, query: Prepared) -> list[DataFrame]:

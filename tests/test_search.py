@@ -184,6 +184,17 @@ def test_phrases_are_looked_up_or_read_whole_clause_by_clause(spark, index, file
     assert few <= sum(read_whole) <= most
 
 
+@pytest.mark.parametrize("steps", [-1, 3, 1 << 18])
+def test_loose_phrases_in_a_row_and_by_windows(spark, index, files, monkeypatch, steps):
+    """The same matches however long a document may be to be matched inside its row."""
+    monkeypatch.setattr(M, "LOOSE_STEPS", steps)
+    texts = [("x y", 1), ("y x", 3), ("x x", 2), ("alpha x beta", 4), ("x y", 0)]
+    phrases = [Clause(q, 0, kind="phrase", terms=[t], slop=n) for q, (t, n) in enumerate(texts)]
+    plain = Plain(files)
+    want = {c.qid: plain.query([c]) for c in phrases}
+    same(collected(matches(index, phrases)), {q: hits for q, hits in want.items() if hits})
+
+
 @pytest.mark.parametrize("filter_bytes", [64 << 20, 0])
 def test_many_lookups_do_not_read_the_lists_of_frequent_words(spark, monkeypatch, filter_bytes):
     """Beyond the broadcast too, only pairs of a candidate and a word reach the matching."""
