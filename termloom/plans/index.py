@@ -39,7 +39,8 @@ from termloom.operators.postings import build_entries, is_document, term_stats
 from termloom.sources import storage
 
 DOCUMENT_BUCKET = -1
-TASK_BYTES = 1 << 30  # text behind one reduce partition
+TASK_BYTES = 1 << 30  # text behind one reduce partition, at most
+FINE_BYTES, FINE_TASKS = 16 << 20, 1024  # and while there are not too many of them
 MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 MAX_TASKS = 20_000  # reduce partitions of one shuffle
 SEGMENT_BYTES = MAX_TASKS * TASK_BYTES  # text behind one segment of a build
@@ -496,9 +497,14 @@ class Layout:
 
 
 def layout_for(text_bytes: int) -> Layout:
-    """About ``TASK_BYTES`` of text behind each reduce partition, within the bounds."""
+    """Text behind each reduce partition: ``FINE_BYTES`` up to ``FINE_TASKS`` of them, then up to ``TASK_BYTES``.
+
+    A posting takes many times its text while it is sorted, so that a fine
+    partition is sorted without a spill.
+    """
     parts = max(1, -(-text_bytes // SEGMENT_BYTES))
-    tasks = min(max(-(-text_bytes // (parts * TASK_BYTES)), MIN_BUCKETS), MAX_TASKS)
+    fine = min(-(-text_bytes // FINE_BYTES), FINE_TASKS)
+    tasks = min(max(-(-text_bytes // (parts * TASK_BYTES)), fine, MIN_BUCKETS), MAX_TASKS)
     return Layout(parts, min(tasks, MAX_BUCKETS), tasks)
 
 

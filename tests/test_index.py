@@ -228,3 +228,9 @@ def test_many_clauses_are_pruned_like_few(spark, root, corpus_of):
         scans = [line for line in plan.split("\n") if "FileScan" in line and "tf:int" in line]
         assert scans and all(re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = ", s) for s in scans), n
         assert all(re.search(r"PushedFilters: \[[^]]*EqualTo\(term,gull\)", s) for s in scans), n
+
+
+@pytest.mark.parametrize("size,tasks", [(1 << 30, 64), (6 << 30, 384), (16 << 30, 1024), (100 << 30, 1024)])
+def test_partitions_of_a_build_are_small_enough_to_sort(size, tasks):
+    """Many fine partitions while they are few, whatever adaptive execution makes of them."""
+    assert I.layout_for(size) == I.Layout(1, tasks, tasks)
