@@ -1,16 +1,27 @@
 """Postings, document lengths and term statistics.
 
-Everything about one document comes from its own row: tokens are sorted and
-cut into runs inside the row, so building postings needs no shuffle and the
-document length travels with each posting.
+Everything about one document comes from its own row, so building postings needs
+no shuffle and the document length travels with each posting. Words are found and
+lower-cased by native expressions; the positions of equal words are then brought
+together for many documents at a time, as Arrow columns.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import tokens
+from termloom.functions.analysis import TOKEN_BYTE_LIMIT, spaced, tokens
+
+ENTRIES = "term string, path string, tf int, positions array<int>, dl int"
+TEXT_AT_ONCE = 4 << 20  # bytes of text taken together, unless one document has more
+ROWS_AT_ONCE = 1 << 16  # postings handed back together
 
 
 def is_document() -> Column:
@@ -23,36 +34,95 @@ def tokenize(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", F.inline(tokens(F.col("content")))).select("path", "pos", "term")
 
 
-def build_entries(corpus: DataFrame) -> DataFrame:
-    """Postings plus one document row (empty term) per document."""
-    per_doc = corpus.select(
-        "path", F.sort_array(tokens(F.col("content"))).alias("tokens")
-    ).select(
-        "path",
-        F.col("tokens.term").alias("words"),
-        F.col("tokens.pos").alias("places"),
-        F.size("tokens").alias("dl"),
-    )
-    # Equal words are neighbours after sorting: a run starts where a word
-    # differs from the one before it, and ends where the next run starts.
-    runs = per_doc.withColumn(
-        "starts",
-        F.expr("filter(sequence(0, dl), i -> i < dl AND (i = 0 OR get(words, i) <> get(words, i - 1)))"),
-    )
-    postings = F.expr(
-        """transform(starts, (b, k) -> struct(
-             get(words, b) AS term,
-             slice(places, b + 1, coalesce(get(starts, k + 1), dl) - b) AS positions))"""
-    )
-    document_row = F.expr(
-        "array(struct('' AS term, cast(array() AS array<int>) AS positions))"
-    )
-    return (
-        runs.select("path", "dl", F.inline(F.concat(document_row, postings)))
-        .select(
-            "term", "path", F.size("positions").alias("tf"), "positions", "dl"
-        )
-    )
+def build_entries(corpus: DataFrame, buckets: int = 1) -> DataFrame:
+    """Postings plus one document row (empty term) per document.
+
+    The postings of documents taken together come by bucket of the term (see
+    ``bucket_of``), term and path: runs that a later sort only has to merge.
+    """
+    texts = corpus.select("path", spaced(F.col("content")).alias("written"))
+    return texts.select("path", "written", F.lower("written").alias("lowered")).mapInArrow(_entries(buckets), ENTRIES)
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def _entries(buckets: int, limit: int = TEXT_AT_ONCE, size: int = ROWS_AT_ONCE):
+    """Spaced texts ``(path, written, lowered)`` to entries; self-contained."""
+    longest = TOKEN_BYTE_LIMIT
+    schema = pa.schema([
+        ("term", pa.string()), ("path", pa.string()), ("tf", pa.int32()),
+        ("positions", pa.list_(pa.int32())), ("dl", pa.int32()),
+    ])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same rows, dealt anew: about ``limit`` bytes of text in each batch."""
+        held, n_bytes = [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            done = 0
+            while done < batch.num_rows:
+                before = int(ends[done - 1]) if done else 0
+                upto = max(int(np.searchsorted(ends, before + limit - n_bytes, "right")), done + (not held))
+                if upto > done:
+                    held.append(batch.slice(done, upto - done))
+                    n_bytes, done = n_bytes + int(ends[upto - 1]) - before, upto
+                if done < batch.num_rows:
+                    yield pa.concat_batches(held)
+                    held, n_bytes = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def rank(order: np.ndarray) -> np.ndarray:
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.arange(len(order))
+        return ranks
+
+    def by_bucket(terms: pa.Array) -> np.ndarray:
+        order = pc.sort_indices(terms).to_numpy()
+        if buckets == 1:
+            return order
+        ends, data = np.frombuffer(terms.buffers()[1], np.int32)[: len(terms) + 1].tolist(), memoryview(terms.buffers()[2])
+        homes = np.array([zlib.crc32(data[a:b]) % buckets for a, b in zip(ends, ends[1:])], np.int64)
+        return order[np.argsort(homes[order], kind="stable")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in together(batches):
+            paths, docs = batch.column(0).cast(pa.string()), batch.num_rows
+            written, lowered = (pc.split_pattern(text, " ") for text in batch.columns[1:])
+            n = pc.list_value_length(written).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(n) - n
+            n_bytes = pc.binary_length(written.flatten()).to_numpy(zero_copy_only=False)
+            # Numbered before long words are left out; an empty first piece is no word.
+            place = np.arange(len(n_bytes)) - np.repeat(first + (n_bytes[first] == 0), n)
+            kept = (n_bytes > 0) & (n_bytes < longest)
+            doc, place = np.repeat(np.arange(docs), n)[kept], place[kept].astype(np.int32)
+            dl = np.bincount(doc, minlength=docs).astype(np.int32)
+            by_path = pc.sort_indices(paths, null_placement="at_start").to_numpy()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([""] * docs, pa.string()), paths.take(pa.array(by_path)), pa.array(np.zeros(docs, np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.zeros(docs + 1, np.int32)), pa.array([], pa.int32())),
+                pa.array(dl[by_path]),
+            ], schema=schema)
+            if not len(doc):
+                continue
+            coded = lowered.flatten().filter(pa.array(kept)).cast(pa.string()).dictionary_encode()
+            terms, term = coded.dictionary, coded.indices.to_numpy()
+            key = rank(by_bucket(terms))[term] * docs + rank(by_path)[doc]
+            order = np.argsort(key, kind="stable")  # so that places stay in order
+            key = key[order]
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            offsets = np.append(begins, len(key)).astype(np.int32)
+            mine = doc[order[begins]]
+            entries = pa.RecordBatch.from_arrays([
+                terms.take(pa.array(term[order[begins]])), paths.take(pa.array(mine)), pa.array(np.diff(offsets)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order])), pa.array(dl[mine]),
+            ], schema=schema)
+            for at in range(0, entries.num_rows, size):
+                yield entries.slice(at, size)
+
+    return run
 
 
 def build_postings(corpus: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
 from termloom.operators.joins import BROADCAST_BYTES, ROW_BYTES
-from termloom.operators.postings import build_entries, is_document, term_stats
+from termloom.operators.postings import bucket_of, build_entries, is_document, term_stats
 from termloom.sources import storage
 
 DOCUMENT_BUCKET = -1
@@ -186,10 +186,6 @@ class Snapshot:
         return cls(**raw)
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
-
-
 class StoredIndex(_Totals):
     """An index on disk, read at one snapshot."""
 
@@ -346,7 +342,9 @@ class StoredIndex(_Totals):
             .write.parquet(f"{self.root}/tombstones/{segment.folder}")
         )
         gone = ended.get
-        added_docs, added_tokens, longest = self._write_segment(build_entries(added), segment, layout.tasks)
+        added_docs, added_tokens, longest = self._write_segment(
+            build_entries(added, segment.buckets), segment, layout.tasks
+        )
         applied = {} if batch_id is None else {stream: batch_id}
         after = self._publish(
             segments=(
@@ -416,7 +414,7 @@ class StoredIndex(_Totals):
 
     def _write_parts(
         self, rows: DataFrame, layout: "Layout", buckets: int | None,
-        entries: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+        entries: Callable[[DataFrame, int], DataFrame] = lambda rows, buckets: rows,
     ) -> tuple[tuple[Segment, ...], int, int]:
         """Write ``rows`` as the segments of ``layout``, by a hash of the path; with documents and tokens."""
         segments, n_docs, n_tokens = [], 0, 0
@@ -425,7 +423,7 @@ class StoredIndex(_Totals):
                 F.pmod(F.xxhash64("path"), F.lit(layout.parts)) == part
             )
             segment = self._new_segment(buckets or layout.buckets)
-            docs, tokens, longest = self._write_segment(entries(mine), segment, layout.tasks)
+            docs, tokens, longest = self._write_segment(entries(mine, segment.buckets), segment, layout.tasks)
             segments.append(replace(segment, longest_path=longest))
             n_docs, n_tokens = n_docs + docs, n_tokens + tokens
         return tuple(segments), n_docs, n_tokens
