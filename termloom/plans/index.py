@@ -44,6 +44,7 @@ FINE_BYTES, FINE_TASKS = 16 << 20, 1024  # and while there are not too many of t
 MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 MAX_TASKS = 20_000  # reduce partitions of one shuffle
 SEGMENT_BYTES = MAX_TASKS * TASK_BYTES  # text behind one segment of a build
+SPREAD_BYTES = 64 << 30  # text that may be moved once more before it is tokenised
 UNKNOWN_BYTES = 1 << 60  # Spark's estimates from here on say that it does not know
 TOKEN_BYTES = 8  # text behind one token, for layouts of what is indexed already
 
@@ -324,7 +325,10 @@ class StoredIndex(_Totals):
             return Applied(self, bad)
         resolved = C.resolve(C.expand(good, extensions), corpus, extensions, pinned)
         added = C.content_of(corpus, resolved)
-        layout = layout_for(_text_bytes(added))
+        size = _text_bytes(added)
+        layout = layout_for(size)
+        if size > FINE_BYTES:  # less is one task's work
+            added = _spread(added, size)
         segment = self._new_segment(buckets or layout.buckets)
         quarantine = f"quarantine/{segment.folder}"
         rejected = bad
@@ -520,16 +524,18 @@ def input_bytes(corpus: DataFrame) -> int:
     return size if size < UNKNOWN_BYTES else _text_bytes(corpus)
 
 
-def _spread(corpus: DataFrame) -> DataFrame:
-    """Redistribute a small corpus held in fewer files than there are cores.
+def _spread(corpus: DataFrame, size: int | None = None) -> DataFrame:
+    """Redistribute a corpus of ``size`` bytes that is held in fewer files than there are cores.
 
-    Small is what fits one read task per core; anything larger is split by
-    the reader itself and never moved before it is tokenised.
+    A file is split no finer than its row groups, and one may hold a million
+    documents. A corpus in more files, or above ``SPREAD_BYTES``, is read as it
+    lies and never moved before it is tokenised.
     """
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
     per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    # The list of files comes to the driver only for a corpus known to be small.
-    if input_bytes(corpus) > cores * per_task or not 0 < len(corpus._jdf.inputFiles()) < cores:
+    size = input_bytes(corpus) if size is None else size
+    # The list of files comes to the driver only for a corpus of a bounded size.
+    if size > SPREAD_BYTES or not 0 < len(corpus._jdf.inputFiles()) < cores:
         return corpus
-    return corpus.repartition(3 * cores, "path")
+    return corpus.repartition(min(max(3 * cores, -(-size // per_task)), MAX_TASKS), "path")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.analysis import tokens
 from termloom.operators import postings as O
+from termloom.plans import index as I
 
 ODD = [*"aBcZ09 .,-'’ΣσςΑİıß中字٣½\n\t_", "́", "\U00010400", "\U0001F600", "ẞ", "Ⅻ", "x" * 39, "é" * 20, "Ⱥ" * 20, "K" * 14]
 
@@ -55,3 +56,27 @@ def test_documents_are_dealt_by_their_text(limit, rows_a_batch):
         *[("", str(i), 0, [], n) for i, n in enumerate([3, 0, 1, 1, 3, 0, 0, 1])],
     ])
     assert list(O._entries(3)(iter([]))) == []
+
+
+def test_one_file_is_tokenised_by_all_cores(spark, tmp_path, changes_of, monkeypatch):
+    """A file of one row group, of whatever size, for a build and for changes."""
+    files = {f"/{i}.txt": f"gull word{i}" for i in range(300)}
+    spark.createDataFrame(list(files.items()), "path string, content string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    corpus = spark.read.parquet(str(tmp_path / "c"))
+    tasks = []
+
+    def counted(rows, buckets=1):
+        tasks.append(rows.select(F.spark_partition_id()).distinct().count())
+        return O.build_entries(rows, buckets)
+
+    monkeypatch.setattr(I, "build_entries", counted)
+    monkeypatch.setattr(I, "FINE_BYTES", 100)
+    per_task = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        index = I.StoredIndex.open(spark, str(tmp_path / "index")).build(corpus)
+        index = index.apply(changes_of([(i, "modify", path) for i, path in enumerate(files)]), corpus, ["txt"]).index
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", per_task)
+    assert len(tasks) == 2 and min(tasks) > 8
+    assert (index.n_docs, index.n_tokens) == (300, 600) and index.docs.distinct().count() == 300
