@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from termloom.functions.scoring import idf, saturation
 from termloom.operators.clauses import analysed
 from termloom.operators.joins import BROADCAST_BYTES, narrow, salted_join, split_by_keys
+from termloom.operators.sums import best_sums
 from termloom.session import shared_dir
 
 BROADCAST_ROWS = 200_000
@@ -50,6 +51,7 @@ class Prepared:
     prefix_lengths: tuple[int, ...]
     words: tuple[str, ...] | None  # the words to look up, when few
     ranges: Column | None  # the same for prefixes and ranges, when few
+    mixed: frozenset = frozenset()  # queries that are more than terms, when ``small``
 
 
 def prepare(clauses: DataFrame) -> Prepared:
@@ -90,6 +92,7 @@ def _prepare_few(ready: DataFrame, rows: list[Row]) -> Prepared:
         local, frozenset(r["kind"] for r in rows), sum(len(r["words"] or [1]) for r in rows) <= BROADCAST_ROWS, {r["occur"] for r in rows} == {"should"},
         any(r["kind"] == "phrase" and r["slop"] > 0 for r in rows), tuple(sorted(lengths)),
         tuple(sorted(words)) if len(words) <= LITERAL_WORDS else None, reduce(lambda x, y: x | y, ranges) if ranges else None,
+        frozenset(r["qid"] for r in rows if r["kind"] != "term"),
     )
 
 
@@ -108,10 +111,11 @@ def _prepare_many(ready: DataFrame) -> Prepared:
         # A term has fewer than 40 characters, so this set is bounded.
         F.collect_set(F.when(F.col("kind").isin(PREFIX_KINDS), F.length(last))).alias("lengths"),
     ).first()
+    small = (facts["n_words"] or 0) <= BROADCAST_ROWS
+    mixed = ready.filter("kind <> 'term'").select("qid").distinct().collect() if small else []
     return Prepared(
-        ready, frozenset(facts["kinds"]),
-        (facts["n_words"] or 0) <= BROADCAST_ROWS, set(facts["occurs"]) == {"should"}, bool(facts["sloppy"]),
-        tuple(sorted(facts["lengths"])), None, None,
+        ready, frozenset(facts["kinds"]), small, set(facts["occurs"]) == {"should"}, bool(facts["sloppy"]),
+        tuple(sorted(facts["lengths"])), None, None, frozenset(row["qid"] for row in mixed),
     )
 
 
@@ -360,8 +364,12 @@ def _phrase_frequency(matched: DataFrame, sloppy: bool, open_end: bool = False)
     ])
 
 
-def _scored_hits(index, query: Prepared) -> list[DataFrame]:
-    """Hits of terms and phrases, scored by BM25."""
+def _scored_hits(index, query: Prepared, k: int | None) -> list[DataFrame]:
+    """Hits of terms and phrases, scored by BM25.
+
+    With ``k`` the hits of terms are whole matches ``(qid, path, score)``, and
+    of queries that are terms only at least the ``k`` best.
+    """
     kinds = [k for k in SCORED_KINDS if k in query.kinds]
     if not kinds:
         return []
@@ -374,10 +382,17 @@ def _scored_hits(index, query: Prepared) -> list[DataFrame]:
     ).alias("score")
     hits = []
     if "term" in kinds:
-        found = _join_words(
-            index.postings_for(query.words), words.filter("kind = 'term'"), query.small
-        )
-        hits.append(found.select(*CARRIED, "path", score))
+        postings, wanted = index.postings_for(query.words), words.filter("kind = 'term'")
+        if k:
+            part = saturation(F.col("tf"), F.col("dl"), index.avg_dl)
+            hits.append(best_sums(postings, wanted, part, k, query.mixed))
+        else:
+            if query.small and query.any_match:
+                # Dealt by document once; sums by query and path then need no shuffle of their own.
+                postings = postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").select(
+                    "term", "path", "tf", "dl"
+                ).repartition("path")
+            hits.append(_join_words(postings, wanted, query.small).select(*CARRIED, "path", score))
     if "phrase" in kinds:
         found = _near_rarest(
             index.postings_for(query.words), words.filter("kind = 'phrase'"), query.small, index.longest_path
@@ -436,16 +451,24 @@ def _all_hits(index, query: Prepared) -> list[DataFrame]:
     return [index.docs.select("path", F.inline(asked)).withColumn("score", F.col("boost"))]
 
 
-def match(index, clauses: DataFrame) -> DataFrame:
-    """All matches ``(qid, path, score)`` of every query, unranked."""
+def match(index, clauses: DataFrame, k: int | None = None) -> DataFrame:
+    """All matches ``(qid, path, score)`` of every query, unranked.
+
+    With ``k`` matches that are surely not among the ``k`` best may be missing.
+    """
     query = prepare(clauses)
+    if not (query.any_match and query.small):
+        k = None
     parts = [
-        *_scored_hits(index, query), *_constant_hits(index, query),
+        *_scored_hits(index, query, k), *_constant_hits(index, query),
         *_path_hits(index, query), *_all_hits(index, query),
     ]
     if not parts:
         return clauses.select("qid", F.lit("").alias("path"), F.lit(0.0).alias("score")).limit(0)
-    hits = reduce(DataFrame.unionByName, [p.select(*HIT_COLUMNS) for p in parts])
+    columns = HIT_COLUMNS if k is None else ["qid", "path", "score"]
+    hits = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+    if k and query.kinds == {"term"}:
+        return hits
     by_document = hits.groupBy("qid", "path")
     if query.any_match:
         return by_document.agg(F.sum("score").alias("score"))

@@ -29,7 +29,7 @@ def search(index, clauses: DataFrame | list[Clause], k: int = RESULT_LIMIT) -> D
         clauses = clause_table(index.spark, clauses)
     everything = F.col("kind") == "match_all"
     if clauses.filter(everything).isEmpty():
-        return top_k(match(index, clauses), k)
+        return top_k(match(index, clauses, k), k)
     whole = clauses.groupBy("qid").agg(
         F.every(everything & (F.col("occur") != "must_not")).alias("_whole"),
         F.round(F.sum(F.coalesce("boost", F.lit(1.0))), SCORE_DIGITS).alias("score"),
@@ -39,7 +39,7 @@ def search(index, clauses: DataFrame | list[Clause], k: int = RESULT_LIMIT) -> D
         "qid", (F.col("_n") + 1).alias("rank"), "path", "score"
     )
     rest = clauses.join(whole.select("qid"), "qid", "left_anti").select(*clauses.columns)
-    return top_k(match(index, rest), k).unionByName(listed)
+    return top_k(match(index, rest, k), k).unionByName(listed)
 
 
 def search_nested(
