@@ -439,7 +439,7 @@ class StoredIndex(_Totals):
         partition, splits the large ones (hot terms, document rows) over several
         tasks and files, and joins small ones.
         """
-        buckets = segment.buckets
+        buckets, tasks = segment.buckets, shuffled_parts(self.spark, tasks)
         bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
             bucket_of(F.col("term"), buckets)
         )
@@ -510,6 +510,22 @@ def layout_for(text_bytes: int) -> Layout:
     return Layout(parts, min(tasks, MAX_BUCKETS), tasks)
 
 
+def shuffled_parts(spark: SparkSession, tasks: int) -> int:
+    """Reduce partitions to shuffle into, for a layout of ``tasks`` of them.
+
+    Into a few of them (``spark.shuffle.sort.bypassMergeThreshold``) a task writes each
+    posting straight to its partition's file; for more it sorts all its postings first and
+    spills them. The few are large, which is no loss as long as adaptive execution cuts
+    them to size. Above ``FINE_TASKS`` that would make very many files, so there the
+    layout stands.
+    """
+    cut = all(spark.conf.get(f"spark.sql.adaptive.{key}", "true").lower() == "true" for key in (
+        "enabled", "optimizeSkewsInRebalancePartitions.enabled"
+    ))
+    few = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return min(tasks, max(few, MIN_BUCKETS)) if cut and tasks < FINE_TASKS else tasks
+
+
 def _text_bytes(corpus: DataFrame) -> int:
     return int(corpus.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0])
 

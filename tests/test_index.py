@@ -234,3 +234,30 @@ def test_many_clauses_are_pruned_like_few(spark, root, corpus_of):
 def test_partitions_of_a_build_are_small_enough_to_sort(size, tasks):
     """Many fine partitions while they are few, whatever adaptive execution makes of them."""
     assert I.layout_for(size) == I.Layout(1, tasks, tasks)
+
+
+def test_postings_go_straight_to_few_partitions(spark, root, corpus_of, monkeypatch):
+    """More than 200 partitions make every task sort and spill its postings before they are shuffled."""
+    assert [I.shuffled_parts(spark, n) for n in (16, 200, 384, 1024, 20_000)] == [16, 200, 200, 1024, 20_000]
+    monkeypatch.setattr(I, "FINE_BYTES", 15)
+    key, context = "spark.sql.adaptive.coalescePartitions.enabled", spark.sparkContext
+    before = spark.conf.get(key)
+    files = {f"{i}.txt": f"word{i} gull" for i in range(400)}
+    corpus = corpus_of(files).coalesce(2)
+    tasks = I.layout_for(I.input_bytes(corpus)).tasks
+    assert 200 < tasks < I.FINE_TASKS
+    try:
+        spark.conf.set(key, "false")
+        context.setJobGroup("few", "few")
+        index = StoredIndex.open(spark, root).build(corpus)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert I.shuffled_parts(spark, 384) == 384  # nothing would cut large partitions
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    sizes = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert 200 in sizes and tasks not in sizes  # as the layout says, but for the shuffles
+    assert index.docs.count() == 400 and found(index, "word7") == {"7.txt"}
