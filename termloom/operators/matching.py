@@ -161,9 +161,9 @@ def _with_frequency(terms: DataFrame, words: DataFrame, small: bool) -> DataFram
 
 
 def _prefix_words(terms: DataFrame, query: Prepared, kind: str) -> DataFrame:
-    """Every index term that completes the last word of a ``kind`` clause.
+    """Every row of ``terms`` that completes the last word of a ``kind`` clause: index terms, or postings.
 
-    Index terms are cut at the prefix lengths in use, so this is an equi-join.
+    They are cut at the prefix lengths in use, so this is an equi-join.
     """
     wanted = query.clauses.filter(F.col("kind") == kind).select(
         *CARRIED, "kind", "slop", F.size("words").alias("n_terms"),
@@ -171,9 +171,9 @@ def _prefix_words(terms: DataFrame, query: Prepared, kind: str) -> DataFrame:
         F.try_element_at(F.col("words.term"), F.lit(-1)).alias("_prefix"),
     )
     lengths = F.array(*[F.lit(n) for n in query.prefix_lengths])
-    cut = terms.select("term", F.explode(lengths).alias("_len")).filter(
+    cut = terms.select("*", F.explode(lengths).alias("_len")).filter(
         F.length("term") >= F.col("_len")
-    ).select("term", F.substr(F.col("term"), F.lit(1), F.col("_len")).alias("_prefix"))
+    ).select(*terms.columns, F.substr(F.col("term"), F.lit(1), F.col("_len")).alias("_prefix"))
     if query.small:
         return cut.join(F.broadcast(wanted), "_prefix").drop("_prefix")
     return salted_join(cut, wanted, ["_prefix"], F.col("term")).drop("_prefix")
@@ -184,7 +184,7 @@ def _first_byte(term: Column) -> Column:
 
 
 def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
-    """Every index term inside a clause's range.
+    """Every row of ``terms`` inside a clause's range: index terms, or postings.
 
     Ends and terms meet on the term's first byte, then are compared exactly.
     """
@@ -195,7 +195,7 @@ def _range_words(terms: DataFrame, query: Prepared) -> DataFrame:
         *CARRIED, low.alias("_low"), high.alias("_high"), F.coalesce("bounds", F.lit("[]")).alias("_bounds"),
         F.explode(F.when(from_byte <= to_byte, F.sequence(from_byte, to_byte))).alias("_byte"),
     )
-    keyed = terms.select("term", _first_byte(F.col("term")).alias("_byte"))
+    keyed = terms.select("*", _first_byte(F.col("term")).alias("_byte"))
     if query.small:
         met = keyed.join(F.broadcast(wanted), "_byte")
     else:
@@ -399,11 +399,18 @@ def _scored_hits(index, query: Prepared, k: int | None) -> list[DataFrame]:
         )
         hits.append(_phrase_frequency(found, query.sloppy).select(*CARRIED, "path", score))
     if "phrase_prefix" in kinds:
-        ends = _prefix_words(index.terms_for(query.words, query.ranges), query, "phrase_prefix")
-        needed = words.filter("kind = 'phrase_prefix'").drop("df").unionByName(
-            ends.withColumn("weight", F.lit(0.0))
-        )
-        found = _join_words(index.postings_for(query.words, query.ranges), needed, _counted(needed))
+        postings = index.postings_for(query.words, query.ranges)
+        whole = words.filter("kind = 'phrase_prefix'").drop("df")
+        ends = _prefix_words(index.terms_for(query.words, query.ranges).select("term"), query, "phrase_prefix")
+        needed = whole.unionByName(ends.withColumn("weight", F.lit(0.0)))
+        counted = _counted(needed)
+        if query.small and not counted:
+            # Very many terms complete a word: postings then meet the clauses themselves, and none is shuffled for that.
+            found = _join_words(postings, whole, True)
+            ends = _prefix_words(postings, query, "phrase_prefix").withColumn("weight", F.lit(0.0))
+            found = found.unionByName(ends.select(*found.columns))
+        else:
+            found = _join_words(postings, needed, counted)
         hits.append(_phrase_frequency(found, False, True).select(*CARRIED, "path", score))
     return hits
 
@@ -413,19 +420,23 @@ def _constant_hits(index, query: Prepared) -> list[DataFrame]:
     kinds = [k for k in CONSTANT_KINDS if k in query.kinds]
     if not kinds:
         return []
-    words = []
-    if "term_set" in kinds:
-        words.append(_words(query.clauses, ["term_set"]))
-    if "prefix" in kinds:
-        words.append(_prefix_words(index.terms_for(query.words, query.ranges), query, "prefix"))
-    if "term_range" in kinds:
-        words.append(_range_words(index.terms_for(query.words, query.ranges), query))
-    wanted = reduce(
-        DataFrame.unionByName, [w.select(*CARRIED, "term") for w in words]
-    ).distinct()
+    terms = index.terms_for(query.words, query.ranges).select("term")
     postings = index.postings_for(query.words, query.ranges).select("term", "path")
+    sets = _words(query.clauses, ["term_set"]).select(*CARRIED, "term")
+
+    def open_words(rows: DataFrame) -> list[DataFrame]:
+        parts = [_prefix_words(rows, query, "prefix")] if "prefix" in kinds else []
+        parts += [_range_words(rows, query)] if "term_range" in kinds else []
+        return [part.select(*CARRIED, *rows.columns) for part in parts]
+
+    wanted = reduce(DataFrame.unionByName, [*([sets] if "term_set" in kinds else []), *open_words(terms)]).distinct()
     small = query.small if kinds == ["term_set"] else _counted(wanted)
-    found = _join_words(postings, wanted, small)
+    if query.small and not small:
+        # Very many terms: as for phrase prefixes.
+        parts = [_join_words(postings, sets, True)] if "term_set" in kinds else []
+        found = reduce(DataFrame.unionByName, [*parts, *open_words(postings)])
+    else:
+        found = _join_words(postings, wanted, small)
     return [found.select(*CARRIED, "path").distinct().withColumn("score", F.col("boost"))]
 
 

@@ -249,7 +249,7 @@ def test_postings_go_straight_to_few_partitions(spark, root, corpus_of, monkeypa
     try:
         spark.conf.set(key, "false")
         context.setJobGroup("few", "few")
-        index = StoredIndex.open(spark, root).build(corpus)
+        index = StoredIndex.open(spark, root).build(corpus, buckets=3)
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         assert I.shuffled_parts(spark, 384) == 384  # nothing would cut large partitions
     finally:

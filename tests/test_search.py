@@ -299,3 +299,20 @@ def test_clause_table_round_trip(spark):
         "qid": 5, "clause_id": 1, "occur": "must", "kind": "term_range", "terms": ["a", None], "slop": 2,
         "boost": 1.5, "bounds": "{}",
     }
+
+
+def test_open_words_of_very_many_terms_are_not_shuffled(spark, files, corpus_of, monkeypatch):
+    """Postings meet prefixes and ranges themselves; a salted join would move every one of them."""
+    index = MemoryIndex.build(corpus_of(files))
+    asked = [
+        Clause(0, 0, kind="phrase_prefix", terms=["x al"]), Clause(1, 0, kind="phrase_prefix", terms=["be"]),
+        Clause(1, 1, kind="phrase_prefix", terms=["al"], boost=2.0), Clause(2, 0, kind="term_range", terms=["beta", None]),
+        Clause(3, 0, "must", kind="phrase_prefix", terms=["y x b"]), Clause(3, 1, "must_not", kind="term_set", terms=["gamma", "été"]),
+        Clause(4, 0, kind="term_range", terms=["al", "bet"], bounds="{]"), Clause(4, 1, kind="phrase_prefix", terms=["none al"]),
+    ]
+    few = {tuple(row) for row in search(index, asked, 100).collect()}
+    monkeypatch.setattr(M, "_counted", lambda words: False)
+    found = search(index, asked, 100)
+    assert "_salt" not in found._jdf.queryExecution().toString()
+    rows = [tuple(row) for row in found.collect()]
+    assert {row[0] for row in rows} == {0, 1, 2, 3, 4} and len(rows) == len(few) and set(rows) == few
