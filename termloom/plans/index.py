@@ -35,16 +35,18 @@ from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
 from termloom.operators.joins import BROADCAST_BYTES, ROW_BYTES
-from termloom.operators.postings import bucket_of, build_entries, is_document, term_stats
+from termloom.operators.postings import DOCUMENT_BUCKET, bucket_of, build_entries, is_document, pack, term_stats, unpack
+from termloom.session import settings
 from termloom.sources import storage
 
-DOCUMENT_BUCKET = -1
 TASK_BYTES = 1 << 30  # text behind one reduce partition, at most
 FINE_BYTES, FINE_TASKS = 16 << 20, 1024  # and while there are not too many of them
 MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 MAX_TASKS = 20_000  # reduce partitions of one shuffle
 SEGMENT_BYTES = MAX_TASKS * TASK_BYTES  # text behind one segment of a build
 SPREAD_BYTES = 64 << 30  # text that may be moved once more before it is tokenised
+ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+PACKING = 4  # so many times smaller is a posting that is packed, about
 UNKNOWN_BYTES = 1 << 60  # Spark's estimates from here on say that it does not know
 TOKEN_BYTES = 8  # text behind one token, for layouts of what is indexed already
 
@@ -337,14 +339,15 @@ class StoredIndex(_Totals):
             rejected = self.spark.read.schema(bad.schema).parquet(f"{self.root}/{quarantine}")
         # Counted by the tasks that write them.
         ended = Observation()
-        (
-            C.touched(self.docs, resolved).select("path", "dl")
-            .observe(
-                ended, F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens"),
-                F.sum(F.octet_length("path") + ROW_BYTES).alias("bytes"),
+        with settings(self.spark, _passing()):
+            (
+                C.touched(self.docs, resolved).select("path", "dl")
+                .observe(
+                    ended, F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens"),
+                    F.sum(F.octet_length("path") + ROW_BYTES).alias("bytes"),
+                )
+                .write.parquet(f"{self.root}/tombstones/{segment.folder}")
             )
-            .write.parquet(f"{self.root}/tombstones/{segment.folder}")
-        )
         gone = ended.get
         added_docs, added_tokens, longest = self._write_segment(
             build_entries(added, segment.buckets), segment, layout.tasks
@@ -437,36 +440,35 @@ class StoredIndex(_Totals):
 
         Rebalanced by bucket: adaptive execution measures every reduce
         partition, splits the large ones (hot terms, document rows) over several
-        tasks and files, and joins small ones.
+        tasks and files, and joins small ones. Postings are packed for the shuffle,
+        whose files go with the write they are for.
         """
         buckets, tasks = segment.buckets, shuffled_parts(self.spark, tasks)
-        bucket = F.when(is_document(), F.lit(DOCUMENT_BUCKET)).otherwise(
-            bucket_of(F.col("term"), buckets)
-        )
         home = f"{self.root}/postings/{segment.folder}"
         # Above the last shuffle, so a task that is repeated counts once.
         totals = Observation()
-        (
-            entries.withColumn("bucket", bucket)
-            .hint("rebalance", tasks, F.col("bucket"))
-            .observe(
-                totals, F.count(F.when(is_document(), 1)).alias("docs"),
-                F.sum(F.when(is_document(), F.col("dl"))).alias("tokens"),
-                F.max(F.when(is_document(), F.octet_length("path"))).alias("longest"),
+        with settings(entries.sparkSession, {**_passing(), ADVISED: str(_advised_bytes(entries.sparkSession) // PACKING)}):
+            (
+                unpack(pack(entries, buckets).hint("rebalance", tasks, F.col("bucket")))
+                .observe(
+                    totals, F.count(F.when(is_document(), 1)).alias("docs"),
+                    F.sum(F.when(is_document(), F.col("dl"))).alias("tokens"),
+                    F.max(F.when(is_document(), F.octet_length("path"))).alias("longest"),
+                )
+                .sortWithinPartitions("bucket", "term", "path")
+                .write.option("compression", "zstd").partitionBy("bucket").parquet(home)
             )
-            .sortWithinPartitions("bucket", "term", "path")
-            .write.option("compression", "zstd").partitionBy("bucket").parquet(home)
-        )
         full = T.StructType([*schemas.POSTINGS.fields, T.StructField("bucket", T.IntegerType())])
         written = self.spark.read.schema(full).parquet(home)
-        (
-            term_stats(written.filter("bucket >= 0"))
-            .withColumn("bucket", bucket_of(F.col("term"), buckets))
-            .hint("rebalance", min(tasks, buckets), F.col("bucket"))
-            .sortWithinPartitions("bucket", "term")
-            .write.option("compression", "zstd").partitionBy("bucket")
-            .parquet(f"{self.root}/terms/{segment.folder}")
-        )
+        with settings(self.spark, _passing()):
+            (
+                term_stats(written.filter("bucket >= 0"))
+                .withColumn("bucket", bucket_of(F.col("term"), buckets))
+                .hint("rebalance", min(tasks, buckets), F.col("bucket"))
+                .sortWithinPartitions("bucket", "term")
+                .write.option("compression", "zstd").partitionBy("bucket")
+                .parquet(f"{self.root}/terms/{segment.folder}")
+            )
         seen = totals.get
         return seen["docs"], seen["tokens"] or 0, seen["longest"] or 0
 
@@ -526,6 +528,16 @@ def shuffled_parts(spark: SparkSession, tasks: int) -> int:
     return min(tasks, max(few, MIN_BUCKETS)) if cut and tasks < FINE_TASKS else tasks
 
 
+def _passing() -> dict[str, str]:
+    """Settings of a write whose shuffle files go when it ends, and not when the driver collects its garbage."""
+    return {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def _advised_bytes(spark: SparkSession) -> int:
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ADVISED))
+    return max(int(size), PACKING)
+
+
 def _text_bytes(corpus: DataFrame) -> int:
     return int(corpus.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
         _own.append(tempfile.TemporaryDirectory(prefix="termloom-", ignore_cleanup_errors=True))
         context.setCheckpointDir(_own[-1].name)
     return context.getCheckpointDir().rstrip("/")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Run with these session settings, then with the former ones."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

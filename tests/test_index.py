@@ -1,4 +1,5 @@
 import re
+import time
 import uuid
 
 import pytest
@@ -261,3 +262,26 @@ def test_postings_go_straight_to_few_partitions(spark, root, corpus_of, monkeypa
     sizes = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
     assert 200 in sizes and tasks not in sizes  # as the layout says, but for the shuffles
     assert index.docs.count() == 400 and found(index, "word7") == {"7.txt"}
+
+
+def test_shuffle_files_go_with_the_write_they_are_for(spark, root, corpus_of, changes_of):
+    """Without waiting for the driver to collect its garbage; a later write needs no disk for them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    files = {f"{i}.txt": f"word{i} gull" for i in range(200)}
+    corpus = corpus_of(files).repartition(3)
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", I.ADVISED)
+    before, settings = shuffled(), [spark.conf.get(key) for key in keys]
+    index = StoredIndex.open(spark, root).build(corpus)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert [spark.conf.get(key) for key in keys] == settings
+    assert found(index, "word7") == {"7.txt"}

@@ -80,3 +80,28 @@ def test_one_file_is_tokenised_by_all_cores(spark, tmp_path, changes_of, monkeyp
         spark.conf.set("spark.sql.files.maxPartitionBytes", per_task)
     assert len(tasks) == 2 and min(tasks) > 8
     assert (index.n_docs, index.n_tokens) == (300, 600) and index.docs.distinct().count() == 300
+
+
+@pytest.mark.parametrize("buckets,limit,fused", [(1, 1 << 20, True), (7, 50, False), (300, 1000, False), (300, 1, True)])
+def test_packed_entries_are_the_same_entries(odd, monkeypatch, buckets, limit, fused):
+    """With null and repeated paths, of several lengths, and documents without words."""
+    monkeypatch.setattr(O, "PACKED_AT_ONCE", limit)
+    packer = O._packer
+    monkeypatch.setattr(O, "_packer", lambda n, **cut: packer(n, limit, **cut))
+    entries = O.build_entries(odd, buckets)
+    packed = O.pack(entries if fused else entries.select("*"), buckets)
+    expected = [
+        (*row, O.DOCUMENT_BUCKET if row.term == "" else zlib.crc32(row.term.encode()) % buckets) for row in entries.collect()
+    ]
+    assert sorted(map(tuple, O.unpack(packed).collect()), key=str) == sorted(expected, key=str)
+    assert packed.groupBy("bucket").count().count() == len({row[-1] for row in expected})
+
+
+def test_packed_entries_are_small(odd):
+    """A few rows, each a fraction of the postings it holds."""
+    texts = odd.unionByName(odd.selectExpr("concat('/long/way/', path) AS path", "repeat(concat(content, ' gull '), 5) AS content"))
+    entries = O.build_entries(texts.filter("path IS NOT NULL").coalesce(1), 3)
+    plain = entries.selectExpr("sum(octet_length(term) + octet_length(path) + 4 * size(positions) + 16)").first()[0]
+    rows = O.pack(entries, 3).collect()
+    assert len(rows) == 4 and 3 * sum(len(r.packed) for r in rows) < plain
+    assert list(O._packer(3)(iter([]))) == [] and list(O._unpacker()(iter([]))) == []
