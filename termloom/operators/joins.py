@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,10 +90,51 @@ def split_by_keys(table: DataFrame, keys: DataFrame, column: str) -> tuple[DataF
     return hashed.join(small, "_hash", "left_semi").drop("_hash"), hashed.join(small, "_hash", "left_anti").drop("_hash")
 
 
+def sieve(
+    keys: DataFrame, held: DataFrame, column: str, text: str | None = None
+) -> Callable[[DataFrame], DataFrame] | None:
+    """Adds ``_listed`` to a table: whether its ``column`` is among ``keys``. The table is not shuffled.
+
+    The hashes of ``split_by_keys`` tell what may be listed. What they take in
+    wrongly is found among the keys that are ``held``, all that the table may
+    have, and is broadcast; None when it is too much for that. ``text`` names the
+    string that makes a key long.
+    """
+    keys, held = (rows.select(column).filter(F.col(column).isNotNull()) for rows in (keys, held))
+    hashes = keys.select(F.xxhash64(column).alias("_hash")).distinct()
+    crowded = hashes.count() * 16 > BROADCAST_BYTES
+
+    def possible(table: DataFrame) -> DataFrame:
+        if crowded:
+            return _marked(table, keys, column)
+        met = table.withColumn("_hash", F.xxhash64(column)).join(
+            F.broadcast(hashes.withColumn("_met", F.lit(True))), "_hash", "left"
+        )
+        return met.select(*table.columns, F.col("_met").isNotNull().alias("_possible"))
+
+    wrong = possible(held).filter("_possible").select(column).distinct().join(keys, column, "left_anti")
+    n, longest = wrong.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length(text or column)), F.lit(0))).first()
+    if n and n * (ROW_BYTES + longest) > BROADCAST_BYTES:
+        return None
+
+    def mark(table: DataFrame) -> DataFrame:
+        marked = possible(table).withColumn("_listed", F.col("_possible") & F.col(column).isNotNull())
+        if n:
+            marked = marked.join(F.broadcast(wrong.withColumn("_wrong", F.lit(True))), column, "left").withColumn(
+                "_listed", F.col("_listed") & F.col("_wrong").isNull()
+            )
+        return marked.select(*table.columns, "_listed")
+
+    return mark
+
+
 def holding(table: DataFrame, keys: DataFrame, column: str, small: bool) -> DataFrame:
-    """Rows of a wide ``table`` whose ``column`` is among ``keys``; only candidates are shuffled."""
+    """Rows of a wide ``table`` whose ``column`` is among ``keys``; at most candidates are shuffled."""
     if small:
         return table.join(F.broadcast(keys), column, "left_semi")
+    mark = sieve(keys, table, column)
+    if mark is not None:
+        return mark(table).filter("_listed").drop("_listed")
     return split_by_keys(table, keys, column)[0].join(keys, column, "left_semi")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from termloom.functions.paths import parse_extensions
 from termloom.operators.clauses import Clause, clause_table
 from termloom.operators.events import classify
+from termloom.operators.joins import fits_broadcast, holding
 from termloom.plans.index import MemoryIndex, StoredIndex
 from termloom.session import shared_dir
 from termloom.sources import corpus as S
@@ -62,17 +63,18 @@ def current_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = S.documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
-    moved = _doc_paths(spark, sf_dir).join(labels, "doc_id", "left_semi").select("path")
-    copies = docs.join(moved, "path", "left_semi").select(
-        F.concat(F.lit("/moved"), "path").alias("path"), "content"
-    )
+    # A path tells its document, so content need not move to meet the labels.
+    labelled = holding(docs.select(_doc_id(), "path", "content"), labels, "doc_id", fits_broadcast(labels))
+    copies = labelled.select(F.concat(F.lit("/moved"), "path").alias("path"), "content")
     return docs.unionByName(copies)
 
 
+def _doc_id() -> Column:
+    return F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id")
+
+
 def _doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.documents(spark, sf_dir).select(
-        F.regexp_extract("path", r"/(\d+)\.", 1).cast("long").alias("doc_id"), "path"
-    )
+    return S.documents(spark, sf_dir).select(_doc_id(), "path")
 
 
 def utc(ts: Column) -> Column:

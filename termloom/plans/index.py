@@ -34,7 +34,7 @@ from pyspark.storagelevel import StorageLevel
 from termloom import schemas
 from termloom.functions.paths import is_target
 from termloom.operators import changes as C
-from termloom.operators.joins import BROADCAST_BYTES, ROW_BYTES
+from termloom.operators.joins import BROADCAST_BYTES, ROW_BYTES, sieve
 from termloom.operators.postings import DOCUMENT_BUCKET, bucket_of, build_entries, is_document, pack, term_stats, unpack
 from termloom.session import settings
 from termloom.sources import storage
@@ -96,9 +96,13 @@ def _live(rows: DataFrame, ended: DataFrame | None) -> DataFrame:
     """Rows whose path has no tombstone of a later segment."""
     if ended is None:
         return rows
+    return _met(rows, ended, "left_anti")
+
+
+def _met(rows: DataFrame, ended: DataFrame, how: str) -> DataFrame:
     ended = ended.select(F.col("path").alias("_path"), F.col("seg").alias("_seg"))
     newer = (F.col("path") == F.col("_path")) & (F.col("_seg") > F.col("seg"))
-    return rows.join(ended, newer, "left_anti")
+    return rows.join(ended, newer, how)
 
 
 class MemoryIndex(_Totals):
@@ -197,6 +201,7 @@ class StoredIndex(_Totals):
         self.n_docs, self.n_tokens = snapshot.n_docs, snapshot.n_tokens
         self.longest_path = max((s.longest_path for s in snapshot.segments), default=0)
         self._scans: dict[tuple[str, int], DataFrame] = {}
+        self._dead: Callable[[DataFrame], DataFrame] | None = None
 
     # -- opening and building ------------------------------------------------
 
@@ -241,13 +246,15 @@ class StoredIndex(_Totals):
     @property
     def docs(self) -> DataFrame:
         """Live documents ``(path, dl)``."""
-        rows = self._read("postings", schemas.POSTINGS, F.lit(DOCUMENT_BUCKET) == F.col("bucket"))
-        return self._live(rows.select("path", "dl", "seg")).select("path", "dl")
+        return self._live(self._documents().select("path", "dl", "seg")).select("path", "dl")
+
+    def _documents(self) -> DataFrame:
+        return self._read("postings", schemas.POSTINGS, F.lit(DOCUMENT_BUCKET) == F.col("bucket"))
 
     def postings_for(self, words=None, ranges=None) -> DataFrame:
         """Live postings, narrowed to the buckets and terms asked for."""
         rows = self._read("postings", schemas.POSTINGS, F.col("bucket") >= 0, words, ranges)
-        return self._live(rows).drop("seg")
+        return self._live(rows, many=True).drop("seg")
 
     def terms_for(self, words=None, ranges=None) -> DataFrame:
         """Live document frequencies ``(term, df)``, narrowed likewise."""
@@ -290,7 +297,8 @@ class StoredIndex(_Totals):
         wanted = _wanted(words, ranges)
         return rows if wanted is None else rows.filter(wanted)
 
-    def _live(self, rows: DataFrame) -> DataFrame:
+    def _live(self, rows: DataFrame, many: bool = False) -> DataFrame:
+        """Live ``rows``; of ``many`` for a document, none is shuffled to meet tombstones that cannot be broadcast."""
         paths = [
             f"{self.root}/tombstones/{s.folder}" for s in self.snapshot.segments if s.tombstones
         ]
@@ -302,7 +310,16 @@ class StoredIndex(_Totals):
         ).parquet(*paths)
         # Their size was counted when they were committed.
         small = sum(s.tombstones for s in self.snapshot.segments) <= BROADCAST_BYTES
-        return _live(rows, F.broadcast(ended.select("path", "seg")) if small else ended)
+        if small or not many:
+            return _live(rows, F.broadcast(ended.select("path", "seg")) if small else ended)
+        key = F.struct("path", "seg").alias("_document")
+        if self._dead is None:
+            documents = self._documents().select("path", "seg")
+            dead = _met(documents, ended, "left_semi").select(key)
+            self._dead = sieve(dead, documents.select(key), "_document", "_document.path")
+        if self._dead is None:
+            return _live(rows, ended)
+        return self._dead(rows.select("*", key)).filter("NOT _listed").drop("_document", "_listed")
 
     # -- changing ---------------------------------------------------------------
 

@@ -287,3 +287,44 @@ def test_debounce_splits_a_busy_path(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
     assert [n for p, _, n, _ in got[0] if p == "/busy"] == [300, 200, 200]
+
+
+@pytest.mark.parametrize("room,bits", [(64 << 20, 1 << 29), (20_000, 1 << 17)])
+def test_content_is_not_shuffled_to_meet_many_keys(spark, monkeypatch, room, bits):
+    """By hashes, and by bitmaps that take some rows in wrongly; null is no key."""
+    monkeypatch.setattr(J, "BROADCAST_BYTES", room)
+    monkeypatch.setattr(J, "FILTER_BITS", bits)
+    rows = [(f"/{i}", i) for i in range(4_000)] + [("/0", -1), ("/1", -2), (None, -3)]
+    table = spark.createDataFrame(rows, "path string, content long")
+    keys = spark.createDataFrame([(f"/{i}",) for i in range(0, 4_000, 2)] + [("/0",), ("/none",), (None,)], "path string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        held = J.holding(table, keys, "path", False)
+        content_side = held._jdf.queryExecution().executedPlan().toString().split("LocalTableScan")[0].split("Scan Existing")[0]
+        assert "SortMergeJoin" not in content_side and "BroadcastHashJoin" in content_side
+        assert sorted(r.content for r in held.collect()) == [-1, *range(0, 4_000, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_copies_of_labelled_documents_need_no_shuffle_of_content(spark, tmp_path, monkeypatch):
+    from termloom.plans import bindings as B
+
+    docs = [(1, "a", "s", "en"), (1, "a", "s", "en"), (2, "b", "s", None), (3, None, "s", "en"), (4, "d", "t", "en"), (None, "e", "s", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,), (None,)], "doc_id long")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    plain = ["/s/en/1.md", "/s/en/1.md", "/s/en/3.txt", "/t/en/4.md", None, None]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for room in (64 << 20, 96):
+        monkeypatch.setattr(J, "BROADCAST_BYTES", room)
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            corpus = B.current_corpus(spark, str(tmp_path))
+            assert "SortMergeJoin" not in corpus._jdf.queryExecution().executedPlan().toString()
+            found = sorted((r.path or "", r.content) for r in corpus.collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert [p for p, _ in found if p.startswith("/moved")] == ["/moved/s/en/1.md", "/moved/s/en/1.md", "/moved/s/en/3.txt"]
+        assert len(found) == 9 and [p for p, _ in found if not p.startswith("/moved")] == sorted(p or "" for p in plain)

@@ -285,3 +285,31 @@ def test_shuffle_files_go_with_the_write_they_are_for(spark, root, corpus_of, ch
     assert not shuffled() - before
     assert [spark.conf.get(key) for key in keys] == settings
     assert found(index, "word7") == {"7.txt"}
+
+
+@pytest.mark.parametrize("room,bits,joined", [(64 << 20, 1 << 29, False), (1000, 1 << 15, False), (-1, 64, True)])
+def test_postings_are_not_shuffled_to_meet_many_tombstones(spark, root, changes_of, monkeypatch, room, bits, joined):
+    """By hashes, by bitmaps that take some in wrongly, and by bitmaps that take in too many."""
+    from termloom.operators import joins as J
+
+    rows = [(f"{i}.txt", f"word{i % 7} gull") for i in range(300)] + [(None, "gull tern"), ("5.txt", "gull auk")]
+    corpus = spark.createDataFrame(rows, "path string, content string")
+    index = StoredIndex.open(spark, root).build(corpus)
+    index = index.apply(changes_of([(i, "delete", f"{i}.txt") for i in range(200)]), corpus, EXTENSIONS).index
+    index = index.apply(changes_of([(300 + i, "modify", f"{i}.txt") for i in range(150, 250)]), corpus, EXTENSIONS).index
+    expected = sorted(map(str, index.postings_for().collect()))
+    assert len(expected) == 302
+    monkeypatch.setattr(I, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", room)
+    monkeypatch.setattr(J, "FILTER_BITS", bits)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        again = StoredIndex.open(spark, root)
+        live = again.postings_for()
+        posting_side = live._jdf.queryExecution().executedPlan().toString().split("Scan parquet")[0]
+        assert ("SortMergeJoin" in posting_side) is joined
+        assert sorted(map(str, live.collect())) == expected
+        assert sorted(map(str, again.compact().postings_for().collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
