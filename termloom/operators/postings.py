@@ -25,7 +25,7 @@ PACKED = "bucket int, size int, packed binary"
 DOCUMENT_BUCKET = -1
 TEXT_AT_ONCE = 4 << 20  # bytes of text taken together, unless one document has more
 ROWS_AT_ONCE = 1 << 16  # postings handed back together
-PACKED_AT_ONCE = 1 << 20  # postings packed together
+PACKED_AT_ONCE = 1 << 18  # postings packed together
 
 _texts: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()  # what entries are cut from
 
