@@ -268,21 +268,23 @@ def test_shuffle_files_go_with_the_write_they_are_for(spark, root, corpus_of, ch
     """Without waiting for the driver to collect its garbage; a later write needs no disk for them."""
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+
     def shuffled():
         files = disk.getAllFiles()
         names = [files.apply(i).getName() for i in range(files.size())]
-        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+        return [n for n in names if n.startswith("shuffle_") and n.endswith(".data") and int(n.split("_")[1]) > first]
 
     files = {f"{i}.txt": f"word{i} gull" for i in range(200)}
     corpus = corpus_of(files).repartition(3)
     keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", I.ADVISED)
-    before, settings = shuffled(), [spark.conf.get(key) for key in keys]
+    settings = [spark.conf.get(key) for key in keys]
     index = StoredIndex.open(spark, root).build(corpus)
     for _ in range(50):
-        if not shuffled() - before:
+        if not shuffled():
             break
         time.sleep(0.2)
-    assert not shuffled() - before
+    assert not shuffled()
     assert [spark.conf.get(key) for key in keys] == settings
     assert found(index, "word7") == {"7.txt"}
 
